@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import splitting
+from . import encoding, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +27,15 @@ def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_pieces": p2_pieces}
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return encoding.find_garbled(table(spark, root, "documents", "doc_id", "text"))
+
+
+def p8_restored(spark: SparkSession, root: str) -> DataFrame:
+    return encoding.restore(table(spark, root, "documents", "doc_id", "text"))
+
+
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p8_found": p8_found, "p8_restored": p8_restored}
 
 SQL: dict[str, str] = {
     "p2_found": r"""
