@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "docloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,3 +36,17 @@ def checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` computed once, for plans that read it several times.
+
+    Written to the shared checkpoint folder, so it outlives lost executors. Where a cluster
+    names no folder the rows are kept as a cached table instead, which is computed again
+    for partitions that get lost; only a local session gets a folder of its own.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.master.startswith("local["):
+        checkpoint_dir(spark, os.path.join(tempfile.gettempdir(), "docloom-checkpoints"))
+        return df.checkpoint()
+    return df.persist(StorageLevel.DISK_ONLY)
