@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Encodings by which text is commonly read by mistake, and those it is commonly written in.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac-roman", "koi8-r", "iso8859-2", "iso8859-15", "cp1254", "cp1257")
 WRITTEN_IN = ("utf-8", "cp1252", "cp1250", "cp1251", "koi8-r", "mac-roman", "cp850", "iso8859-2", "cp866")
@@ -30,7 +32,7 @@ MIN_CLEAN = 2
 REPLACED, MARK = "�", "¤"
 #: Words that may be garbled: not ASCII only, or with a character entity. A word of one or
 #: two characters says little alone and is taken together with the next one.
-SUSPECT = r"[^\x00-\x7F]{1,2} [^\s]+|[^\s]*(?:[^\x00-\x7F]|&[A-Za-z]{2,8};)[^\s]*"
+SUSPECT = r"(?<!\S)(?:[^\x00-\x7F]{1,2} \S+|\S*(?:[^\x00-\x7F]|&[A-Za-z]{2,8};)\S*)"
 #: Garbled characters that a text only speaks of: in quotation marks of their own, or named.
 _SPOKEN_OF = (
     "[‘“„«'\"](?:[^\\x00-\\x7F]|&[A-Za-z]{2,8};){1,6}[’”»'\"]",
@@ -234,7 +236,7 @@ def garbled_words(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
     and makes a word that is found clean more than twice as often as the garbled one. Of
     several readings the one found clean in most records wins, then UTF-8, then support.
     """
-    words = suspect_words(df, key, text)
+    words = cut_lineage(suspect_words(df, key, text))
     table = word_table(words)
     candidates = candidate_table(table)
     pairs = learned_pairs(candidates, table)
