@@ -8,11 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import encoding, splitting
+from . import encoding, neighbours, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Cosine of problem 1's pairs.
+P1_FLOOR = 0.90
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    near = neighbours.similar_vectors(table(spark, root, "chunk_embeddings"), k=10, floor=P1_FLOOR, recall=0.98)
+    a, b = F.col("chunk_id"), F.col("neighbour")
+    return near.select(F.least(a, b).alias("chunk_id_a"), F.greatest(a, b).alias("chunk_id_b")).distinct()
+
+
+def p1_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    return neighbours.similar_vectors(table(spark, root, "chunk_embeddings"), k=10)
+
+
+def p1_recall(spark: SparkSession, root: str) -> DataFrame:
+    return neighbours.recall_report(table(spark, root, "chunk_embeddings"), k=10)
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     chunks = table(spark, root, "chunks", "id", "text")
     return splitting.split_oversized(chunks).select(F.col("id").alias("chunk_id")).distinct()
@@ -35,7 +53,7 @@ def p8_restored(spark: SparkSession, root: str) -> DataFrame:
     return encoding.restore(table(spark, root, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_pieces, p8_found, p8_restored)}
 
 SQL: dict[str, str] = {
     "p2_found": r"""
