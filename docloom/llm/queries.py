@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import encoding, neighbours, splitting
+from . import encoding, neardup, neighbours, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,16 @@ def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "project_documents", "id", "raw_text", "updated_at")
+    return neardup.id_pairs(*neardup.near_duplicates(docs, newest="updated_at", width=3, threshold=0.6, recall=0.997))
+
+
+def p3_groups(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "project_documents", "id", "raw_text", "updated_at")
+    return neardup.groups(*neardup.near_duplicates(docs, newest="updated_at", width=3, threshold=0.6, recall=0.997)).withColumnRenamed("key", "id")
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return encoding.find_garbled(table(spark, root, "documents", "doc_id", "text"))
 
@@ -53,7 +63,7 @@ def p8_restored(spark: SparkSession, root: str) -> DataFrame:
     return encoding.restore(table(spark, root, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_pieces, p8_found, p8_restored)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_pieces, p3_found, p3_groups, p8_found, p8_restored)}
 
 SQL: dict[str, str] = {
     "p2_found": r"""
