@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import encoding, neardup, neighbours, splitting
+from . import encoding, neardup, neighbours, scans, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,18 @@ def p3_groups(spark: SparkSession, root: str) -> DataFrame:
     return neardup.groups(*neardup.near_duplicates(docs, newest="updated_at", width=3, threshold=0.6, recall=0.997)).withColumnRenamed("key", "id")
 
 
+def _documents(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "project_documents", "id", "title", "raw_text", "metadata")
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return scans.find_repairs(_documents(spark, root))
+
+
+def p5_repaired(spark: SparkSession, root: str) -> DataFrame:
+    return scans.repaired(_documents(spark, root))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return encoding.find_garbled(table(spark, root, "documents", "doc_id", "text"))
 
@@ -63,7 +75,7 @@ def p8_restored(spark: SparkSession, root: str) -> DataFrame:
     return encoding.restore(table(spark, root, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_pieces, p3_found, p3_groups, p8_found, p8_restored)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_pieces, p3_found, p3_groups, p5_found, p5_repaired, p8_found, p8_restored)}
 
 SQL: dict[str, str] = {
     "p2_found": r"""
