@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import encoding, neardup, neighbours, scans, splitting
+from . import encoding, neardup, neighbours, pages, scans, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,14 @@ def _documents(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "project_documents", "id", "title", "raw_text", "metadata")
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return pages.boilerplate(table(spark, root, "project_documents", "id", "title", "raw_text", "metadata", "source_type", "source_url"))
+
+
+def p4_main_text(spark: SparkSession, root: str) -> DataFrame:
+    return pages.main_text(table(spark, root, "project_documents", "id", "title", "raw_text", "metadata", "source_type", "source_url"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return scans.find_repairs(_documents(spark, root))
 
@@ -75,7 +83,7 @@ def p8_restored(spark: SparkSession, root: str) -> DataFrame:
     return encoding.restore(table(spark, root, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_pieces, p3_found, p3_groups, p5_found, p5_repaired, p8_found, p8_restored)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_main_text, p5_found, p5_repaired, p8_found, p8_restored)}
 
 SQL: dict[str, str] = {
     "p2_found": r"""
