@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..tables import table
-from . import encoding, neardup, neighbours, pages, scans, splitting
+from . import encoding, mixing, neardup, neighbours, packing, pages, scans, splitting, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +76,31 @@ def p5_repaired(spark: SparkSession, root: str) -> DataFrame:
     return scans.repaired(_documents(spark, root))
 
 
+def _packed(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(tokens.with_tokens(table(spark, root, "documents", "doc_id", "text")))
+
+
+def p6_containers(spark: SparkSession, root: str) -> DataFrame:
+    return _packed(spark, root)
+
+
+def p6_report(spark: SparkSession, root: str) -> DataFrame:
+    return packing.packing_report(_packed(spark, root))
+
+
+def _sized(spark: SparkSession, root: str) -> DataFrame:
+    return cut_lineage(tokens.with_tokens(table(spark, root, "documents", "doc_id", "source", "text")))
+
+
+def p7_mixture(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix(_sized(spark, root), table(spark, root, "mix_targets"))
+
+
+def p7_report(spark: SparkSession, root: str) -> DataFrame:
+    sizes, targets = _sized(spark, root), table(spark, root, "mix_targets")
+    return mixing.mixture_report(mixing.mix(sizes, targets), sizes, targets)
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return encoding.find_garbled(table(spark, root, "documents", "doc_id", "text"))
 
@@ -83,7 +109,7 @@ def p8_restored(spark: SparkSession, root: str) -> DataFrame:
     return encoding.restore(table(spark, root, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_main_text, p5_found, p5_repaired, p8_found, p8_restored)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_main_text, p5_found, p5_repaired, p6_containers, p6_report, p7_mixture, p7_report, p8_found, p8_restored)}
 
 SQL: dict[str, str] = {
     "p2_found": r"""
