@@ -39,8 +39,9 @@ def flag_duplicates(docs: DataFrame) -> DataFrame:
     """
     h = docs.select("id", "project_id", "created_at", F.when(F.length(normalize_text("raw_text")) > 0, content_hash("raw_text")).alias("content_hash"))
     first = h.where("content_hash IS NOT NULL").groupBy("project_id", "content_hash").agg(F.min_by("id", F.struct("created_at", "id")).alias("first_id"))
-    same = (h["project_id"].eqNullSafe(first["project_id"])) & (h["content_hash"] == first["content_hash"])
-    out = h.join(first, same, "left").select(h["id"], h["project_id"], h["content_hash"], "first_id")
+    h, first = h.alias("h"), first.alias("first")
+    same = F.col("h.project_id").eqNullSafe(F.col("first.project_id")) & (F.col("h.content_hash") == F.col("first.content_hash"))
+    out = h.join(first, same, "left").select("h.id", "h.project_id", "h.content_hash", "first_id")
     return out.select("id", "project_id", "content_hash", F.coalesce(F.col("first_id") != F.col("id"), F.lit(False)).alias("is_duplicate"), "first_id")
 
 

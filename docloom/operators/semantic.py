@@ -65,6 +65,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, query_vectors: s
         return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "chunk_id", "score"])
 
     cells = [*keys, "r", "q"]
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # queries may stem from the vectors
     found = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInPandas(nearest, "query_id string, chunk_id string, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
