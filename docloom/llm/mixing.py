@@ -69,8 +69,8 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", total: int |
 
     ``sizes`` has distinct keys with ``source`` and ``tokens``; sources are brought to one
     spelling. Documents without tokens or of a source without a target are left out; a
-    source without documents adds nothing. The sample of a source ends with the document
-    that comes nearest to its size.
+    source without documents adds nothing. The sample of a source ends before the
+    document that would pass its size; later ones that fit fill up the rest.
     """
     sizes = sizes.where((F.col("tokens") > 0) & F.col("source").isNotNull()).withColumn("source", source_name("source"))
     wanted = demands(sizes, targets, total)
@@ -85,7 +85,7 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", total: int |
     beyond = docs.where(F.col("before") >= F.col("part")).withColumn("extra", F.lit(0))
     open_bins = docs.where(F.col("before") < F.col("part"))
     upto = F.col("before") + F.coalesce(F.sum("tokens").over(within), F.lit(0))
-    open_bins = open_bins.withColumn("extra", F.when(upto + F.col("tokens") / 2 <= F.col("part"), 1).otherwise(0))
+    open_bins = open_bins.withColumn("extra", F.when(upto + F.col("tokens") <= F.col("part"), 1).otherwise(0))
     docs = cut_lineage(open_bins.unionByName(beyond).drop("before"))
     docs = docs.join(F.broadcast(_fill(docs, key)), key, "left")
     out = docs.withColumn("copies", (F.col("whole") + F.col("extra") + F.coalesce("filled", F.lit(0))).cast("int"))
@@ -105,11 +105,16 @@ def _fill(docs: DataFrame, key: str) -> DataFrame:
 
     def taken(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
-        gap, keys = float(pdf["gap"].iloc[0]), []
+        gap, keys, over = float(pdf["gap"].iloc[0]), [], []
         for k, t in zip(pdf[key], pdf["tokens"]):
-            if t < 2 * gap:
+            if t <= gap:
                 gap -= t
                 keys.append(k)
+            else:
+                over.append((t, k))
+        # The smallest of those that pass the size, if that brings the source nearer to it.
+        if over and min(over)[0] < 2 * gap:
+            keys.append(min(over)[1])
         return pd.DataFrame({key: keys, "filled": 1})
 
     return after.groupBy("source").applyInPandas(lambda _, pdf: taken(pdf), f"`{key}` {kind}, filled int")

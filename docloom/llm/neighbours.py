@@ -6,7 +6,9 @@ priority queue holds the nodes met so far by the similarity of their centre, the
 is opened, and leaves are visited until the best node left lies further below the best
 leaf than a margin. The margin is widened on the sample until the recall asked for is
 reached. Leaves are grouped into shards of a bounded number of rows, which are compared
-with their visitors by matrix products; a shard above its size is split into blocks.
+with their visitors by matrix products; a shard above its size is split into blocks. If
+only neighbours above a floor are asked for, they are few and near: a shard of which any
+leaf is visited is then read whole, which needs fewer shards for the same recall.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ SAMPLE = 16_384
 #: Rows of a leaf and of a shard that are aimed at, and visitors of a shard before it is split.
 LEAF_ROWS, SHARD_ROWS, VISITORS = 512, 8_192, 32_768
 BRANCHES = 8
+#: Stands for all leaves of a shard.
+ALL = -1
 
 
 @dataclass
@@ -141,8 +145,8 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, floor: float | None, recal
     """The least margin at which the visits of sample queries hold ``recall`` of their neighbours.
 
     With a floor the neighbours are drawn at exactly that similarity in a random direction
-    (the hardest ones asked for), and a pair counts when either end visits the other's
-    leaf; without one they are the k best of the sample.
+    (the hardest ones asked for), and a pair counts when either end visits a leaf in the
+    other's shard; without one they are the k best of the sample and their leaf counts.
     """
     rng = np.random.default_rng(seed)
     q = sample[rng.choice(len(sample), min(512, len(sample)), replace=False)]
@@ -161,9 +165,11 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, floor: float | None, recal
     homes, own = tree.home(near), tree.home(q)[who]
     tree.margin = 0.02
     while True:
-        seen = tree.visits(q)[who, homes]
-        if floor is not None:
-            seen |= tree.visits(near)[np.arange(len(near)), own]
+        if floor is None:
+            seen = tree.visits(q)[who, homes]
+        else:
+            seen = _by_shard(tree, tree.visits(q))[who, tree.shard[homes]]
+            seen |= _by_shard(tree, tree.visits(near))[np.arange(len(near)), tree.shard[own]]
         if seen.mean() >= recall or tree.margin > 2:
             return tree.margin
         tree.margin *= 1.15
@@ -225,7 +231,7 @@ _ROUTED_DDL = "model string, cell string, a1 long, a2 long, indexed boolean, hom
 _PAIRS_DDL = "model string, a1 long, a2 long, b1 long, b2 long, similarity double"
 
 
-def _route(trees: dict[str, Tree]):
+def _route(trees: dict[str, Tree], whole: bool):
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             models = np.asarray(batch.column("model").to_pylist(), object)
@@ -238,13 +244,16 @@ def _route(trees: dict[str, Tree]):
                     continue
                 x = unit(np.stack([flat[off[r] : off[r + 1]] for r in rows]))
                 for i in range(0, len(rows), 2048):
-                    yield _place(tree, model, a1[rows[i : i + 2048]], a2[rows[i : i + 2048]], x[i : i + 2048])
+                    yield _place(tree, model, a1[rows[i : i + 2048]], a2[rows[i : i + 2048]], x[i : i + 2048], whole)
 
     return routed
 
 
-def _place(tree: Tree, model: str, a1: np.ndarray, a2: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-    """A row in its home shard, and one in each other shard (or block) that is visited."""
+def _place(tree: Tree, model: str, a1: np.ndarray, a2: np.ndarray, x: np.ndarray, whole: bool) -> pa.RecordBatch:
+    """A row in its home shard, and one in each other shard (or block) that is visited.
+
+    ``leaves`` are those that the row visits there; null stands for all of the shard.
+    """
     home, seen = tree.home(x), tree.visits(x)
     seen[np.arange(len(x)), home] = True
     shards = _by_shard(tree, seen)
@@ -252,7 +261,8 @@ def _place(tree: Tree, model: str, a1: np.ndarray, a2: np.ndarray, x: np.ndarray
     out: dict[str, list] = {c: [] for c in ("cell", "row", "indexed", "home", "leaves")}
 
     def put(cell: str, i: int, indexed: bool, leaves: np.ndarray) -> None:
-        for c, value in zip(out, (cell, i, indexed, int(home[i]), leaves.astype(np.int32).tobytes())):
+        told = None if whole and len(leaves) else leaves.astype(np.int32).tobytes()
+        for c, value in zip(out, (cell, i, indexed, int(home[i]), told)):
             out[c].append(value)
 
     for i in range(len(x)):
@@ -284,15 +294,13 @@ def _compare(k: int, floor: float | None):
         a = pdf[["a1", "a2"]].to_numpy()
         visits: dict[int, list[int]] = {}
         for i, raw in enumerate(pdf["leaves"]):
-            for leaf in np.frombuffer(raw, np.int32):
+            for leaf in (ALL,) if raw is None else np.frombuffer(raw, np.int32):
                 visits.setdefault(int(leaf), []).append(i)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for leaf, queries in visits.items():
-            rows = np.flatnonzero(indexed & (home == leaf))
-            if not len(rows):
-                continue
-            for at in range(0, len(queries), 4096):
-                q = np.asarray(queries[at : at + 4096])
+        pairs = [(q, np.flatnonzero(indexed if leaf == ALL else indexed & (home == leaf))) for leaf, q in visits.items()]
+        for queries, rows in ((q, r[i : i + 4096]) for q, r in pairs for i in range(0, len(r), 4096)):
+            for at in range(0, len(queries), 2048):
+                q = np.asarray(queries[at : at + 2048])
                 s = x[q] @ x[rows].T
                 if floor is not None:
                     found += _above(s, q, rows, k, floor)
@@ -366,7 +374,7 @@ def similar_vectors(df: DataFrame, k: int = 10, floor: float | None = None, reca
         .agg(F.first("vector").alias("vector"))
         .join(live.select("model", "a1", "a2").distinct(), ["model", "a1", "a2"], "left_semi")
     )
-    routed = vectors.mapInArrow(_route(trees), _ROUTED_DDL)
+    routed = vectors.mapInArrow(_route(trees, floor is not None), _ROUTED_DDL)
     near = routed.groupBy("model", "cell").applyInPandas(_compare(k, floor), _PAIRS_DDL)
     best = Window.partitionBy("model", "a1", "a2").orderBy(F.desc("similarity"), "b1", "b2")
     near = near.dropDuplicates(["model", "a1", "a2", "b1", "b2"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")

@@ -19,7 +19,7 @@ P1_FLOOR = 0.90
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    near = neighbours.similar_vectors(table(spark, root, "chunk_embeddings"), k=10, floor=P1_FLOOR, recall=0.98)
+    near = neighbours.similar_vectors(table(spark, root, "chunk_embeddings"), k=10, floor=P1_FLOOR, recall=0.985)
     a, b = F.col("chunk_id"), F.col("neighbour")
     return near.select(F.least(a, b).alias("chunk_id_a"), F.greatest(a, b).alias("chunk_id_b")).distinct()
 
@@ -112,7 +112,23 @@ def p8_restored(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_main_text, p5_found, p5_repaired, p6_containers, p6_report, p7_mixture, p7_report, p8_found, p8_restored)}
 
 SQL: dict[str, str] = {
+    "p1_found": """
+        WITH good AS (SELECT chunk_id, model_name, max(vector::DOUBLE[]) AS v FROM chunk_embeddings
+            WHERE vector IS NOT NULL AND len(vector) = dimension AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0
+              AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY chunk_id, model_name),
+        near AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.v, b.v) AS s
+            FROM good a JOIN good b ON b.model_name = a.model_name AND b.chunk_id <> a.chunk_id),
+        best AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM near WHERE s >= 0.9)
+        SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM best WHERE r <= 10""",
     "p2_found": r"""
         SELECT DISTINCT id AS chunk_id FROM chunks
         WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]{1,6}')) > 500""",
+    "p3_found": r"""
+        WITH docs AS (SELECT id, arg_max(raw_text, updated_at) AS t FROM project_documents GROUP BY id),
+        words AS (SELECT id, regexp_extract_all(lower(t), '[\p{L}\p{N}_]+') AS w FROM docs),
+        spots AS (SELECT id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM words WHERE len(w) >= 3),
+        triples AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM spots),
+        sizes AS (SELECT id, count(*) AS n FROM triples GROUP BY id),
+        shared AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM triples a JOIN triples b ON b.x = a.x AND b.id > a.id GROUP BY a.id, b.id)
+        SELECT id_a, id_b FROM shared s JOIN sizes a ON a.id = id_a JOIN sizes b ON b.id = id_b WHERE s.n::DOUBLE / (a.n + b.n - s.n) >= 0.6""",
 }
