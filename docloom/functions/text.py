@@ -70,7 +70,7 @@ def clean_summary(c: Column | str, limit: int = 200) -> Column:
 
 def first_sentence(c: Column | str) -> Column:
     """The first sentence or line, as an extractive summary."""
-    return F.regexp_extract(normalize_text(c), r"^(?:#+ )?([^\n]*?(?:[.!?](?=\s|$)|$))", 1)
+    return F.regexp_extract(normalize_text(c), r"^(?:#+ )?([^\n]*?(?:[.!?](?=\s|$)|(?=\n)|$))", 1)
 
 
 #: Words that carry no meaning for retrieval.

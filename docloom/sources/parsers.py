@@ -374,7 +374,7 @@ def parse_repository(files: DataFrame, root: str) -> DataFrame:
             raise ValueError("the repository has neither a README nor docstrings")
         return pd.DataFrame({"text": ["\n\n".join(parts)], "title": [root.rstrip("/").rsplit("/", 1)[-1]], "n_files": [len(code)]})
 
-    return readme.unionByName(python).groupBy(F.lit(1)).applyInPandas(joined, "text string, title string, n_files int")
+    return readme.unionByName(python).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(joined, "text string, title string, n_files int")
 
 
 def model_catalogue(spark: SparkSession, path: str) -> DataFrame:
