@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass(frozen=True)
 class Index:
-    """Postings (project_id, term, chunk_id, tf, dl), terms (project_id, term, df, idf) and projects (project_id, n, avgdl, mean_idf)."""
+    """Postings (project_id, term, chunk_id, doc_id, start_char, tf, dl), terms (project_id, term, df, idf) and projects (project_id, n, avgdl, mean_idf)."""
 
     postings: DataFrame
     terms: DataFrame
@@ -23,16 +25,17 @@ class Index:
 
 
 def build(chunks: DataFrame) -> Index:
-    """The index of ``chunks`` (id, project_id, text).
+    """The index of ``chunks`` (id, project_id, doc_id, start_char, text).
 
     Chunks delivered twice count once; chunks without words count towards the project's
     number and mean length. Document frequencies and lengths are summed before they are
     shuffled. A negative idf is replaced by a share of the mean over the vocabulary.
     """
-    words = chunks.dropDuplicates(["id"]).select("project_id", F.col("id").alias("chunk_id"), tokens(F.coalesce("text", F.lit(""))).alias("words"))
-    sizes = words.select("project_id", "chunk_id", F.size("words").alias("dl"), "words")
+    words = chunks.dropDuplicates(["id"]).select("project_id", F.col("id").alias("chunk_id"), "doc_id", "start_char", tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    sizes = words.withColumn("dl", F.size("words"))
     projects = sizes.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = sizes.select("project_id", "chunk_id", "dl", F.explode("words").alias("term")).groupBy("project_id", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    of = ["project_id", "chunk_id", "doc_id", "start_char", "dl"]
+    postings = sizes.select(*of, F.explode("words").alias("term")).groupBy(*of, "term").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("project_id", "term").agg(F.count(F.lit(1)).alias("df"))
     n = F.col("n")
     raw = df.join(projects, "project_id").withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -47,37 +50,110 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "project_id", words.alias("term")).groupBy("query_id", "project_id", "term").agg(F.count(F.lit(1)).alias("qf"))
 
 
-def scores(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score, matched): every chunk of the query's project that holds one of its words.
+#: Chunks and queries of a cell.
+CHUNKS, QUERIES = 1_024, 2_048
+
+
+def _weighed(index: Index, asked: DataFrame) -> DataFrame:
+    """(project_id, term, chunk_id, doc_id, start_char, part): what a word adds to a chunk's score, of the words asked for.
 
-    Postings are cut down to the words that are asked for before anything else is joined;
-    scores are rounded to six places, the precision they are ranked by.
+    Postings are cut down to those words before anything else is joined.
     """
-    asked = query_terms(queries)
     wanted = asked.select("project_id", "term").distinct()
     found = index.postings.join(wanted, ["project_id", "term"], "left_semi")
     weights = index.terms.join(wanted, ["project_id", "term"], "left_semi").join(index.projects.select("project_id", "avgdl"), "project_id")
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    weighed = found.join(weights, ["project_id", "term"]).select("project_id", "term", "chunk_id", part.alias("part"))
+    return found.join(weights, ["project_id", "term"]).select("project_id", "term", "chunk_id", "doc_id", "start_char", part.alias("part"))
+
+
+def scores(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score, matched): every chunk of the query's project that holds one of its words.
+
+    Scores are rounded to six places, the precision they are ranked by. A row per pair; for
+    the best ones only, :func:`search` is far cheaper.
+    """
+    asked = query_terms(queries)
     return (
-        asked.join(weighed, ["project_id", "term"])
+        asked.join(_weighed(index, asked), ["project_id", "term"])
         .groupBy("query_id", "chunk_id")
         .agg(F.round(F.sum(F.col("qf") * F.col("part")), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
     )
 
 
-def search(index: Index, queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+_TOP = "query_id string, chunk_id string, doc_id string, start_char int, score double, matched long"
+
+
+def _best_of_cell(k: int, order: str):
+    """The ``k`` best chunks of each query within a cell; ties go to the order of the corpus."""
+
+    def best(asked: pd.DataFrame, postings: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or postings.empty:
+            return pd.DataFrame(columns=["query_id", "chunk_id", "doc_id", "start_char", "score", "matched"])
+        term, terms = pd.factorize(postings["term"])
+        chunk, ids = pd.factorize(postings["chunk_id"])
+        ids = np.asarray(ids, object)
+        about = postings.drop_duplicates("chunk_id").set_index("chunk_id").loc[ids, ["doc_id", "start_char"]].reset_index(drop=True).assign(chunk_id=ids)
+        place = np.empty(len(ids), int)
+        place[about.sort_values(["doc_id", "start_char", "chunk_id"]).index] = np.arange(len(ids))
+        by_term = np.argsort(term, kind="stable")
+        chunk, part = chunk[by_term], postings["part"].to_numpy()[by_term]
+        ends = np.cumsum(np.bincount(term, minlength=len(terms)))
+        starts = np.concatenate([[0], ends[:-1]])
+        asked = asked.assign(code=pd.Index(terms).get_indexer(asked["term"]))
+        asked = asked[asked["code"] >= 0].sort_values("query_id", kind="stable")
+        query, names = pd.factorize(asked["query_id"])
+        code, qf = asked["code"].to_numpy(), asked["qf"].to_numpy()
+        cuts = np.searchsorted(query, np.arange(len(names) + 1))
+        out = []
+        for i in range(len(names)):
+            mine = slice(cuts[i], cuts[i + 1])
+            at = [np.arange(starts[c], ends[c]) for c in code[mine]]
+            rows = np.concatenate(at)
+            weight = part[rows] * np.repeat(qf[mine], [len(a) for a in at])
+            score = np.bincount(chunk[rows], weight, len(ids))
+            matched = np.bincount(chunk[rows], minlength=len(ids))
+            hits = np.flatnonzero(matched)
+            value = matched[hits] if order == "matched" else np.round(score[hits], 6)
+            if len(hits) > k:
+                keep = value >= np.partition(value, len(value) - k)[len(value) - k]
+                hits, value = hits[keep], value[keep]
+            tie = place[hits] if order == "score" else np.argsort(np.argsort(ids[hits]))
+            hits = hits[np.lexsort((tie, -value))[:k]]
+            out.append((np.full(len(hits), i), hits, score[hits], matched[hits]))
+        if not out:
+            return pd.DataFrame(columns=["query_id", "chunk_id", "doc_id", "start_char", "score", "matched"])
+        q, c, s, m = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"query_id": names[q], "chunk_id": ids[c], "doc_id": about["doc_id"].to_numpy()[c], "start_char": about["start_char"].to_numpy()[c], "score": s, "matched": m})
+
+    return best
+
+
+def search(index: Index, queries: DataFrame, k: int = 10, order: str = "score") -> DataFrame:
     """(query_id, chunk_id, score, normalized, rank): the ``k`` best chunks of each query.
 
     Ties go to the order of the corpus: document, start, id. The normalised score is the
     score over the query's best one; chunks without a positive score are dropped after
-    the cut, as the cut is over all.
+    the cut, as the cut is over all. With ``order="matched"`` the number of the query's
+    words that match decides, then the id.
+
+    A project's chunks and queries are cut into cells of bounded size. All of a chunk's
+    words lie in one cell, so its score is summed there and only ``k`` rows per query and
+    cell are shuffled, not one for every pair of a query and a chunk.
     """
-    place = chunks.dropDuplicates(["id"]).select(F.col("id").alias("chunk_id"), "doc_id", "start_char")
-    ranked = scores(index, queries).join(place, "chunk_id")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "start_char", "chunk_id")
-    top = ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    asked = query_terms(queries)
+    n_queries = queries.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("qs"))
+    blocks = index.projects.select("project_id", F.ceil(F.col("n") / CHUNKS).cast("int").alias("rs")).join(n_queries, "project_id")
+    spot = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(blocks, "project_id").withColumn("q", spot("query_id", "qs")).withColumn("r", every("rs")).select("project_id", "q", "r", "query_id", "term", "qf")
+    right = _weighed(index, asked).join(blocks, "project_id").withColumn("r", spot("chunk_id", "rs")).withColumn("q", every("qs"))
+    right = right.select("project_id", "q", "r", "term", "chunk_id", "doc_id", "start_char", "part")
+    cell = ["project_id", "q", "r"]
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    top = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_best_of_cell(k, order), _TOP).withColumn("score", F.round("score", 6))
+    by = [F.desc("score"), "doc_id", "start_char", "chunk_id"] if order == "score" else [F.desc("matched"), "chunk_id"]
+    top = top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).where(F.col("rank") <= k)
     most = F.max("score").over(Window.partitionBy("query_id"))
     top = top.withColumn("normalized", F.round(F.col("score") / F.when(most > 0, most).otherwise(1.0), 6))
     return top.where("score > 0").select("query_id", "chunk_id", "score", "normalized", "rank")

@@ -22,8 +22,17 @@ def lexical_logit(query: Column, text: Column) -> Column:
     It stands in for a cross-encoder, which needs a trained model: same interface, other
     scores. A query without key words is scored on all its words.
     """
-    asked = F.array_distinct(F.when(F.size(key_words(query)) > 0, key_words(query)).otherwise(tokens(query)))
-    has = F.size(F.array_intersect(asked, tokens(text)))
+    return coverage_logit(asked_words(query), tokens(text))
+
+
+def asked_words(query: Column) -> Column:
+    """The different words that a query is scored on."""
+    return F.array_distinct(F.when(F.size(key_words(query)) > 0, key_words(query)).otherwise(tokens(query)))
+
+
+def coverage_logit(asked: Column, words: Column) -> Column:
+    """The logit from word arrays; with them a text is taken apart once, not once per query."""
+    has = F.size(F.array_intersect(asked, words))
     return 6.0 * F.coalesce(F.try_divide(has, F.size(asked)), F.lit(0.0)) - 3.0
 
 
@@ -46,10 +55,13 @@ def model_reranker(load: Callable[[], Callable[[list[str], list[str]], list[floa
 def rerank(candidates: DataFrame, reranker: Reranker = lexical_logit, k: int | None = None) -> DataFrame:
     """``candidates`` (query_id, query, chunk_id, text, rank, ...) with ``rerank_score`` and their new ``rank``.
 
+    With the default reranker and columns ``asked`` and ``words`` texts aren't taken apart again.
     The score is the logistic of the logit, rounded to six places. Ties keep the order of
     the first stage. ``k`` cuts the list.
     """
-    scored = candidates.withColumn("rerank_score", F.round(sigmoid(reranker(F.col("query"), F.col("text"))), 6))
+    apart = reranker is lexical_logit and {"asked", "words"} <= set(candidates.columns)
+    logit = coverage_logit(F.col("asked"), F.col("words")) if apart else reranker(F.col("query"), F.col("text"))
+    scored = candidates.withColumn("rerank_score", F.round(sigmoid(logit), 6)).drop(*(("asked", "words") if apart else ()))
     best = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank", "chunk_id")
     out = scored.withColumn("__new", F.row_number().over(best)).drop("rank").withColumnRenamed("__new", "rank")
     return out.where(F.col("rank") <= k) if k else out
@@ -100,6 +112,9 @@ def select_adaptively(reranked: DataFrame, top_k: int = 10, min_score: float = 0
     over the parameters.
     """
     given = lambda c, v: F.first(F.col(c)) if c in reranked.columns else F.lit(v)
+    # What is below the floor ends the list, unless it is the best: it need not be gathered.
+    floor = F.col("min_score") if "min_score" in reranked.columns else F.lit(min_score)
+    reranked = reranked.where((F.col("rank") == 1) | (F.col("rerank_score") >= floor))
     rest = [c for c in reranked.columns if c not in ("text", "top_k", "min_score", "context_budget", "rank")]
     item = F.struct("rank", "text", F.struct(*rest).alias("row"))
     rows = reranked.groupBy("query_id").agg(

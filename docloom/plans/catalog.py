@@ -99,8 +99,7 @@ _BM25 = f"""words AS (SELECT project_id, id AS chunk_id, regexp_extract_all(lowe
   SELECT query_id, chunk_id, score, round(score / CASE WHEN m > 0 THEN m ELSE 1.0 END, 6) AS normalized, rank
   FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM top) WHERE score > 0""")
 def keyword_topk(spark: SparkSession, root: str) -> DataFrame:
-    chunks = _chunks(spark, root)
-    return keyword.search(keyword.build(chunks), _questions(spark, root), chunks, K).withColumn("rank", F.col("rank").cast("long"))
+    return keyword.search(keyword.build(_chunks(spark, root)), _questions(spark, root), K).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH {_QUESTIONS}, {_CHUNKS}, {_BM25}
@@ -137,20 +136,14 @@ def semantic_topk(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(f"""WITH {_QUESTIONS}, {_CHUNKS}, {_BM25},
-  cov AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, chunk_id) AS rank FROM scored) WHERE rank <= {K}),
+  cov AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, chunk_id) AS rank, score FROM scored) WHERE rank <= {K} AND score > 0),
   bag AS (SELECT query_id, chunk_id, rank, 0 AS o FROM top WHERE score > 0 UNION ALL SELECT query_id, chunk_id, rank, 1 FROM cov),
   fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS fused, min(CASE WHEN o = 0 THEN rank END) AS r0, min(CASE WHEN o = 1 THEN rank END) AS r1 FROM bag GROUP BY ALL)
   SELECT query_id, chunk_id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, r0 ASC NULLS LAST, r1 ASC NULLS LAST, chunk_id) AS rank FROM fused""")
 def rrf_fusion(spark: SparkSession, root: str) -> DataFrame:
     """BM25 fused with a list by the number of the question's words that match."""
-    from pyspark.sql import Window
-
-    chunks, asked = _chunks(spark, root), _questions(spark, root)
-    index = keyword.build(chunks)
-    first = keyword.search(index, asked, chunks, K)
-    by = Window.partitionBy("query_id").orderBy(F.desc("matched"), "chunk_id")
-    second = keyword.scores(index, asked).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= K)
-    return fusion.fuse(first, second).withColumn("rank", F.col("rank").cast("long"))
+    index, asked = keyword.build(_chunks(spark, root)), _questions(spark, root)
+    return fusion.fuse(keyword.search(index, asked, K), keyword.search(index, asked, K, order="matched")).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query()
@@ -187,7 +180,7 @@ _KEYS = lambda c: f"list_filter(list_filter(regexp_extract_all(lower({c}), {_W})
   SELECT query_id, chunk_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, chunk_id) AS rank FROM scores""")
 def reranked(spark: SparkSession, root: str) -> DataFrame:
     chunks, asked = _chunks(spark, root), _questions(spark, root)
-    found = keyword.search(keyword.build(chunks), asked, chunks, K)
+    found = keyword.search(keyword.build(chunks), asked, K)
     pairs = found.join(asked.select("query_id", F.col("text").alias("query")), "query_id").join(chunks.select(F.col("id").alias("chunk_id"), "text"), "chunk_id")
     return rerank(pairs, lexical_logit).select("query_id", "chunk_id", "rerank_score", F.col("rank").cast("long").alias("rank"))
 

@@ -7,10 +7,10 @@ from enum import Enum
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_context_prefix
+from ..functions.text import strip_context_prefix, tokens
 from ..operators import fusion, keyword, semantic
 from ..operators.embedding import Embedder, HashedWords
-from ..operators.rerank import Reranker, lexical_logit, rerank, select_adaptively
+from ..operators.rerank import Reranker, asked_words, lexical_logit, rerank, select_adaptively
 
 #: Candidates per result that is asked for.
 OVERFETCH = 6
@@ -46,7 +46,7 @@ def candidates(queries: DataFrame, chunks: DataFrame, mode: Mode, k: int, index:
         asked = queries.select("query_id", "project_id", F.lit(embedder.name).alias("model_name"), embedder.column("text").alias("vector"))
         lists.append(semantic.search(vectors, asked.where(semantic.usable(F.col("vector"))), k))
     if mode in (Mode.KEYWORD, Mode.HYBRID):
-        lists.append(keyword.search(index or keyword.build(chunks), queries, chunks, k))
+        lists.append(keyword.search(index or keyword.build(chunks), queries, k))
     if len(lists) == 1:
         return lists[0].select("query_id", "chunk_id", "rank")
     return fusion.fuse(*lists, most=k).select("query_id", "chunk_id", "rank")
@@ -76,6 +76,9 @@ def search(
     ranked = candidates(queries, live, mode_, OVERFETCH * top_k, **stage1)
     texts = live.select(F.col("id").alias("chunk_id"), "doc_id", strip_context_prefix("text").alias("text"), "start_char", "end_char", "strategy")
     asked = queries.select("query_id", F.col("text").alias("query"))
+    if reranker is lexical_logit:
+        texts = texts.withColumn("words", F.array_distinct(tokens("text")))
+        asked = asked.withColumn("asked", asked_words(F.col("query")))
     pairs = ranked.join(asked, "query_id").join(texts, "chunk_id").join(about, "doc_id")
     chosen = select_adaptively(rerank(pairs, reranker), top_k, min_score, context_budget)
     return chosen.select(

@@ -32,13 +32,13 @@ def test_bm25_with_common_and_repeated_words(rows):
 def test_search_ties_and_isolation(rows):
     chunks = rows([("b", "p", "d2", 0, "moss fern"), ("a", "p", "d1", 5, "moss fern"), ("c", "p", "d1", 1, "moss fern"), ("z", "p", "d3", 0, "rock rock"), ("y", "p", "d3", 1, "rock"), ("w", "p", "d3", 2, "sand"), ("v", "p", "d3", 3, "clay")], SCHEMA)
     queries = rows([("q1", "p", "moss"), ("q2", "other", "moss")], "query_id string, project_id string, text string")
-    got = keyword.search(keyword.build(chunks), queries, chunks, 2).orderBy("rank").collect()
+    got = keyword.search(keyword.build(chunks), queries, 2).orderBy("rank").collect()
     assert [(r.query_id, r.chunk_id, r.rank, r.normalized) for r in got] == [("q1", "c", 1, 1.0), ("q1", "a", 2, 1.0)]
 
 
 def test_empty_index(rows):
     chunks = rows([], SCHEMA)
-    assert keyword.search(keyword.build(chunks), rows([("q", "p", "a")], "query_id string, project_id string, text string"), chunks).collect() == []
+    assert keyword.search(keyword.build(chunks), rows([("q", "p", "a")], "query_id string, project_id string, text string")).collect() == []
 
 
 def test_index_round_trip(spark, rows, tmp_path):
