@@ -147,11 +147,11 @@ def _bare(c: Column) -> Column:
 def suspect_words(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, word): each record's distinct words that could be garbled, spoken-of ones left out."""
     t = F.col(text)
-    some = df.where(t.rlike(r"[^\x00-\x7F]|&[A-Za-z]{2,8};")).select(key, t.alias("__t"))
+    some = df.where(t.rlike(r"[^\x00-\x7F]|&[A-Za-z]{2,8};")).select(F.col(key).alias("key"), t.alias("__t"))
     for pattern in _SPOKEN_OF:
         some = some.withColumn("__t", F.regexp_replace("__t", pattern, " "))
     words = F.array_distinct(F.transform(F.regexp_extract_all("__t", F.lit(SUSPECT), F.lit(0)), lambda w: F.btrim(w, F.lit(_EDGE))))
-    return some.select(key, F.explode(words).alias("word"))
+    return some.select("key", F.explode(words).alias("word"))
 
 
 def word_table(words: DataFrame) -> DataFrame:
@@ -266,15 +266,17 @@ def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """The keys of the records of which some text was decoded wrongly, each once.
 
     Null, empty and ASCII texts never count, nor do characters that the text only quotes.
+    Columns other than ``key`` and ``text`` are left out, whatever their names; repeated
+    rows count once. A null key is a key.
     """
     words, bad = garbled_words(df, key, text)
-    return words.join(bad.select("word"), "word", "left_semi").select(key).distinct()
+    return words.join(bad.select("word"), "word", "left_semi").select(F.col("key").alias(key)).distinct()
 
 
 def restore(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, restored, complete) of the affected records; ``complete`` is false where characters stay lost."""
     words, bad = garbled_words(df, key, text)
-    fixes = words.join(bad, "word").groupBy(key).agg(F.collect_set(F.struct("word", F.coalesce("restored", "word").alias("restored"))).alias("fixes"))
+    fixes = words.join(bad, "word").groupBy("key").agg(F.collect_set(F.struct("word", F.coalesce("restored", "word").alias("restored"))).alias("fixes"))
 
     @F.pandas_udf("string")
     def mended(texts: pd.Series, lists: pd.Series) -> pd.Series:
@@ -285,4 +287,5 @@ def restore(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             out.append(whole.sub(lambda m: by[m.group()], t).removeprefix("﻿"))
         return pd.Series(out)
 
-    return df.select(key, text).join(fixes, key).select(key, mended(text, "fixes").alias("restored")).withColumn("complete", ~F.contains("restored", F.lit(REPLACED)))
+    texts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return texts.join(fixes, "key").select(F.col("key").alias(key), mended("text", "fixes").alias("restored")).withColumn("complete", ~F.contains("restored", F.lit(REPLACED)))

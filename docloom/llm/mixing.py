@@ -72,7 +72,7 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", total: int |
     source without documents adds nothing. The sample of a source ends before the
     document that would pass its size; later ones that fit fill up the rest.
     """
-    sizes = sizes.where((F.col("tokens") > 0) & F.col("source").isNotNull()).withColumn("source", source_name("source"))
+    sizes = sizes.where((F.col("tokens") > 0) & F.col("source").isNotNull()).select(key, source_name("source").alias("source"), "tokens")
     wanted = demands(sizes, targets, total)
     asked = F.broadcast(wanted.select("source", "squares", "whole", "part", F.col("tokens").alias("held")))
     docs = sizes.join(asked, "source").withColumn("order", _order(seed, key)).withColumn("bin", F.floor(F.col("order") * BINS).cast("int"))

@@ -1,11 +1,12 @@
 """Problem 3: near-duplicate texts by a chosen-path set similarity join.
 
 Each text is the set of its word shingles, embedded by minwise hashing. In every tree a
-node picks one coordinate of the embedding, by a hash of the node itself, and sends its
-texts to children by their value there; texts that share a path meet in a node. A node of
-few texts is compared exhaustively, a larger one branches on. Trees are independent and
-repeated until a pair at the threshold meets with the target recall. Compared is first on
-one-bit sketches, then exactly on the shingles of the whole texts.
+node picks coordinates of the embedding, by a hash of the node itself, and sends its texts
+to children by their values there; texts that share a path meet in a node. A node of few
+texts is compared exhaustively, a larger one branches on, by two coordinates each time, so
+that a pair that met so far is seldom lost. Trees are independent and repeated until a
+pair at the threshold meets with the target recall. Compared is first on one-bit sketches,
+then exactly on the shingles of the whole texts.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ _WORD = re.compile(r"\w+")
 #: Size of the minwise embedding, and bits of the sketch that is taken from it.
 COORDINATES, SKETCH_BITS = 64, 256
 #: Texts that a node compares exhaustively; a node above it branches as long as it can.
-NODE = 64
+NODE = 512
+#: Coordinates that a large node branches by: the least number not below 1 / threshold, for thresholds from one half.
+BRANCHES = 2
 #: Large nodes are broadcast up to so many rows of 16 bytes, beyond them joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -42,18 +45,19 @@ class Plan:
     threshold: float
     recall: float
     first: int = 2
-    last: int = 6
+    last: int = 4
 
     @property
     def trees(self) -> int:
-        """So many that a pair at the threshold meets at depth ``first`` in one of them.
-
-        Nodes that must branch further lose some pairs; the sketch keeps what is left of
-        the recall, and the pairs well above the threshold meet in many trees.
-        """
-        meet = self.threshold ** (self.first + 0.5)
+        """So many that a pair at the threshold meets in one of them, even if large nodes branch once."""
+        meet = self.threshold**self.first * (1 - (1 - self.threshold) ** BRANCHES)
         return max(4, math.ceil(math.log(1 - self.recall) / math.log(1 - meet)))
 
+    @property
+    def keys(self) -> int:
+        """Node keys of a text in one tree: a node of depth ``first`` and all below it."""
+        return (BRANCHES ** (self.last - self.first + 1) - 1) // (BRANCHES - 1)
+
     @property
     def least(self) -> int:
         """Equal sketch bits below which a pair at the threshold falls in 1 of 1000 cases."""
@@ -107,15 +111,19 @@ def embed(shingles: np.ndarray) -> np.ndarray:
 
 
 def paths(values: np.ndarray, plan: Plan) -> np.ndarray:
-    """(trees, depths) of node keys: a node picks its coordinate by a hash of its key."""
+    """(trees, keys) of node keys, each node before those below it: a node picks its coordinates by a hash of its key."""
+
+    def child(key: np.ndarray, depth: int, branch: int) -> np.ndarray:
+        pick = (mix(key + np.uint64(1 + depth * BRANCHES + branch)) % np.uint64(COORDINATES)).astype(int)
+        return mix((key ^ mix(values[pick])) + np.uint64(branch))
+
+    def below(key: np.ndarray, depth: int) -> list[np.ndarray]:
+        return [key] + [k for b in range(BRANCHES if depth < plan.last else 0) for k in below(child(key, depth, b), depth + 1)]
+
     key = mix(np.arange(1, plan.trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    out = []
-    for depth in range(1, plan.last + 1):
-        pick = (mix(key + np.uint64(depth)) % np.uint64(COORDINATES)).astype(int)
-        key = mix(key ^ mix(values[pick]))
-        if depth >= plan.first:
-            out.append(key)
-    return np.stack(out, 1)
+    for depth in range(plan.first):
+        key = child(key, depth, 0)
+    return np.stack(below(key, plan.first), 1)
 
 
 _EMBEDDED_DDL = "t1 long, t2 long, sketch binary, paths array<long>"
@@ -217,11 +225,10 @@ def candidate_pairs(texts: DataFrame, plan: Plan) -> DataFrame:
     ``NODE`` move on to the node's children and so on, and what is still large at the last
     depth is compared in blocks.
     """
-    depths = plan.last - plan.first + 1
     embedded = cut_lineage(texts.mapInArrow(_embedded(plan), _EMBEDDED_DDL).groupBy("t1", "t2").agg(F.first("sketch").alias("sketch"), F.first("paths").alias("paths")))
     tree = F.explode(F.sequence(F.lit(0), F.lit(plan.trees - 1)))
     level = embedded.withColumn("tree", tree).select(
-        F.get("paths", F.col("tree") * depths).alias("node"), F.slice("paths", F.col("tree") * depths + 2, depths - 1).alias("deeper"), "t1", "t2", "sketch"
+        F.get("paths", F.col("tree") * plan.keys).alias("node"), F.slice("paths", F.col("tree") * plan.keys + 2, plan.keys - 1).alias("deeper"), "t1", "t2", "sketch"
     )
     small = []
     for depth in range(plan.first, plan.last + 1):
@@ -237,7 +244,10 @@ def candidate_pairs(texts: DataFrame, plan: Plan) -> DataFrame:
         if depth == plan.last:
             small.append(_blocks(big, large))
             break
-        level = cut_lineage(big.select(F.col("deeper")[0].alias("node"), F.slice("deeper", 2, 64).alias("deeper"), "t1", "t2", "sketch"))
+        part = (F.size("deeper") / BRANCHES).cast("int")
+        children = [F.slice("deeper", 1 + b * part, part) for b in range(BRANCHES)]
+        level = big.select(F.explode(F.array(*children)).alias("sub"), "t1", "t2", "sketch")
+        level = cut_lineage(level.select(F.get("sub", F.lit(0)).alias("node"), F.slice("sub", F.lit(2), F.size("sub")).alias("deeper"), "t1", "t2", "sketch"))
     nodes = small[0]
     for more in small[1:]:
         nodes = nodes.unionByName(more)

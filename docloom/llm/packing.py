@@ -108,7 +108,8 @@ def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
     """(key, part, start, tokens, container): each text of ``sizes`` (key, tokens) with its container.
 
     ``start`` is the first token of the part in its text. Texts without tokens take no
-    room and have no row. Keys must be distinct; ties are resolved by the key.
+    room and have no row, and so do null sizes. Keys must be distinct; ties are resolved
+    by the key; columns other than ``key`` and ``tokens`` are left out.
     """
     items = cut_lineage(items_of(sizes, key, capacity))
     name = lambda *c: F.hex(F.xxhash64(*c))

@@ -130,7 +130,7 @@ _WORD = re.compile(r"[^\W\d_]+|\d+|[©®™★↑→»›|·•]")
 
 def web_pages(df: DataFrame) -> Column:
     """Documents taken from web pages: by their type, or by an address when they are no repository."""
-    kind = F.lower(F.trim("source_type"))
+    kind = F.coalesce(F.lower(F.trim("source_type")), F.lit(""))
     return ((kind == "web") | (F.col("source_url").isNotNull() & (kind != "repository"))) & (F.length("raw_text") > 0)
 
 
@@ -453,7 +453,11 @@ def line_labels(df: DataFrame, model: PageModel | None = None) -> DataFrame:
 
 
 def boilerplate(df: DataFrame) -> DataFrame:
-    """(id, line_no) of the lines that belong to the page around the main body. Null and empty texts give no rows."""
+    """(id, line_no) of the lines that belong to the page around the main body.
+
+    Null, empty and blank texts give no rows; a missing title, address or type is none. Rows
+    of the same id are taken for one delivered twice; other columns are left out.
+    """
     return line_labels(df).where(F.col("content") < 0.5).select("id", "line_no")
 
 

@@ -28,11 +28,11 @@ def encoder(vocabulary: bytes):
 def with_tokens(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``df`` without ``text``, with ``tokens``: the tokens of the whole text, 0 for null and empty ones.
 
-    The driver reads the vocabulary and sends it along, under 1 MB.
+    A column ``tokens`` that was there is replaced. The driver reads the vocabulary and sends it along, under 1 MB.
     """
     with open(vocabulary, "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
-    rest = df.drop(text)
+    rest = df.drop(text, "tokens")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
