@@ -2,7 +2,8 @@
 
 A grouping genetic algorithm: an individual is a packing, its genes are whole bins.
 Crossover injects well-filled bins of one packing into another, drops the bins that then
-hold an item twice, and puts the displaced items back by best fit. Items are spread over
+hold an item twice, swaps displaced items into other bins where they fill them better, and
+puts the rest back by best fit. Items are spread over
 islands of a bounded number of items; on each, several populations evolve and exchange
 their elite, and between epochs the well-filled bins of all islands are kept while the
 items of the others move on to new islands.
@@ -21,7 +22,7 @@ from ..session import cut_lineage
 
 CAPACITY = 2_048
 #: Items of an island; populations on it, packings in each, and generations at most.
-ISLAND, POPULATIONS, PACKINGS, GENERATIONS = 1_000, 2, 4, 12
+ISLAND, POPULATIONS, PACKINGS, GENERATIONS = 1_000, 2, 6, 40
 #: A bin filled to at least this share is kept between epochs.
 ELITE = 0.995
 
@@ -48,6 +49,31 @@ def fitness(packing: Packing, size: list[int], capacity: int) -> float:
     return sum((sum(size[i] for i in b) / capacity) ** 2 for b in packing) / max(1, len(packing))
 
 
+def replace(bins: Packing, loose: list[int], size: list[int], capacity: int) -> list[int]:
+    """Items of ``bins`` swapped for larger ``loose`` ones that fill a bin better; what is loose then, in smaller items.
+
+    One loose item takes the place of one or of two items of a bin.
+    """
+    pool = sorted((size[i], i) for i in loose)
+    for x in bins:
+        room = capacity - sum(size[i] for i in x)
+        groups = [(i,) for i in x] + ([(i, j) for n, i in enumerate(x) for j in x[n + 1 :]] if len(x) <= 12 else [])
+        best = None
+        for g in groups if room else ():
+            held = sum(size[i] for i in g)
+            at = bisect_left(pool, (held + room + 1, -1)) - 1
+            if at >= 0 and pool[at][0] > held and (best is None or pool[at][0] - held > best[0]):
+                best = (pool[at][0] - held, at, g)
+        if best:
+            _, at, g = best
+            _, new = pool.pop(at)
+            for i in g:
+                x.remove(i)
+                insort(pool, (size[i], i))
+            x.append(new)
+    return [i for _, i in pool]
+
+
 def crossover(a: Packing, b: Packing, size: list[int], capacity: int, rng: random.Random) -> Packing:
     """Well-filled bins of ``b`` injected into ``a``; what they displace is put back by best fit."""
     full = sorted(b, key=lambda x: -sum(size[i] for i in x))[: max(1, len(b) // 2)]
@@ -63,6 +89,7 @@ def crossover(a: Packing, b: Packing, size: list[int], capacity: int, rng: rando
     kept.sort(key=lambda x: -sum(size[i] for i in x))
     for _ in range(min(len(kept) - 1, max(1, len(kept) // 20))):
         loose += kept.pop()
+    loose = replace(kept, loose, size, capacity)
     return best_fit(kept, loose, size, capacity)
 
 
