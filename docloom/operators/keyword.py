@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import cut_lineage
 
 #: Constants of the scoring function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -36,6 +37,8 @@ def build(chunks: DataFrame) -> Index:
     projects = sizes.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     of = ["project_id", "chunk_id", "doc_id", "start_char", "dl"]
     postings = sizes.select(*of, F.explode("words").alias("term")).groupBy(*of, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Everything below reads the postings; the texts are taken apart once.
+    postings = cut_lineage(postings)
     df = postings.groupBy("project_id", "term").agg(F.count(F.lit(1)).alias("df"))
     n = F.col("n")
     raw = df.join(projects, "project_id").withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))

@@ -49,6 +49,6 @@ def test_plans_are_what_they_should_be(spark):
     plan = catalog.QUERIES["activity_metrics"](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
     assert "raw_text" not in plan
     plan = catalog.QUERIES["keyword_topk"](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "LeftSemi" in plan and "metadata" not in plan
+    assert "WindowGroupLimit" in plan and "LeftSemi" in plan and "raw_text" not in plan
     plan = catalog.QUERIES["embeddings_of_docs"](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
     assert "vector" not in plan and "LeftSemi" in plan
