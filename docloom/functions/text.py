@@ -145,3 +145,8 @@ def table_markdown(c: Column) -> Column:
     rule = F.concat(F.lit("| "), F.array_join(F.transform(c[0], lambda _: F.lit("---")), " | "), F.lit(" |"))
     body = F.concat(F.array(row(c[0]), rule), F.transform(F.slice(c, 2, 1_000_000), row))
     return F.when((F.size(c) > 0) & (F.size(c[0]) > 0), F.array_join(body, "\n")).otherwise("")
+
+
+def kilo_chars(n: Column) -> Column:
+    """A number of characters in thousands, as a label."""
+    return F.format_string("%.0fk chars", n / 1000)

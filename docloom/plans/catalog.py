@@ -514,3 +514,20 @@ def lineitem_totals(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "lineitem", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount")
     revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(revenue), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("discount"))
+
+
+@query("""SELECT event_type, count(*) AS events, count((props::JSON ->> 'k')::BIGINT) AS with_k, sum((props::JSON ->> 'k')::BIGINT)::BIGINT AS k FROM events GROUP BY event_type""")
+def json_props(spark: SparkSession, root: str) -> DataFrame:
+    """A field of a JSON column, read with its type; text that is no JSON has none."""
+    k = F.from_json("props", "k long")["k"]
+    return table(spark, root, "events", "event_type", "props").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count(k).alias("with_k"), F.sum(k).alias("k"))
+
+
+@query(f"""WITH {_DOCS}, w AS (SELECT source_type, metadata['page_count']::INT AS pages, len(list_filter(string_split_regex(coalesce(raw_text, ''), '\\s+'), lambda x: x <> '')) AS words FROM docs WHERE metadata['page_count'] IS NOT NULL)
+  SELECT lower(trim(source_type)) AS source_type, count(*) AS documents, round(avg(words / pages::DOUBLE), 6) AS words_per_page, count(*) FILTER (WHERE words / pages::DOUBLE < 120) AS slides FROM w GROUP BY 1""")
+def page_density(spark: SparkSession, root: str) -> DataFrame:
+    """Words per page of paged documents, by which slides are told from text."""
+    pages = F.try_element_at("metadata", F.lit("page_count")).try_cast("int")
+    words = F.size(F.filter(F.split(F.coalesce("raw_text", F.lit("")), r"\s+"), lambda w: w != ""))
+    rows = _docs(spark, root).where(pages.isNotNull()).select(corpus.source_type("source_type").alias("source_type"), (words / pages.cast("double")).alias("density"))
+    return rows.groupBy("source_type").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("density"), 6).alias("words_per_page"), F.count_if(F.col("density") < 120).alias("slides"))

@@ -87,6 +87,10 @@ def test_sanitize(spark):
     assert values(spark, data, answers.sanitize(F.col("x"))) == [f"{para}\n\nShort.\n\nShort.", "Hi", "", "ok"]
 
 
+def test_kilo_chars(spark):
+    assert values(spark, ["1499", "1501"], text.kilo_chars(F.col("x").cast("int"))) == ["1k chars", "2k chars"]
+
+
 def test_refusal(spark):
     assert values(spark, ["I DON'T KNOW that", "It is 5."], answers.is_refusal(F.col("x"))) == [True, False]
 
