@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
+from functools import lru_cache
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +28,23 @@ def get_session(app: str = "docloom", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; ``fallback`` only where none is set.
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """A folder of this process for local sessions, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="docloom-checkpoints-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared folder named by ``spark.checkpoint.dir``, set for the context; None where a cluster names none.
 
     The setting is read from the session, so on a cluster all executors write to the
-    folder its owner chose. ``fallback`` is meant for tests on one machine.
+    folder its owner chose. Only a session on one machine gets a folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (_own_folder() if local else None)
+    if folder and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -43,10 +54,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Written to the shared checkpoint folder, so it outlives lost executors. Where a cluster
     names no folder the rows are kept as a cached table instead, which is computed again
-    for partitions that get lost; only a local session gets a folder of its own.
+    for partitions that get lost.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.master.startswith("local["):
-        checkpoint_dir(spark, os.path.join(tempfile.gettempdir(), "docloom-checkpoints"))
-        return df.checkpoint()
-    return df.persist(StorageLevel.DISK_ONLY)
+    return df.checkpoint() if checkpoint_dir(df.sparkSession) else df.persist(StorageLevel.DISK_ONLY)
