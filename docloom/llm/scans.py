@@ -330,10 +330,15 @@ def scan_words(df: DataFrame) -> DataFrame:
 
 
 def vocabulary(df: DataFrame, text: str = "raw_text") -> DataFrame:
-    """(lower, n): in how many texts each lower-case word occurs, over all of ``df``."""
+    """(lower, n): in how many different texts each lower-case word occurs, over all of ``df``.
+
+    Copies under other ids and rows delivered twice count once; texts that have the same
+    words in the same order, but for blanks and punctuation, are the same.
+    """
     edge = F.lit(_EDGE)
     ws = F.array_distinct(F.transform(F.split(F.lower(F.regexp_replace(text, "[\xad]", "")), r"\s+"), lambda w: F.btrim(w, edge)))
-    return df.select(F.explode(ws).alias("lower")).where(F.length("lower") > 1).groupBy("lower").agg(F.count(F.lit(1)).alias("n"))
+    texts = df.select(ws.alias("ws")).groupBy(F.xxhash64("ws").alias("same")).agg(F.first("ws").alias("ws"))
+    return texts.select(F.explode("ws").alias("lower")).where(F.length("lower") > 1).groupBy("lower").agg(F.count(F.lit(1)).alias("n"))
 
 
 _NUMERIC = re.compile(r"(?=.*\d)(?=.*[lIOo|])[\dlIOo|]+|[lIO]{2,4}|[A-Z]{1,2}(?=\w*\d)(?=\w*[lIOo|])[\dlIOo|]+")

@@ -126,6 +126,21 @@ def test_repairs(rows):
     assert scans.find_repairs(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_scan_are_one_text(rows):
+    rng = random.Random(6)
+    words = "harbour section crane ledger valve observation winter notebook quiet margin record second survey moved".split()
+    plain = [doc(f"p{i}", " ".join(rng.choice(words) for _ in range(80)), kind="text") for i in range(60)]
+    text, lines = scan(7, rng, words)
+    # Rows delivered twice, and copies under other ids, some with other line ends.
+    copies = [doc(f"c{i}", text.replace("\n", "\r\n") if i % 5 == 0 else text, "Quay", {"page_count": "2"}, "pdf") for i in range(450)]
+    df = rows(plain + copies + copies[:100], DOC)
+    n = {r.lower: r.n for r in scans.vocabulary(df).collect()}
+    assert n["s*ction"] == 1 and n["crane"] <= 61
+    line = next(i for i, x in enumerate(lines, 1) if "s*ction" in x)
+    got = scans.find_repairs(df).where(f"kind = 'misread' AND line_no = {line}")
+    assert {r.id for r in got.collect()} == {f"c{i}" for i in range(450)}
+
+
 def test_word_classes():
     assert scans.looks("rnodern") == scans.looks("modern") and scans.looks("Tab1e") == scans.looks("table") and scans.looks("flle") == scans.looks("file")
     assert scans.looks("crane") != scans.looks("quay")
