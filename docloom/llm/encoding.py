@@ -26,7 +26,7 @@ READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "cp866", "
 WRITTEN_IN = ("utf-8", "cp1252", "cp1250", "cp1251", "koi8-r", "mac-roman", "cp850", "iso8859-2", "cp866")
 #: Different words that must support a pair of single-byte encodings before it is applied.
 MIN_SUPPORT = 3
-#: A clean word is seen in at least so many records.
+#: A clean word is seen in at least so many different texts, or records where texts don't decide.
 MIN_CLEAN = 2
 
 REPLACED, MARK = "�", "¤"
@@ -145,29 +145,30 @@ def _bare(c: Column) -> Column:
 
 
 def suspect_words(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, word): each record's distinct words that could be garbled, spoken-of ones left out."""
+    """(key, same, word): each record's distinct words that could be garbled, spoken-of ones left out; ``same`` is equal for equal texts."""
     t = F.col(text)
-    some = df.where(t.rlike(r"[^\x00-\x7F]|&[A-Za-z]{2,8};")).select(F.col(key).alias("key"), t.alias("__t"))
+    some = df.where(t.rlike(r"[^\x00-\x7F]|&[A-Za-z]{2,8};")).select(F.col(key).alias("key"), F.xxhash64(t).alias("same"), t.alias("__t"))
     for pattern in _SPOKEN_OF:
         some = some.withColumn("__t", F.regexp_replace("__t", pattern, " "))
     words = F.array_distinct(F.transform(F.regexp_extract_all("__t", F.lit(SUSPECT), F.lit(0)), lambda w: F.btrim(w, F.lit(_EDGE))))
-    return some.select("key", F.explode(words).alias("word"))
+    return some.select("key", "same", F.explode(words).alias("word"))
 
 
 def word_table(words: DataFrame) -> DataFrame:
-    """(word, n): in how many records each word occurs."""
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """(word, n, records): in how many different texts each word occurs, and in how many records, copies included."""
+    texts = words.groupBy("same", "word").agg(F.count(F.lit(1)).alias("records"))
+    return texts.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("records").alias("records"))
 
 
 def candidate_table(table: DataFrame) -> DataFrame:
-    """(word, n, read_as, written_in, restored) for every encoding pair that can explain a word."""
+    """(word, n, records, read_as, written_in, restored) for every encoding pair that can explain a word."""
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(w, n, *c) for w, n in zip(pdf["word"], pdf["n"]) for c in _candidates(w)]
-            yield pd.DataFrame(rows, columns=["word", "n", "read_as", "written_in", "restored"])
+            rows = [(w, n, r, *c) for w, n, r in zip(pdf["word"], pdf["n"], pdf["records"]) for c in _candidates(w)]
+            yield pd.DataFrame(rows, columns=["word", "n", "records", "read_as", "written_in", "restored"])
 
-    return table.mapInPandas(explain, "word string, n long, read_as string, written_in string, restored string")
+    return table.mapInPandas(explain, "word string, n long, records long, read_as string, written_in string, restored string")
 
 
 _RUNS = re.compile(r"(?:[^\x00-\x7F]|&[A-Za-z]{2,8};)+")
@@ -188,15 +189,21 @@ def explained(garbled: str, clean: str) -> list[tuple[str, str]]:
 
 
 def twins(table: DataFrame) -> DataFrame:
-    """(shape, clean, n_clean, n_all): the most frequent word of each shape. Words of one run only have no shape of use."""
+    """(shape, clean, n_clean, r_clean, n_all, r_all): the word of each shape that is in most texts, then records, and its share of both. Words of one run only have no shape of use."""
     return (
         table.where(~F.contains("word", F.lit(REPLACED)) & ~_bare(F.col("word")))
         .groupBy(shape(F.col("word")).alias("shape"))
-        .agg(F.max_by("word", F.struct("n", "word")).alias("clean"), F.max("n").alias("n_clean"), F.sum("n").alias("n_all"))
-        .where(F.col("n_clean") >= MIN_CLEAN)
+        .agg(F.max(F.struct("n", "records", "word")).alias("top"), F.sum("n").alias("n_all"), F.sum("records").alias("r_all"))
+        .select("shape", F.col("top.word").alias("clean"), F.col("top.n").alias("n_clean"), F.col("top.records").alias("r_clean"), "n_all", "r_all")
+        .where(F.col("r_clean") >= MIN_CLEAN)
     )
 
 
+def _more_frequent() -> Column:
+    """Whether the clean word is in more texts than the word itself, or in as many texts and more records."""
+    return F.struct("n_clean", "r_clean") > F.struct(F.col("n").alias("n_clean"), F.col("records").alias("r_clean"))
+
+
 def learned_pairs(candidates: DataFrame, table: DataFrame) -> DataFrame:
     """(read_as, written_in, support): encoding pairs that turn garbled words into clean twins.
 
@@ -209,7 +216,7 @@ def learned_pairs(candidates: DataFrame, table: DataFrame) -> DataFrame:
         .withColumn("shape", shape(F.col("word")))
         .where(~_bare(F.col("word")))
         .join(twins(table), "shape")
-        .where((F.col("word") != F.col("clean")) & (F.col("n_clean") > F.col("n")))
+        .where((F.col("word") != F.col("clean")) & _more_frequent())
         .select("word", "clean")
     )
 
@@ -219,8 +226,8 @@ def learned_pairs(candidates: DataFrame, table: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["word", "read_as", "written_in"])
 
     inferred = beside.mapInPandas(infer, "word string, read_as string, written_in string")
-    clean = table.where(F.col("n") >= MIN_CLEAN).select(F.col("word").alias("restored"), F.col("n").alias("n_clean"))
-    bare = candidates.where(_bare(F.col("word")) & (F.length("word") > 2)).join(clean, "restored").where(F.col("n_clean") > F.col("n"))
+    clean = table.where(F.col("records") >= MIN_CLEAN).select(F.col("word").alias("restored"), F.col("n").alias("n_clean"), F.col("records").alias("r_clean"))
+    bare = candidates.where(_bare(F.col("word")) & (F.length("word") > 2)).join(clean, "restored").where(_more_frequent())
     return (
         inferred.unionByName(bare.select("word", "read_as", "written_in"))
         .groupBy("read_as", "written_in")
@@ -228,38 +235,72 @@ def learned_pairs(candidates: DataFrame, table: DataFrame) -> DataFrame:
     )
 
 
-def garbled_words(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(key, word) of all records, and (word, restored) of the garbled words among them.
+def garbled_words(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(key, same, word) of all records, and (word, restored) of the garbled words among them.
+
+    Beside them the candidates, and the readings (word, restored, read_as, written_in,
+    support) that were accepted.
 
     ``restored`` is null where characters were lost. UTF-8 proves itself by its multi-byte
     sequences; a single-byte pair is applied when it was learned from ``MIN_SUPPORT`` words
-    and makes a word that is found clean more than twice as often as the garbled one. Of
-    several readings the one found clean in most records wins, then UTF-8, then support.
+    and makes a word that is found clean in more than twice as many different texts as the garbled one, or in no fewer
+    texts and more than twice as many records. Of
+    several readings the one found clean in most texts wins, then UTF-8, then support.
     """
     words = cut_lineage(suspect_words(df, key, text))
     table = word_table(words)
     candidates = candidate_table(table)
     pairs = learned_pairs(candidates, table)
-    clean = table.select(F.col("word").alias("restored"), F.col("n").alias("n_clean"))
+    clean = table.select(F.col("word").alias("restored"), F.col("n").alias("n_clean"), F.col("records").alias("r_clean"))
     utf8 = F.col("written_in") == "utf-8"
     telling = ~_bare(F.col("word")) | (F.length("word") > 2)
-    known = telling & (F.col("support") >= MIN_SUPPORT) & (F.col("n_clean") >= MIN_CLEAN) & (F.col("n_clean") > 2 * F.col("n"))
-    ranked = (
+    by_texts = (F.col("n_clean") >= MIN_CLEAN) & (F.col("n_clean") > 2 * F.col("n"))
+    by_records = (F.col("n_clean") >= F.col("n")) & (F.col("r_clean") >= MIN_CLEAN) & (F.col("r_clean") > 2 * F.col("records"))
+    known = telling & (F.col("support") >= MIN_SUPPORT) & (by_texts | by_records)
+    accepted = (
         candidates.where(~F.contains("word", F.lit(REPLACED)))
         .join(F.broadcast(pairs), ["read_as", "written_in"], "left")
         .join(clean, "restored", "left")
-        .fillna(0, ["support", "n_clean"])
+        .fillna(0, ["support", "n_clean", "r_clean"])
         .where(utf8 | known)
-        .groupBy("word")
-        .agg(F.max_by("restored", F.struct(F.col("n_clean") > F.col("n"), utf8, "n_clean", "support", "restored")).alias("restored"))
     )
+    ranked = accepted.groupBy("word").agg(F.max_by("restored", F.struct(_more_frequent(), utf8, "n_clean", "support", "restored")).alias("restored"))
     lost = (
         table.where(F.contains("word", F.lit(REPLACED)))
         .withColumn("shape", shape(F.col("word")))
         .join(twins(table), "shape", "left")
-        .select("word", F.when(2 * F.col("n_clean") > F.col("n_all"), F.col("clean")).alias("restored"))
+        .select("word", F.when((2 * F.col("n_clean") > F.col("n_all")) | (2 * F.col("r_clean") > F.col("r_all")), F.col("clean")).alias("restored"))
     )
-    return words, ranked.unionByName(lost)
+    return words, ranked.unionByName(lost), candidates, accepted
+
+
+def remaining_words(words: DataFrame, bad: DataFrame, candidates: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(same, word, restored): words that are garbled by the single-byte pair which other words of their text confirm.
+
+    The pair of most confirmed words is applied to the text's remaining words, unless a word
+    also stands in a text without confirmed words, or what the pair makes of it has letters
+    that no confirmed word has, mixed case, or capitals for small letters.
+    """
+    texts = cut_lineage(words.select("same", "word").distinct())
+    pair = ["read_as", "written_in"]
+    confirmed = cut_lineage(accepted.where("written_in <> 'utf-8'").join(bad, ["word", "restored"]).select("word", "restored", "support", *pair))
+    told = texts.join(confirmed, "word").groupBy("same", *pair).agg(F.count(F.lit(1)).alias("told"), F.max("support").alias("support"))
+    best = cut_lineage(told.groupBy("same").agg(F.max_by(F.struct(*pair), F.struct("told", "support", *pair)).alias("p")).select("same", "p.*"))
+    elsewhere = texts.join(best, "same", "left_anti").select("word").distinct()
+    letters = confirmed.select(*pair, F.explode(F.split(F.regexp_replace("restored", r"[\x00-\x7F]", ""), "")).alias("c"))
+    letters = letters.groupBy(*pair).agg(F.array_join(F.collect_set("c"), "").alias("letters"))
+    ordinary = ~F.col("restored").rlike(r"\p{Ll}\p{Lu}") & ~((F.col("restored") == F.upper("restored")) & (F.col("word") == F.lower("word")))
+    return (
+        texts.join(best, "same")
+        .join(bad.select("word"), "word", "left_anti")
+        .join(elsewhere, "word", "left_anti")
+        .join(candidates.where(~F.contains("word", F.lit(REPLACED))).drop("n", "records"), ["word", *pair])
+        .join(F.broadcast(letters), pair)
+        .where((F.expr(r"translate(regexp_replace(restored, '[\\x00-\\x7F]', ''), letters, '')") == "") & ordinary)
+        .select("same", "word", "restored")
+    )
+
+
 
 
 def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,14 +310,17 @@ def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     Columns other than ``key`` and ``text`` are left out, whatever their names; repeated
     rows count once. A null key is a key.
     """
-    words, bad = garbled_words(df, key, text)
+    words, bad, _, _ = garbled_words(df, key, text)
     return words.join(bad.select("word"), "word", "left_semi").select(F.col("key").alias(key)).distinct()
 
 
 def restore(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, restored, complete) of the affected records; ``complete`` is false where characters stay lost."""
-    words, bad = garbled_words(df, key, text)
-    fixes = words.join(bad, "word").groupBy("key").agg(F.collect_set(F.struct("word", F.coalesce("restored", "word").alias("restored"))).alias("fixes"))
+    words, bad, candidates, accepted = garbled_words(df, key, text)
+    bad = cut_lineage(bad)
+    more = remaining_words(words, bad, candidates, accepted)
+    fixed = words.join(bad, "word").unionByName(words.join(more, ["same", "word"]).select("word", "key", "same", "restored"))
+    fixes = fixed.groupBy("key").agg(F.collect_set(F.struct("word", F.coalesce("restored", "word").alias("restored"))).alias("fixes"))
 
     @F.pandas_udf("string")
     def mended(texts: pd.Series, lists: pd.Series) -> pd.Series:

@@ -56,6 +56,20 @@ def test_found_and_restored(rows):
     assert back[1006][0] == "Ensuite le déjà" and "Größe" in back[1004][0] and back[1004][1] is False
 
 
+def test_copies_are_one_text_and_a_confirmed_pair_holds_for_all_words(rows):
+    texts, bad, fine = corpus()
+    texts = [(k, f"{t} Blatt {k}") for k, t in texts]
+    hot = {3000 + i: bad[1002] for i in range(150)}
+    # A word seen nowhere else, in a text whose other words confirm the pair; and one that is right as it stands.
+    rare = {4000: "порядок всегда прежде источник рассадка".encode("cp1251").decode("latin-1"), 4001: bad[1002] + ", der Rest fällt", 5000: "Es fällt auf"}
+    data = [*texts, *bad.items(), *fine.items(), *hot.items(), *rare.items()]
+    df = rows(data, "doc_id long, text string")
+    assert {r.doc_id for r in enc.find_garbled(df).collect()} == set(bad) | set(hot) | {4000, 4001}
+    back = {r.doc_id: r.restored for r in enc.restore(df).collect()}
+    assert {back[k] for k in hot} == {"Die Größe und für später"} and back[4000] == "порядок всегда прежде источник рассадка"
+    assert back[4001] == "Die Größe und für später, der Rest fällt"
+
+
 def test_empty_table_and_long_text(rows):
     s = "doc_id long, text string"
     assert enc.find_garbled(rows([], s)).count() == 0 and enc.restore(rows([], s)).count() == 0
