@@ -388,9 +388,7 @@ def corrections(words: DataFrame, vocab: DataFrame) -> DataFrame:
 
     plain = F.regexp_replace("lower", r"[\p{L}’-]", "") == ""
     sure = vocab.where((F.col("n") >= MIN_TEXTS) & plain).mapInPandas(classed, "lower string, n long, looks string")
-    # A word of its own class that is nearly as frequent as any other is what it says it is.
-    known = counted.where(F.col("n") < 400)
-    guesses = known.mapInPandas(guessed, "word string, n long, looks string, numeric string")
+    guesses = counted.mapInPandas(guessed, "word string, n long, looks string, numeric string")
     meant = (
         guesses.where("numeric is null")
         .join(sure.select("looks", F.col("lower").alias("fix"), F.col("n").alias("m")), "looks")

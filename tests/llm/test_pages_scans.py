@@ -141,6 +141,12 @@ def test_copies_of_a_scan_are_one_text(rows):
     assert {r.id for r in got.collect()} == {f"c{i}" for i in range(450)}
 
 
+def test_frequent_misread_words_are_decided_by_ratio(rows):
+    vocab = rows([("every", 60_000), ("everv", 500), ("crane", 500)], "lower string, n long")
+    asked = rows([("everv",), ("every",), ("crane",)], "word string")
+    assert [tuple(r) for r in scans.corrections(asked, vocab).collect()] == [("everv", "every")]
+
+
 def test_word_classes():
     assert scans.looks("rnodern") == scans.looks("modern") and scans.looks("Tab1e") == scans.looks("table") and scans.looks("flle") == scans.looks("file")
     assert scans.looks("crane") != scans.looks("quay")
