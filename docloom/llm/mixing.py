@@ -3,12 +3,15 @@
 A source's share of the mixture, over what it holds, is a number of copies. The whole
 copies are certain for each of its documents; the rest is a sample without repeats in the
 order of the ratio of two odds, those of a random number over those of the document's
-probability of inclusion, cut where the source's size is reached. The cut is found from
-sums over bins of the order, so no source is ever sorted in one task.
+probability of inclusion, cut where the source's size is reached. A document whose
+probability would pass one is certain as well, and the others share what is left. The cut
+is found from sums over bins of the order, so no source is ever sorted in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +20,10 @@ from ..session import cut_lineage
 
 #: Bins of the sampling order in which the cut is looked for.
 BINS = 4_096
-#: Documents after the cut that may fill up a source.
-FILL = 64
+#: Parts that documents of one source and size are ranked in first, before their best ones are.
+SALTS = 64
+#: Rows that are sent to all tasks at most.
+MOST_SENT = 2_000_000
 
 
 def source_name(c: Column | str) -> Column:
@@ -28,7 +33,7 @@ def source_name(c: Column | str) -> Column:
 
 
 def demands(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
-    """One row per target: (source, target_share, max_repeats, documents, tokens, squares, wanted, whole, part).
+    """One row per target: (source, target_share, max_repeats, documents, tokens, wanted, whole, part).
 
     ``wanted`` is the size that the source adds: its share of ``total`` among the sources
     that hold anything, at most ``max_repeats`` times what it holds. Without a ``total``
@@ -36,12 +41,12 @@ def demands(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> D
     ``whole`` copies are certain; ``part`` is the size of the sample beside them.
     """
     held = sizes.where(F.col("tokens") > 0).groupBy("source").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"), F.sum(F.col("tokens").cast("double") * F.col("tokens")).alias("squares")
+        F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens")
     )
     named = targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0)).groupBy(source_name("source").alias("source")).agg(
         F.sum("target_share").alias("target_share"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).cast("long").alias("max_repeats")
     )
-    rows = named.join(held, "source", "left").fillna(0, ["documents", "tokens", "squares"])
+    rows = named.join(held, "source", "left").fillna(0, ["documents", "tokens"])
     every = Window.partitionBy()  # one row per target
     can = F.col("tokens") * F.col("max_repeats")
     share = F.when(can > 0, F.try_divide(F.col("target_share"), F.sum(F.when(can > 0, F.col("target_share"))).over(every))).otherwise(0.0)
@@ -52,16 +57,32 @@ def demands(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> D
     return rows.withColumn("whole", whole).withColumn("part", F.col("wanted") - F.col("whole") * F.col("tokens")).drop("share")
 
 
-def _order(seed: int, key: str) -> Column:
-    """The sampling order in (0, 1): the odds of a random number over the odds of inclusion, as a probability.
+def inclusion(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(source, certain, rate): how the sample of each source in ``wanted`` (source, part) is drawn.
 
-    A document's probability of inclusion grows with its size, so that the sample has the
-    size asked for on average whatever its documents' lengths.
+    A document's probability of inclusion is its size times ``rate``, so that the sample has
+    the size ``part`` on average whatever its documents' lengths; documents of at least
+    ``certain`` tokens would pass a probability of one, so they are in the sample and the
+    rate is that of the rest. Found from the counts of each size, of which a source has at
+    most as many as its longest text has tokens.
     """
+    t = F.col("tokens").cast("double")
+    held = sizes.groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("n")).join(wanted.where("part > 0").select("source", "part"), "source")
+    above = Window.partitionBy("source").orderBy(F.desc("tokens")).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy("source").orderBy(F.desc("tokens")).rowsBetween(0, Window.unboundedFollowing)
+    rows = held.withColumn("sure", F.coalesce(F.sum(F.col("n") * t).over(above), F.lit(0.0))).withColumn("squares", F.sum(F.col("n") * t * t).over(below))
+    rows = rows.withColumn("rate", F.greatest(F.lit(0.0), F.col("part") - F.col("sure")) / F.col("squares"))
+    # The largest size whose probability stays below one once all larger ones are certain.
+    first = rows.where(F.col("rate") * t < 1).groupBy("source").agg(F.max_by(F.struct("tokens", "rate"), "tokens").alias("f"))
+    return first.select("source", (F.col("f.tokens") + 1).alias("certain"), F.col("f.rate").alias("rate"))
+
+
+def _order(seed: int, key: str) -> Column:
+    """The sampling order in [0, 1): the odds of a random number over the odds of inclusion, as a probability; certain documents come first."""
     u = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    p = F.least(F.lit(0.999999), F.greatest(F.lit(1e-9), F.col("tokens") * F.col("part") / F.col("squares")))
+    p = F.greatest(F.lit(1e-12), F.col("tokens") * F.col("rate"))
     q = (u / (1 - u)) / (p / (1 - p))
-    return q / (1 + q)
+    return F.when(F.col("tokens") >= F.col("certain"), 0.0).otherwise(q / (1 + q))
 
 
 def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", total: int | None = None, seed: int = 1) -> DataFrame:
@@ -70,41 +91,49 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", total: int |
     ``sizes`` has distinct keys with ``source`` and ``tokens``; sources are brought to one
     spelling. Documents without tokens or of a source without a target are left out; a
     source without documents adds nothing. The sample of a source ends before the
-    document that would pass its size; later ones that fit fill up the rest.
+    document that would pass its size; all later ones that fit, in order, fill up the rest.
     """
     sizes = sizes.where((F.col("tokens") > 0) & F.col("source").isNotNull()).select(key, source_name("source").alias("source"), "tokens")
+    # A row per target, and at most BINS rows per target below: sent to all tasks only if that is little.
+    send = F.broadcast if targets.count() <= MOST_SENT // BINS else lambda df: df
     wanted = demands(sizes, targets, total)
-    asked = F.broadcast(wanted.select("source", "squares", "whole", "part", F.col("tokens").alias("held")))
-    docs = sizes.join(asked, "source").withColumn("order", _order(seed, key)).withColumn("bin", F.floor(F.col("order") * BINS).cast("int"))
+    asked = wanted.select("source", "whole", "part").join(inclusion(sizes, wanted), "source", "left").fillna({"certain": 1, "rate": 0.0})
+    docs = sizes.join(send(asked), "source").withColumn("order", _order(seed, key)).withColumn("bin", F.floor(F.col("order") * BINS).cast("int"))
     docs = cut_lineage(docs)
     # At most BINS sums a source; the cut lies in the bin in which the part is reached.
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = docs.groupBy("source", "bin").agg(F.sum("tokens").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    docs = docs.join(bins.drop("size"), ["source", "bin"])
+    # A bin that lies before the cut as a whole is taken without being sorted.
+    docs = docs.join(send(bins), ["source", "bin"])
+    sorted_ = (F.col("before") < F.col("part")) & (F.col("before") + F.col("size") > F.col("part"))
+    apart = docs.where(~sorted_).withColumn("extra", F.when(F.col("before") < F.col("part"), 1).otherwise(0))
     within = Window.partitionBy("source", "bin").orderBy("order", key).rowsBetween(Window.unboundedPreceding, -1)
-    beyond = docs.where(F.col("before") >= F.col("part")).withColumn("extra", F.lit(0))
-    open_bins = docs.where(F.col("before") < F.col("part"))
     upto = F.col("before") + F.coalesce(F.sum("tokens").over(within), F.lit(0))
-    open_bins = open_bins.withColumn("extra", F.when(upto + F.col("tokens") <= F.col("part"), 1).otherwise(0))
-    docs = cut_lineage(open_bins.unionByName(beyond).drop("before"))
-    docs = docs.join(F.broadcast(_fill(docs, key)), key, "left")
+    open_bins = docs.where(sorted_).withColumn("extra", F.when(upto + F.col("tokens") <= F.col("part"), 1).otherwise(0))
+    docs = cut_lineage(open_bins.unionByName(apart).drop("before", "size"))
+    docs = docs.join(_fill(docs, key, send), key, "left")
     out = docs.withColumn("copies", (F.col("whole") + F.col("extra") + F.coalesce("filled", F.lit(0))).cast("int"))
     return out.where(F.col("copies") > 0).select(key, "source", "tokens", "copies")
 
 
-def _fill(docs: DataFrame, key: str) -> DataFrame:
-    """(key, filled): documents right after the cut, in order, that bring a source nearer to its size.
+def _fill(docs: DataFrame, key: str, send: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, filled): the documents behind the cut, in order, that still fit a source's size, and one that passes it if that is nearer.
 
-    A long document at the cut would leave a gap as long as itself. At most ``FILL`` rows a source.
+    A long document at the cut would leave a gap as long as itself. Of the documents of one
+    size at most as many fit as the size goes into the gap, and of equal ones the first in
+    order do, so no more of each size are looked at: gap * ln(gap) documents a source at
+    most, whatever the source holds. The gap is shorter than the document at the cut.
     """
     gap = docs.groupBy("source").agg((F.first("part") - F.sum(F.col("extra") * F.col("tokens"))).alias("gap"))
-    first = Window.partitionBy("source").orderBy("order", key)
-    after = docs.where("extra = 0").join(F.broadcast(gap), "source").where(F.col("tokens") < 2 * F.col("gap"))
-    after = after.withColumn("n", F.row_number().over(first)).where(F.col("n") <= FILL).select("source", key, "n", "tokens", "gap")
+    after = docs.where("extra = 0").join(send(gap), "source").where(F.col("tokens") < 2 * F.col("gap"))
+    after = after.select("source", key, "order", "tokens", "gap", F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("salt"))
+    for part in (["source", "tokens", "salt"], ["source", "tokens"]):
+        first = Window.partitionBy(*part).orderBy("order", key)
+        after = after.withColumn("n", F.row_number().over(first)).where(F.col("n") <= F.floor(F.col("gap") / F.col("tokens")) + 1)
     kind = dict(docs.dtypes)[key]
 
     def taken(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
+        pdf = pdf.sort_values(["order", key])
         gap, keys, over = float(pdf["gap"].iloc[0]), [], []
         for k, t in zip(pdf[key], pdf["tokens"]):
             if t <= gap:
@@ -113,11 +142,12 @@ def _fill(docs: DataFrame, key: str) -> DataFrame:
             else:
                 over.append((t, k))
         # The smallest of those that pass the size, if that brings the source nearer to it.
+        over = [x for x in over if x[0] > gap]
         if over and min(over)[0] < 2 * gap:
             keys.append(min(over)[1])
         return pd.DataFrame({key: keys, "filled": 1})
 
-    return after.groupBy("source").applyInPandas(lambda _, pdf: taken(pdf), f"`{key}` {kind}, filled int")
+    return after.drop("salt", "n").groupBy("source").applyInPandas(lambda _, pdf: taken(pdf), f"`{key}` {kind}, filled int")
 
 
 def mixture_report(mixed: DataFrame, sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:

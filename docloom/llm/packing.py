@@ -26,6 +26,9 @@ ISLAND, POPULATIONS, PACKINGS, GENERATIONS = 1_000, 2, 6, 40
 #: A bin filled to at least this share is kept between epochs.
 ELITE = 0.995
 
+#: Partitions that the islands are spread over at most, of some dozens of islands each or more.
+SPREAD = 4_096
+
 Packing = list[list[int]]
 
 
@@ -139,10 +142,10 @@ def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
     by the key; columns other than ``key`` and ``tokens`` are left out.
     """
     items = cut_lineage(items_of(sizes, key, capacity))
-    name = lambda *c: F.hex(F.xxhash64(*c))
-    done = items.where(F.col("tokens") == capacity).withColumn("container", name(F.lit("full"), key, "part"))
+    done = items.where(F.col("tokens") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), key, "part"))
     left = items.where(F.col("tokens") < capacity)
-    schema = f"{left.schema.simpleString()[7:-1]}, bin int, filled long"
+    kept_columns = left.columns
+    schema = f"{left.schema.simpleString()[7:-1]}, island int, bin int, filled long"
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([key, "part"]).reset_index(drop=True)
@@ -151,18 +154,20 @@ def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
         at = {i: (k, sum(size[j] for j in b)) for k, b in enumerate(bins) for i in b}
         pdf["bin"] = [at[i][0] for i in range(len(pdf))]
         pdf["filled"] = [at[i][1] for i in range(len(pdf))]
-        return pdf.drop(columns="island")
+        return pdf[[*kept_columns, "island", "bin", "filled"]]
 
     for epoch in (1, 2):
         islands = max(1, -(-left.count() // ISLAND))
         spot = F.pmod(F.xxhash64(F.lit(epoch), key, "part"), F.lit(islands)).cast("int")
-        out = left.withColumn("island", spot).groupBy("island").applyInPandas(lambda _, pdf: packed(pdf), schema)
-        out = cut_lineage(out.withColumn("container", name(F.lit(epoch), F.pmod(F.xxhash64(F.lit(epoch), key, "part"), F.lit(islands)).cast("int"), "bin")))
+        # Few bytes and much to compute: a stated number of partitions isn't joined into one task.
+        spread = left.withColumn("island", spot).repartition(min(islands, SPREAD), "island")
+        out = cut_lineage(spread.groupBy("island").applyInPandas(lambda _, pdf: packed(pdf), schema))
         kept = out if epoch == 2 or islands == 1 else out.where(F.col("filled") >= ELITE * capacity)
-        done = done.unionByName(kept.drop("bin", "filled"))
+        container = F.concat_ws("-", F.lit(str(epoch)), "island", "bin")
+        done = done.unionByName(kept.withColumn("container", container).drop("island", "bin", "filled"))
         if kept is out:
             break
-        left = out.where(F.col("filled") < ELITE * capacity).drop("bin", "filled", "container")
+        left = out.where(F.col("filled") < ELITE * capacity).drop("island", "bin", "filled")
     return done
 
 

@@ -55,7 +55,7 @@ def looks(word: str) -> str:
     return word
 
 
-_LETTERS_ONLY = re.compile(r"[^\W\d]+")
+_LETTERS_ONLY, _HAS_DIGIT = re.compile(r"[^\W\d]+"), re.compile(r"\d")
 
 
 def _key(line: str) -> str:
@@ -281,8 +281,8 @@ def scanned(df: DataFrame) -> Column:
 def words_of(lines_of: LineModel, text: str, title: str | None) -> Iterator[tuple[int, str, str, int, int, str]]:
     """(line_no, kind, word, cut, next line, compound) of a scanned text.
 
-    ``kind`` is "furniture" (no word), "word", or "cut" for a word that a mark divides at
-    the line's end: ``word`` is then the joined word, ``cut`` the length of its first
+    ``kind`` is "furniture" (no word), "word", "number" for letters beside a number that
+    look like one themselves, or "cut" for a word that a mark divides at the line's end: ``word`` is then the joined word, ``cut`` the length of its first
     part, and ``compound`` the word with the hyphen as its own.
     """
     lines = text.split("\n")
@@ -310,7 +310,8 @@ def words_of(lines_of: LineModel, text: str, title: str | None) -> Iterator[tupl
             if len(w) > 1 and w[0] == w[-1] == "'":
                 w = w[1:-1]
             if len(w) > 1:
-                yield i + 1, "word", w, 0, 0, ""
+                number = _ALL_LETTERS.fullmatch(w) and any(_HAS_DIGIT.search(x) for x in ts[max(0, k - 1) : k] + ts[k + 1 : k + 2])
+                yield i + 1, "number" if number else "word", w, 0, 0, ""
 
 
 _WORDS_DDL = "id string, line_no int, kind string, word string, cut int, next_line int, compound string"
@@ -341,7 +342,9 @@ def vocabulary(df: DataFrame, text: str = "raw_text") -> DataFrame:
     return texts.select(F.explode("ws").alias("lower")).where(F.length("lower") > 1).groupBy("lower").agg(F.count(F.lit(1)).alias("n"))
 
 
-_NUMERIC = re.compile(r"(?=.*\d)(?=.*[lIOo|])[\dlIOo|]+|[lIO]{2,4}|[A-Z]{1,2}(?=\w*\d)(?=\w*[lIOo|])[\dlIOo|]+")
+_NUMERIC = re.compile(r"(?=.*\d)(?=.*[lIOo|])[\dlIOo|]+|[A-Z]{1,2}(?=\w*\d)(?=\w*[lIOo|])[\dlIOo|]+")
+#: A number of which no digit was recognised; a Roman one is what it looks like.
+_ALL_LETTERS = re.compile(r"(?!I+$)[lIO]{2,4}")
 #: Numbers and designations mean what they say.
 _CODE = re.compile(r"[A-Z]{0,3}\d+(?:[./–-]\d+)*")
 _DIGITS = str.maketrans("lI|Oo", "11100")
@@ -349,32 +352,78 @@ _DIGITS = str.maketrans("lI|Oo", "11100")
 MIN_TEXTS, MIN_RATIO = 5, 12
 
 
+#: Noise marks of a word up to which every letter is tried for each; beyond them the vocabulary is searched instead.
+TRIED_MARKS = 3
+
+
 def _guesses(word: str) -> set[str]:
     """Classes that the word may stand for: each noise mark is left out or put for any letter."""
-    spots = [i for i, c in enumerate(word) if c in NOISE]
-    if len(spots) > 3:
-        return set()
     out = {""}
-    for i, c in enumerate(word):
+    for c in word:
         more = {""} | set("abcdefghijklmnopqrstuvwxyz") if c in NOISE else {c}
         out = {a + b for a in out for b in more}
     return {looks(w) for w in out} | {looks(word)}
 
 
+#: How the letters of a class may be written, and the letters that no confusion of several characters has a part in.
+_SPELLED = {meant: (meant, *(s for s, m in _SEEN if m == meant)) for _, meant in _SEEN}
+_APART = frozenset("abcdefghijklmnopqrstuvwxyz".translate(_LETTERS)) - set("".join(s + m for s, m in _SEEN))
+_RUN_APART = re.compile(f"[{''.join(sorted(_APART))}]+")
+
+
+def could_be(word: str, shown: str) -> bool:
+    """Whether ``word``, each mark left out or put for any one letter, may be a word of the class ``shown``."""
+    pattern = [None if c in NOISE else c.translate(_LETTERS) for c in word.lower()]
+
+    def skipped(at: set[int]) -> set[int]:
+        out = set(at)
+        for i in at:
+            while i < len(pattern) and pattern[i] is None:
+                i += 1
+                out.add(i)
+        return out
+
+    at = skipped({0})
+    for letter in shown:
+        after: set[int] = set()
+        for spelled in _SPELLED.get(letter, (letter,)):
+            now = at
+            for c in spelled:
+                now = skipped({i + 1 for i in now if i < len(pattern) and pattern[i] in (None, c)})
+            after |= now
+        at = after
+    return len(pattern) in at
+
+
+def grams(shown: str) -> set[str]:
+    """Runs of up to three letters of a class that stand apart from confusions of several characters."""
+    return {run[i : i + n] for run in _RUN_APART.findall(shown) for n in (1, 2, 3) for i in range(len(run) - n + 1)}
+
+
+def longest_gram(word: str) -> str:
+    """The longest such run between the marks of a word, up to three letters; empty if it has none."""
+    runs = _RUN_APART.findall("".join(" " if c in NOISE else c.translate(_LETTERS) for c in word.lower()))
+    return max((r[:3] for r in runs), key=len, default="")
+
+
 def corrections(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """(word, fix): the misread among ``words`` (word) and what they are.
 
     Words are brought to the class that they fall into under the confusions; the fix is the
-    most frequent word of a class they may stand for, if it is far more frequent.
+    most frequent word of a class they may stand for, if it is far more frequent. A word of
+    more than ``TRIED_MARKS`` noise marks is compared with all words that share its longest
+    run of letters; one that has no letter but those that several characters are taken for
+    says nothing and is left.
     """
-    counted = words.withColumn("lower", F.lower("word")).join(vocab, "lower", "left").fillna(0, ["n"])
+    marks = F.length("word") - F.length(F.translate("word", NOISE, ""))
+    counted = words.withColumn("lower", F.lower("word")).join(vocab, "lower", "left").fillna(0, ["n"]).withColumn("marks", marks)
 
     def guessed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for w, n in zip(pdf["word"], pdf["n"]):
                 if _NUMERIC.fullmatch(w):
-                    head = re.match(r"[A-Z]{0,2}(?=.)", w).group() if w[-1].isdigit() or any(c.isdigit() for c in w) else ""
+                    head = re.match(r"[A-Z]{0,2}(?=.)", w).group()
                     head = head if not set(head) & set("IO") else ""
                     rows.append((w, n, "", head + w[len(head) :].translate(_DIGITS)))
                 elif not _CODE.fullmatch(w):
@@ -386,12 +435,29 @@ def corrections(words: DataFrame, vocab: DataFrame) -> DataFrame:
             pdf["looks"] = [looks(w) for w in pdf["lower"]]
             yield pdf[["lower", "n", "looks"]]
 
+    @F.pandas_udf("string")
+    def gram_of(ws: pd.Series) -> pd.Series:
+        return ws.map(longest_gram)
+
+    @F.pandas_udf("array<string>")
+    def grams_of(shown: pd.Series) -> pd.Series:
+        return shown.map(lambda x: sorted(grams(x)))
+
+    @F.pandas_udf("boolean")
+    def fits(ws: pd.Series, shown: pd.Series) -> pd.Series:
+        return pd.Series([could_be(w, x) for w, x in zip(ws, shown)], dtype=bool)
+
     plain = F.regexp_replace("lower", r"[\p{L}’-]", "") == ""
     sure = vocab.where((F.col("n") >= MIN_TEXTS) & plain).mapInPandas(classed, "lower string, n long, looks string")
-    guesses = counted.mapInPandas(guessed, "word string, n long, looks string, numeric string")
+    meanings = sure.select("looks", F.col("lower").alias("fix"), F.col("n").alias("m"))
+    guesses = counted.where(F.col("marks") <= TRIED_MARKS).select("word", "n").mapInPandas(guessed, "word string, n long, looks string, numeric string")
+    noisy = counted.where(F.col("marks") > TRIED_MARKS).select("word", "n", gram_of("word").alias("gram")).where("gram <> ''")
+    searched = noisy.join(meanings.withColumn("gram", F.explode(grams_of("looks"))), "gram").where(fits("word", "looks")).select("word", "n", "fix", "m")
     meant = (
         guesses.where("numeric is null")
-        .join(sure.select("looks", F.col("lower").alias("fix"), F.col("n").alias("m")), "looks")
+        .join(meanings, "looks")
+        .select("word", "n", "fix", "m")
+        .unionByName(searched)
         .where((F.col("fix") != F.lower("word")) & (F.col("m") >= MIN_RATIO * F.greatest("n", F.lit(1))))
         .groupBy("word")
         .agg(F.max_by("fix", F.struct("m", "fix")).alias("fix"))
@@ -417,7 +483,7 @@ def found_words(df: DataFrame) -> DataFrame:
     docs = df.where(scanned(df)).select("id", "title", "raw_text").dropDuplicates(["id"])
     seen = cut_lineage(scan_words(docs))
     vocab = cut_lineage(vocabulary(df))
-    asked = seen.where("kind <> 'furniture'").select("word").distinct()
+    asked = seen.where("kind NOT IN ('furniture', 'number')").select("word").distinct()
     fixes = cut_lineage(corrections(asked, vocab))
     known = vocab.where(F.col("n") >= MIN_TEXTS).select("lower", F.lit(True).alias("known"))
     hanging = F.lower(F.regexp_extract("compound", "-([^-]*)$", 1)).isin("and", "or", "to", "nor", "und", "oder", "et", "ou", "y", "o", "e")
@@ -425,8 +491,9 @@ def found_words(df: DataFrame) -> DataFrame:
     cut_words = cut_words.withColumn("joined", (F.col("kind") == "soft") | ~hanging | F.coalesce("known", F.lit(False)))
     # What a hanging hyphen leaves apart is two words, and a compound's parts need no fix as one.
     cut_words = cut_words.drop("lower", "known")
-    rest = seen.where("kind NOT IN ('cut', 'soft')").join(fixes, "word", "left").withColumn("joined", F.lit(False))
-    return cut_words.unionByName(rest)
+    rest = seen.where("kind IN ('furniture', 'word')").join(fixes, "word", "left").withColumn("joined", F.lit(False))
+    numbers = seen.where("kind = 'number'").withColumn("fix", F.translate("word", "lIO", "110")).withColumn("joined", F.lit(False))
+    return cut_words.unionByName(rest).unionByName(numbers)
 
 
 def find_repairs(df: DataFrame) -> DataFrame:
@@ -444,8 +511,8 @@ def find_repairs(df: DataFrame) -> DataFrame:
 
     furniture = w.where("kind = 'furniture'").select("id", "line_no", F.lit("furniture").alias("kind"))
     broken = w.where("joined").select("id", "line_no", F.lit("broken_word").alias("kind"))
-    misread = w.where("fix IS NOT NULL AND (kind = 'word' OR joined)").withColumn("spot", spot("word", "fix"))
-    line = F.when((F.col("kind") == "word") | (F.col("spot") < F.col("cut")), F.col("line_no")).otherwise(F.col("next_line"))
+    misread = w.where("fix IS NOT NULL AND (kind IN ('word', 'number') OR joined)").withColumn("spot", spot("word", "fix"))
+    line = F.when(F.col("kind").isin("word", "number") | (F.col("spot") < F.col("cut")), F.col("line_no")).otherwise(F.col("next_line"))
     return furniture.unionByName(broken).unionByName(misread.select("id", line.alias("line_no"), F.lit("misread").alias("kind"))).distinct()
 
 

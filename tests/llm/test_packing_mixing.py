@@ -113,3 +113,32 @@ def test_empty_mixtures(rows):
     targets = rows(TARGETS, "source string, target_share double, max_repeats int")
     assert mixing.mix(sizes.limit(0), targets).count() == 0 and mixing.mix(sizes, targets.limit(0)).count() == 0
     assert mixing.mixture_report(mixing.mix(sizes.limit(0), targets), sizes.limit(0), targets).count() == 4
+
+
+def test_a_gap_takes_as_many_fillers_as_fit(rows):
+    # One long document ends the sample early; the gap is only filled by hundreds of short ones.
+    data = [(i, "s", 5_000 if i < 4 else 11) for i in range(3_000)]
+    sizes = rows(data, "doc_id long, source string, tokens long")
+    targets = rows([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
+    for seed in range(4):
+        got = mixing.mix(sizes, targets, total=9_900, seed=seed).collect()
+        assert abs(sum(r.tokens for r in got) - 9_900) <= 5
+        assert sum(r.tokens == 11 for r in got) > 64
+
+
+def test_documents_that_would_pass_one_are_certain(rows):
+    data = [(i, "s", 9_000 if i < 2 else 10) for i in range(1_000)]
+    sizes = rows(data, "doc_id long, source string, tokens long")
+    targets = rows([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
+    for seed in range(4):
+        got = mixing.mix(sizes, targets, total=20_000, seed=seed).collect()
+        assert {0, 1} <= {r.doc_id for r in got} and sum(r.tokens for r in got) == 20_000
+    odds = mixing.inclusion(sizes, rows([("s", 20_000)], "source string, part long")).collect()
+    assert [(r.source, r.certain) for r in odds] == [("s", 11)] and abs(odds[0].rate - 2_000 / (998 * 100)) < 1e-12
+
+
+def test_islands_are_spread_over_tasks(rows, monkeypatch):
+    monkeypatch.setattr(packing, "ISLAND", 50)
+    sizes = rows([(i, 30 + i % 41) for i in range(600)], "doc_id long, tokens long")
+    names = {r.container for r in packing.pack(sizes, capacity=100).select("container").distinct().collect()}
+    assert len({n.rsplit("-", 1)[0] for n in names if n.startswith("1-")}) > 6

@@ -150,3 +150,19 @@ def test_frequent_misread_words_are_decided_by_ratio(rows):
 def test_word_classes():
     assert scans.looks("rnodern") == scans.looks("modern") and scans.looks("Tab1e") == scans.looks("table") and scans.looks("flle") == scans.looks("file")
     assert scans.looks("crane") != scans.looks("quay")
+
+
+def test_roman_numerals_and_numbers_of_letters(rows):
+    text = "After World War II the yard grew and III came\nThe crane of lO 12 was moved, and Il reste\nThe ledger names 2O11 as the year."
+    vocab = [doc(f"p{i}", "The crane moved and the ledger names the yard after World War", kind="text") for i in range(8)]
+    df = rows(vocab + [doc("s", text, "Quay", {"page_count": "1"}, "pdf")], DOC)
+    fixes = {(r.word, r.fix) for r in scans.found_words(df).where("fix IS NOT NULL").collect()}
+    assert fixes == {("lO", "10"), ("2O11", "2011")}
+
+
+def test_words_of_many_noise_marks(rows):
+    vocab = rows([("observation", 60), ("harbour", 50), ("modern", 50), ("quay", 3)], "lower string, n long")
+    asked = rows([("o^b~s*erv^ti@n",), ("h^^rb~~ur",), ("~^~^",), ("^~o~*rn",), ("q~^~^*",)], "word string")
+    got = {r.word: r.fix for r in scans.corrections(asked, vocab).collect()}
+    assert got == {"o^b~s*erv^ti@n": "observation", "h^^rb~~ur": "harbour", "^~o~*rn": "modern"}
+    assert scans.could_be("~~o~ern^", scans.looks("modern")) and not scans.could_be("q^^~~", scans.looks("harbour"))
