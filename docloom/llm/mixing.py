@@ -23,7 +23,7 @@ BINS = 4_096
 #: Parts that documents of one source and size are ranked in first, before their best ones are.
 SALTS = 64
 #: Rows that are sent to all tasks at most.
-MOST_SENT = 2_000_000
+MOST_SENT = 100_000
 
 
 def source_name(c: Column | str) -> Column:
@@ -94,23 +94,24 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", total: int |
     document that would pass its size; all later ones that fit, in order, fill up the rest.
     """
     sizes = sizes.where((F.col("tokens") > 0) & F.col("source").isNotNull()).select(key, source_name("source").alias("source"), "tokens")
-    # A row per target, and at most BINS rows per target below: sent to all tasks only if that is little.
-    send = F.broadcast if targets.count() <= MOST_SENT // BINS else lambda df: df
+    # Tables of a row per target are sent to all tasks, if they are small.
+    send = F.broadcast if targets.count() <= MOST_SENT else lambda df: df
     wanted = demands(sizes, targets, total)
     asked = wanted.select("source", "whole", "part").join(inclusion(sizes, wanted), "source", "left").fillna({"certain": 1, "rate": 0.0})
-    docs = sizes.join(send(asked), "source").withColumn("order", _order(seed, key)).withColumn("bin", F.floor(F.col("order") * BINS).cast("int"))
-    docs = cut_lineage(docs)
-    # At most BINS sums a source; the cut lies in the bin in which the part is reached.
+    docs = sizes.join(send(asked), "source").withColumn("order", _order(seed, key))
+    docs = cut_lineage(docs.withColumn("bin", F.when(F.col("tokens") >= F.col("certain"), -1).otherwise(F.floor(F.col("order") * BINS)).cast("int")))
+    # At most BINS sums a source; the cut lies in the first bin that passes the part, and only that bin is sorted.
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = docs.groupBy("source", "bin").agg(F.sum("tokens").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    # A bin that lies before the cut as a whole is taken without being sorted.
-    docs = docs.join(send(bins), ["source", "bin"])
-    sorted_ = (F.col("before") < F.col("part")) & (F.col("before") + F.col("size") > F.col("part"))
-    apart = docs.where(~sorted_).withColumn("extra", F.when(F.col("before") < F.col("part"), 1).otherwise(0))
-    within = Window.partitionBy("source", "bin").orderBy("order", key).rowsBetween(Window.unboundedPreceding, -1)
+    bins = docs.groupBy("source", "bin").agg(F.sum("tokens").alias("size"), F.first("part").alias("part"))
+    bins = bins.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("before") + F.col("size") > F.col("part"))
+    cut = bins.groupBy("source").agg(F.min(F.struct(F.col("bin").alias("cut"), "before")).alias("at")).select("source", "at.*")
+    docs = docs.join(send(cut), "source", "left")
+    at_cut = F.coalesce(F.col("bin") == F.col("cut"), F.lit(False))
+    apart = docs.where(~at_cut).withColumn("extra", F.when((F.col("part") > 0) & F.coalesce(F.col("bin") < F.col("cut"), F.lit(True)), 1).otherwise(0))
+    within = Window.partitionBy("source").orderBy("order", key).rowsBetween(Window.unboundedPreceding, -1)
     upto = F.col("before") + F.coalesce(F.sum("tokens").over(within), F.lit(0))
-    open_bins = docs.where(sorted_).withColumn("extra", F.when(upto + F.col("tokens") <= F.col("part"), 1).otherwise(0))
-    docs = cut_lineage(open_bins.unionByName(apart).drop("before", "size"))
+    open_bins = docs.where(at_cut).withColumn("extra", F.when(upto + F.col("tokens") <= F.col("part"), 1).otherwise(0))
+    docs = cut_lineage(open_bins.unionByName(apart).drop("before", "cut"))
     docs = docs.join(_fill(docs, key, send), key, "left")
     out = docs.withColumn("copies", (F.col("whole") + F.col("extra") + F.coalesce("filled", F.lit(0))).cast("int"))
     return out.where(F.col("copies") > 0).select(key, "source", "tokens", "copies")
