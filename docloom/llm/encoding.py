@@ -2,10 +2,11 @@
 
 Garbled records are joined with clean near-twins on their text without its non-ASCII
 characters. Twins are words: "GrÃ¶ÃŸe" and "Größe" share the skeleton "Gre". Where both
-occur, the runs between the shared characters are aligned and the pair of encodings that
-turns one run into the other is inferred. Pairs of encodings that many different twins
-support are learned and then applied to the remaining records, also to words without a
-clean twin and to scripts that have no ASCII skeleton at all.
+occur, the runs between the shared characters are aligned character by character, which
+maps "Ã¶" to "ö" and "ÃŸ" to "ß". From these mappings the transformation is inferred: the
+encoding that was read and the one that was written. Only transformations that twins
+support are learned, and they alone decide about the remaining records: words without a
+clean twin, and scripts that have no ASCII skeleton at all.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from ..session import cut_lineage
 #: Encodings by which text is commonly read by mistake, and those it is commonly written in.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac-roman", "koi8-r", "iso8859-2", "iso8859-15", "cp1254", "cp1257")
 WRITTEN_IN = ("utf-8", "cp1252", "cp1250", "cp1251", "koi8-r", "mac-roman", "cp850", "iso8859-2", "cp866")
-#: Different words that must support a pair of single-byte encodings before it is applied.
-MIN_SUPPORT = 3
+#: Different words that must support a pair of single-byte encodings before it is applied, and one of
+#: UTF-8, whose sequences of several characters don't meet a clean character by chance.
+MIN_SUPPORT, MIN_SUPPORT_UTF8 = 3, 1
 #: A clean word is seen in at least so many different texts, or records where texts don't decide.
 MIN_CLEAN = 2
 
@@ -33,11 +35,8 @@ REPLACED, MARK = "�", "¤"
 #: Words that may be garbled: not ASCII only, or with a character entity. A word of one or
 #: two characters says little alone and is taken together with the next one.
 SUSPECT = r"(?<!\S)(?:[^\x00-\x7F]{1,2} \S+|\S*(?:[^\x00-\x7F]|&[A-Za-z]{2,8};)\S*)"
-#: Garbled characters that a text only speaks of: in quotation marks of their own, or named.
-_SPOKEN_OF = (
-    "[‘“„«'\"](?:[^\\x00-\\x7F]|&[A-Za-z]{2,8};){1,6}[’”»'\"]",
-    r"(?i)\b(?:such\s+as|sequences?|characters?|symbols?|like)\s+(?:[^\x00-\x7F\s]){1,6}(?=\s)",
-)
+#: Garbled characters in quotation marks of their own: a text only speaks of them.
+_QUOTED = "[‘“„«'\"](?:[^\\x00-\\x7F]|&[A-Za-z]{2,8};){1,6}[’”»'\"]"
 _EDGE = ".,;:!?()[]{}<>\"'*_`|=+#/\\"
 
 
@@ -123,11 +122,11 @@ def fully(word: str, read_as: str, depth: int = 3) -> str | None:
     return out
 
 
-def _candidates(word: str) -> list[tuple[str, str, str]]:
-    """(read as, written in, restored) for every pair that can explain the word."""
+def _candidates(word: str, pairs: tuple[tuple[str, str], ...] = PAIRS) -> list[tuple[str, str, str]]:
+    """(read as, written in, restored) for each of ``pairs`` that can explain the word."""
     plain = html.unescape(word) if "&" in word else word
     out = []
-    for read_as, written_in in PAIRS:
+    for read_as, written_in in pairs:
         got = fully(plain, read_as) if written_in == "utf-8" else reread(plain, read_as, written_in)
         if got is not None and got != word and _READABLE.fullmatch(got):
             out.append((read_as, written_in, got))
@@ -145,11 +144,9 @@ def _bare(c: Column) -> Column:
 
 
 def suspect_words(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, same, word): each record's distinct words that could be garbled, spoken-of ones left out; ``same`` is equal for equal texts."""
+    """(key, same, word): each record's distinct words that could be garbled, quoted ones left out; ``same`` is equal for equal texts."""
     t = F.col(text)
-    some = df.where(t.rlike(r"[^\x00-\x7F]|&[A-Za-z]{2,8};")).select(F.col(key).alias("key"), F.xxhash64(t).alias("same"), t.alias("__t"))
-    for pattern in _SPOKEN_OF:
-        some = some.withColumn("__t", F.regexp_replace("__t", pattern, " "))
+    some = df.where(t.rlike(r"[^\x00-\x7F]|&[A-Za-z]{2,8};")).select(F.col(key).alias("key"), F.xxhash64(t).alias("same"), F.regexp_replace(t, _QUOTED, " ").alias("__t"))
     words = F.array_distinct(F.transform(F.regexp_extract_all("__t", F.lit(SUSPECT), F.lit(0)), lambda w: F.btrim(w, F.lit(_EDGE))))
     return some.select("key", "same", F.explode(words).alias("word"))
 
@@ -160,12 +157,12 @@ def word_table(words: DataFrame) -> DataFrame:
     return texts.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("records").alias("records"))
 
 
-def candidate_table(table: DataFrame) -> DataFrame:
-    """(word, n, records, read_as, written_in, restored) for every encoding pair that can explain a word."""
+def candidate_table(table: DataFrame, pairs: tuple[tuple[str, str], ...] = PAIRS) -> DataFrame:
+    """(word, n, records, read_as, written_in, restored) for each of ``pairs`` that can explain a word."""
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(w, n, r, *c) for w, n, r in zip(pdf["word"], pdf["n"], pdf["records"]) for c in _candidates(w)]
+            rows = [(w, n, r, *c) for w, n, r in zip(pdf["word"], pdf["n"], pdf["records"]) for c in _candidates(w, pairs)]
             yield pd.DataFrame(rows, columns=["word", "n", "records", "read_as", "written_in", "restored"])
 
     return table.mapInPandas(explain, "word string, n long, records long, read_as string, written_in string, restored string")
@@ -174,18 +171,31 @@ def candidate_table(table: DataFrame) -> DataFrame:
 _RUNS = re.compile(r"(?:[^\x00-\x7F]|&[A-Za-z]{2,8};)+")
 
 
-def explained(garbled: str, clean: str) -> list[tuple[str, str]]:
-    """The encoding pairs that turn every run of ``garbled`` into the one beside it in ``clean``.
+def aligned(garbled: str, clean: str) -> list[tuple[str, str]]:
+    """(garbled characters, clean character) of two words of one shape, aligned run by run.
 
-    Both must have the same shape, so the runs stand side by side in order.
+    The characters of a clean run share the garbled run evenly; runs that can't be shared
+    so, and characters that are the same, tell nothing.
     """
-    runs = list(zip(_RUNS.findall(garbled), _RUNS.findall(clean)))
     out = []
-    for pair in PAIRS:
-        turned = [fully(html.unescape(x), pair[0]) if pair[1] == "utf-8" else reread(x, *pair) for x, _ in runs]
-        if runs and all(got == y or (got is None and x == y) for got, (x, y) in zip(turned, runs)):
-            out.append(pair)
-    return out
+    for x, y in zip(_RUNS.findall(garbled), _RUNS.findall(clean)):
+        x = html.unescape(x)
+        if len(x) % len(y) == 0:
+            k = len(x) // len(y)
+            out += [(x[i * k : i * k + k], c) for i, c in enumerate(y) if x[i * k : i * k + k] != c]
+    return list(dict.fromkeys(out))
+
+
+@lru_cache(maxsize=100_000)
+def transformations(seen: str, meant: str) -> tuple[tuple[str, str], ...]:
+    """The encoding pairs that map the characters ``seen`` to the character ``meant``."""
+    return tuple(p for p in PAIRS if (fully(seen, p[0]) if p[1] == "utf-8" else reread(seen, *p)) == meant)
+
+
+def explained(garbled: str, clean: str) -> list[tuple[str, str]]:
+    """The encoding pairs that all aligned characters of two words have in common."""
+    maps = [set(transformations(x, y)) for x, y in aligned(garbled, clean)]
+    return sorted(set.intersection(*maps)) if maps else []
 
 
 def twins(table: DataFrame) -> DataFrame:
@@ -204,35 +214,58 @@ def _more_frequent() -> Column:
     return F.struct("n_clean", "r_clean") > F.struct(F.col("n").alias("n_clean"), F.col("records").alias("r_clean"))
 
 
-def learned_pairs(candidates: DataFrame, table: DataFrame) -> DataFrame:
-    """(read_as, written_in, support): encoding pairs that turn garbled words into clean twins.
-
-    Twins are joined on the shape and their runs aligned. A word without ASCII characters
-    has no shape; its twin is a more frequent word equal to what a pair makes of it.
-    Support counts different words. At most ``len(PAIRS)`` rows.
-    """
-    beside = (
-        table.where(~F.contains("word", F.lit(REPLACED)))
-        .withColumn("shape", shape(F.col("word")))
+def _beside(table: DataFrame) -> DataFrame:
+    """(word, clean): words and the more frequent one of their shape."""
+    return (
+        table.withColumn("shape", shape(F.col("word")))
         .where(~_bare(F.col("word")))
         .join(twins(table), "shape")
         .where((F.col("word") != F.col("clean")) & _more_frequent())
         .select("word", "clean")
     )
 
-    def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def mappings(table: DataFrame) -> DataFrame:
+    """(word, seen, meant): what the characters of each word are in its clean twin, a row per different mapping of a word."""
+
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(w, *pair) for w, c in zip(pdf["word"], pdf["clean"]) for pair in explained(w, c)]
-            yield pd.DataFrame(rows, columns=["word", "read_as", "written_in"])
+            rows = [(w, *m) for w, c in zip(pdf["word"], pdf["clean"]) for m in aligned(w, c)]
+            yield pd.DataFrame(rows, columns=["word", "seen", "meant"])
+
+    return _beside(table).mapInPandas(align, "word string, seen string, meant string")
+
+
+def learned_pairs(table: DataFrame) -> DataFrame:
+    """(read_as, written_in, support): what the twins of ``table`` teach; support counts different words.
 
-    inferred = beside.mapInPandas(infer, "word string, read_as string, written_in string")
+    Each different mapping of characters is explained once. A word supports the
+    transformations that explain all of its mappings. A word without ASCII characters has
+    no shape; its twin is a more frequent word equal to what a transformation makes of it.
+    Characters that were lost map to U+FFFD and are told as read as "lost". At most
+    ``len(PAIRS) + 1`` rows.
+    """
+    seen = cut_lineage(mappings(table))
+
+    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(x, y, *p) for x, y in zip(pdf["seen"], pdf["meant"]) for p in ((("lost", "lost"),) if x == REPLACED else transformations(x, y))]
+            yield pd.DataFrame(rows, columns=["seen", "meant", "read_as", "written_in"])
+
+    known = seen.select("seen", "meant").distinct().mapInPandas(explain, "seen string, meant string, read_as string, written_in string")
+    parts = seen.groupBy("word").agg(F.count(F.lit(1)).alias("parts"))
+    told = seen.join(known, ["seen", "meant"]).groupBy("word", "read_as", "written_in").agg(F.count(F.lit(1)).alias("told"))
+    told = told.join(parts, "word").where("told = parts").select("word", "read_as", "written_in")
     clean = table.where(F.col("records") >= MIN_CLEAN).select(F.col("word").alias("restored"), F.col("n").alias("n_clean"), F.col("records").alias("r_clean"))
-    bare = candidates.where(_bare(F.col("word")) & (F.length("word") > 2)).join(clean, "restored").where(_more_frequent())
-    return (
-        inferred.unionByName(bare.select("word", "read_as", "written_in"))
-        .groupBy("read_as", "written_in")
-        .agg(F.count_distinct("word").alias("support"))
-    )
+    alone = candidate_table(table.where(_bare(F.col("word")) & (F.length("word") > 2) & ~F.contains("word", F.lit(REPLACED))))
+    alone = alone.join(clean, "restored").where(_more_frequent())
+    return told.unionByName(alone.select("word", "read_as", "written_in")).groupBy("read_as", "written_in").agg(F.count_distinct("word").alias("support"))
+
+
+def _learned(table: DataFrame) -> dict[tuple[str, str], int]:
+    """The learned transformations with their support; bounded by the number of pairs."""
+    rows = learned_pairs(table).collect()
+    return {(r.read_as, r.written_in): r.support for r in rows if r.support >= (MIN_SUPPORT_UTF8 if r.written_in in ("utf-8", "lost") else MIN_SUPPORT)}
 
 
 def garbled_words(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -241,32 +274,38 @@ def garbled_words(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
     Beside them the candidates, and the readings (word, restored, read_as, written_in,
     support) that were accepted.
 
-    ``restored`` is null where characters were lost. UTF-8 proves itself by its multi-byte
-    sequences; a single-byte pair is applied when it was learned from ``MIN_SUPPORT`` words
-    and makes a word that is found clean in more than twice as many different texts as the garbled one, or in no fewer
-    texts and more than twice as many records. Of
-    several readings the one found clean in most texts wins, then UTF-8, then support.
+    ``restored`` is null where characters were lost. Only learned transformations are
+    applied. One of UTF-8 makes up for no twin by its multi-byte sequences; a single-byte
+    one must make a word that is found clean in more than twice as many different texts as
+    the garbled one, or in no fewer texts and more than twice as many records. A character
+    or two that stand alone count only if what they were is found alone in more records, as
+    a dash is and an apostrophe never. Of several readings the one found clean in most texts wins,
+    then UTF-8, then support.
     """
     words = cut_lineage(suspect_words(df, key, text))
-    table = word_table(words)
-    candidates = candidate_table(table)
-    pairs = learned_pairs(candidates, table)
+    table = cut_lineage(word_table(words))
+    learned = _learned(table)
+    pairs = tuple(p for p in PAIRS if p in learned)
+    candidates = candidate_table(table.where(~F.contains("word", F.lit(REPLACED))), pairs)
     clean = table.select(F.col("word").alias("restored"), F.col("n").alias("n_clean"), F.col("records").alias("r_clean"))
+    support = F.create_map(*[x for p in pairs for x in (F.lit("/".join(p)), F.lit(learned[p]))]) if pairs else F.create_map().cast("map<string,int>")
     utf8 = F.col("written_in") == "utf-8"
     telling = ~_bare(F.col("word")) | (F.length("word") > 2)
     by_texts = (F.col("n_clean") >= MIN_CLEAN) & (F.col("n_clean") > 2 * F.col("n"))
     by_records = (F.col("n_clean") >= F.col("n")) & (F.col("r_clean") >= MIN_CLEAN) & (F.col("r_clean") > 2 * F.col("records"))
-    known = telling & (F.col("support") >= MIN_SUPPORT) & (by_texts | by_records)
+    # A word of one or two characters was taken together with the next, so it stands before a blank.
+    alone = table.where(F.contains("word", F.lit(" "))).groupBy(F.substring_index("word", " ", 1).alias("restored")).agg(F.sum("records").alias("alone"))
+    whole = ~_bare(F.col("word")) | (F.length("restored") > 2) | ((F.col("alone") >= MIN_CLEAN) & (F.col("alone") > F.col("records")))
     accepted = (
-        candidates.where(~F.contains("word", F.lit(REPLACED)))
-        .join(F.broadcast(pairs), ["read_as", "written_in"], "left")
-        .join(clean, "restored", "left")
-        .fillna(0, ["support", "n_clean", "r_clean"])
-        .where(utf8 | known)
+        candidates.join(clean, "restored", "left")
+        .join(alone, "restored", "left")
+        .fillna(0, ["n_clean", "r_clean", "alone"])
+        .withColumn("support", F.try_element_at(support, F.concat_ws("/", "read_as", "written_in")))
+        .where((utf8 & whole) | (telling & (by_texts | by_records)))
     )
     ranked = accepted.groupBy("word").agg(F.max_by("restored", F.struct(_more_frequent(), utf8, "n_clean", "support", "restored")).alias("restored"))
     lost = (
-        table.where(F.contains("word", F.lit(REPLACED)))
+        table.where(F.contains("word", F.lit(REPLACED)) & F.lit(("lost", "lost") in learned))
         .withColumn("shape", shape(F.col("word")))
         .join(twins(table), "shape", "left")
         .select("word", F.when((2 * F.col("n_clean") > F.col("n_all")) | (2 * F.col("r_clean") > F.col("r_all")), F.col("clean")).alias("restored"))
@@ -274,6 +313,27 @@ def garbled_words(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
     return words, ranked.unionByName(lost), candidates, accepted
 
 
+def transformation_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(read_as, written_in, support, learned, words, records): the learned transformations and what they explain.
+
+    Beside them the UTF-8 ones that no twin supports, though words have their sequences: such
+    words aren't taken for garbled, and are told here instead. Words that more than one
+    transformation explains count for each.
+    """
+    table = cut_lineage(word_table(suspect_words(df, key, text)))
+    learned = _learned(table)
+    asked = tuple(p for p in PAIRS if p in learned or p[1] == "utf-8")
+    clean = table.select(F.col("word").alias("restored"), F.col("n").alias("n_clean"))
+    found = candidate_table(table.where(~F.contains("word", F.lit(REPLACED))), asked).join(clean, "restored", "left")
+    found = found.where((F.col("written_in") == "utf-8") | (F.col("n_clean") > 2 * F.col("n")))
+    rows = found.groupBy("read_as", "written_in").agg(F.count(F.lit(1)).alias("words"), F.sum("records").alias("records"))
+    lost = table.where(F.contains("word", F.lit(REPLACED))).agg(F.lit("lost").alias("read_as"), F.lit("lost").alias("written_in"), F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"))
+    known = df.sparkSession.createDataFrame([(*p, n) for p, n in learned.items()], "read_as string, written_in string, support long")
+    out = rows.unionByName(lost.where("words > 0")).join(known, ["read_as", "written_in"], "full")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("read_as", "written_in", zero("support"), F.col("support").isNotNull().alias("learned"), zero("words"), zero("records"))
+
+
 def remaining_words(words: DataFrame, bad: DataFrame, candidates: DataFrame, accepted: DataFrame) -> DataFrame:
     """(same, word, restored): words that are garbled by the single-byte pair which other words of their text confirm.
 
@@ -294,19 +354,18 @@ def remaining_words(words: DataFrame, bad: DataFrame, candidates: DataFrame, acc
         texts.join(best, "same")
         .join(bad.select("word"), "word", "left_anti")
         .join(elsewhere, "word", "left_anti")
-        .join(candidates.where(~F.contains("word", F.lit(REPLACED))).drop("n", "records"), ["word", *pair])
+        .join(candidates.drop("n", "records"), ["word", *pair])
         .join(F.broadcast(letters), pair)
         .where((F.expr(r"translate(regexp_replace(restored, '[\\x00-\\x7F]', ''), letters, '')") == "") & ordinary)
         .select("same", "word", "restored")
     )
 
 
-
-
 def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The keys of the records of which some text was decoded wrongly, each once.
 
-    Null, empty and ASCII texts never count, nor do characters that the text only quotes.
+    Null, empty and ASCII texts never count, nor do characters that the text only quotes, nor
+    words whose transformation no clean twin in ``df`` teaches.
     Columns other than ``key`` and ``text`` are left out, whatever their names; repeated
     rows count once. A null key is a key.
     """

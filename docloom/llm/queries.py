@@ -109,7 +109,12 @@ def p8_restored(spark: SparkSession, root: str) -> DataFrame:
     return encoding.restore(table(spark, root, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_main_text, p5_found, p5_repaired, p6_containers, p6_report, p7_mixture, p7_report, p8_found, p8_restored)}
+def p8_transformations(spark: SparkSession, root: str) -> DataFrame:
+    """Which wrong readings the clean twins teach, what they explain, and what stays without one."""
+    return encoding.transformation_report(table(spark, root, "documents", "doc_id", "text"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_main_text, p5_found, p5_repaired, p6_containers, p6_report, p7_mixture, p7_report, p8_found, p8_restored, p8_transformations)}
 
 SQL: dict[str, str] = {
     "p1_found": """

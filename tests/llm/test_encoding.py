@@ -75,3 +75,30 @@ def test_empty_table_and_long_text(rows):
     assert enc.find_garbled(rows([], s)).count() == 0 and enc.restore(rows([], s)).count() == 0
     long_ = "wort " * 200_000 + "spÃ¤ter"
     assert [r.doc_id for r in enc.find_garbled(rows([(1, long_), (2, "später"), (3, "später")], s)).collect()] == [1]
+
+
+def test_characters_are_aligned():
+    assert enc.aligned("GrÃ¶ÃŸe", "Größe") == [("Ã¶", "ö"), ("ÃŸ", "ß")]
+    assert enc.aligned("f&Atilde;¼r", "für") == [("Ã¼", "ü")] and enc.aligned("Größe", "Größe") == []
+    assert enc.aligned("l�ngst", "längst") == [("�", "ä")] and enc.aligned("dâ€™Ã©t", "d’ét") == []
+    assert ("cp1252", "utf-8") in enc.transformations("Ã¶", "ö") and enc.transformations("é", "qu") == ()
+
+
+def test_without_a_twin_nothing_is_found(rows):
+    s = "doc_id long, text string"
+    alone = [(1, "sÃ¼ÃŸer Wein"), (2, "nothing else"), (3, "Gr�ße"), (4, "Fluss und Tal")]
+    assert enc.find_garbled(rows(alone, s)).count() == 0
+    report = {(r.read_as, r.written_in): r for r in enc.transformation_report(rows(alone, s)).collect()}
+    assert report["cp1252", "utf-8"].words == 1 and not report["cp1252", "utf-8"].learned and report["lost", "lost"].records == 1
+    # One twin teaches the transformation, and it is applied to words that have none.
+    taught = [*alone, (5, "spÃ¤ter"), (6, "später"), (7, "später da"), (8, "l�ngst"), (9, "längst"), (10, "längst ja")]
+    assert {r.doc_id for r in enc.find_garbled(rows(taught, s)).collect()} == {1, 3, 5, 8}
+    report = {(r.read_as, r.written_in): r for r in enc.transformation_report(rows(taught, s)).collect()}
+    assert report["cp1252", "utf-8"].learned and report["cp1252", "utf-8"].support == 1 and report["lost", "lost"].learned
+
+
+def test_a_mark_that_never_stands_alone_is_only_spoken_of(rows):
+    s = "doc_id long, text string"
+    clean = [(i, f"später – und l’été {i}") for i in range(4)]
+    got = enc.find_garbled(rows([*clean, (10, "spÃ¤ter"), (11, "Old exports hold â€™ in places"), (12, "so â€“ it goes"), (13, "lâ€™Ã©tÃ© revient")], s))
+    assert {r.doc_id for r in got.collect()} == {10, 12, 13}
