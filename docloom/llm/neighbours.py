@@ -6,9 +6,11 @@ priority queue holds the nodes met so far by the similarity of their centre, the
 is opened, and leaves are visited until the best node left lies further below the best
 leaf than a margin. The margin is widened on the sample until the recall asked for is
 reached. Leaves are grouped into shards of a bounded number of rows, which are compared
-with their visitors by matrix products; a shard above its size is split into blocks. If
-only neighbours above a floor are asked for, they are few and near: a shard of which any
-leaf is visited is then read whole, which needs fewer shards for the same recall.
+with their visitors by matrix products; a shard above its size is split into blocks. A
+vector is sent once to each shard it visits, with a bit for each leaf. If only neighbours
+above a floor are asked for, they are few and near: a shard of which any leaf is visited is
+then read whole, which needs fewer shards for the same recall. Without a floor far more is
+visited, so shards are larger and vectors are sent to fewer of them.
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 SAMPLE = 16_384
 #: Rows of a leaf and of a shard that are aimed at, and visitors of a shard before it is split.
 LEAF_ROWS, SHARD_ROWS, VISITORS = 512, 8_192, 32_768
+#: How many times larger shards and their groups of visitors are without a floor.
+WIDE = 4
 BRANCHES = 8
-#: Stands for all leaves of a shard.
-ALL = -1
 
 
 @dataclass
@@ -46,6 +48,13 @@ class Tree:
     shard: np.ndarray
     margin: float = 0.0
 
+    def __post_init__(self) -> None:
+        #: The number of each leaf within its shard.
+        self.local = np.zeros(len(self.shard), np.int16)
+        for k in range(int(self.shard.max()) + 1):
+            mine = np.flatnonzero(self.shard == k)
+            self.local[mine] = np.arange(len(mine))
+
     def leaves(self) -> np.ndarray:
         """The centres of the leaves in order of their number."""
         return self.centre[np.flatnonzero(self.leaf >= 0)]
@@ -194,6 +203,7 @@ def _trees(rows: DataFrame, k: int, floor: float | None, recall: float) -> dict[
     counts = {r.model: r.n for r in rows.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
+    shard_rows, visitors = (SHARD_ROWS, VISITORS) if floor is not None else (WIDE * SHARD_ROWS, WIDE * VISITORS)
     part = F.lit(0.0)
     for model, n in counts.items():
         part = F.when(F.col("model") == model, min(1.0, SAMPLE / n)).otherwise(part)
@@ -203,15 +213,15 @@ def _trees(rows: DataFrame, k: int, floor: float | None, recall: float) -> dict[
     for model, vectors in got.groupby("model")["vector"]:
         x = unit(np.stack(vectors.to_list()))
         n = counts[model]
-        tree = fit(x, max(1, min(len(x) // 8, round(n / LEAF_ROWS))), max(1, round(n / SHARD_ROWS)))
+        tree = fit(x, max(1, min(len(x) // 8, round(n / LEAF_ROWS))), max(1, round(n / shard_rows)))
         tree.margin = calibrate(tree, x, k, floor, recall) if len(x) > 1 else 2.0
         homes = np.bincount(tree.home(x), minlength=len(tree.shard))
-        shard_rows = np.bincount(tree.shard, weights=homes) * n / len(x)
-        seen = np.zeros(len(shard_rows))
+        held = np.bincount(tree.shard, weights=homes) * n / len(x)
+        seen = np.zeros(len(held))
         for i in range(0, len(x), 2048):
             seen += _by_shard(tree, tree.visits(x[i : i + 2048])).sum(0)
-        tree.blocks = np.maximum(1, np.ceil(shard_rows / (2 * SHARD_ROWS))).astype(int)
-        tree.parts = np.maximum(1, np.ceil(seen * n / len(x) / VISITORS)).astype(int)
+        tree.blocks = np.maximum(1, np.ceil(held / (2 * shard_rows))).astype(int)
+        tree.parts = np.maximum(1, np.ceil(seen * n / len(x) / visitors)).astype(int)
         out[model] = tree
     return out
 
@@ -225,9 +235,9 @@ def _by_shard(tree: Tree, seen: np.ndarray) -> np.ndarray:
 
 
 _ROUTED = pa.schema(
-    [("model", pa.string()), ("cell", pa.string()), ("a1", pa.int64()), ("a2", pa.int64()), ("indexed", pa.bool_()), ("home", pa.int32()), ("leaves", pa.binary()), ("v", pa.binary())]
+    [("model", pa.string()), ("cell", pa.string()), ("a1", pa.int64()), ("a2", pa.int64()), ("indexed", pa.bool_()), ("home", pa.int16()), ("leaves", pa.binary()), ("v", pa.binary())]
 )
-_ROUTED_DDL = "model string, cell string, a1 long, a2 long, indexed boolean, home int, leaves binary, v binary"
+_ROUTED_DDL = "model string, cell string, a1 long, a2 long, indexed boolean, home short, leaves binary, v binary"
 _PAIRS_DDL = "model string, a1 long, a2 long, b1 long, b2 long, similarity double"
 
 
@@ -252,34 +262,34 @@ def _route(trees: dict[str, Tree], whole: bool):
 def _place(tree: Tree, model: str, a1: np.ndarray, a2: np.ndarray, x: np.ndarray, whole: bool) -> pa.RecordBatch:
     """A row in its home shard, and one in each other shard (or block) that is visited.
 
-    ``leaves`` are those that the row visits there; null stands for all of the shard.
+    ``leaves`` has a bit for each leaf of the shard that the row visits, by the leaf's number
+    within the shard; null stands for all of the shard.
     """
     home, seen = tree.home(x), tree.visits(x)
     seen[np.arange(len(x)), home] = True
     shards = _by_shard(tree, seen)
+    bits = [np.packbits(seen[:, tree.shard == s], axis=1) for s in range(shards.shape[1])]
     raw = [v.tobytes() for v in x]
     out: dict[str, list] = {c: [] for c in ("cell", "row", "indexed", "home", "leaves")}
 
-    def put(cell: str, i: int, indexed: bool, leaves: np.ndarray) -> None:
-        told = None if whole and len(leaves) else leaves.astype(np.int32).tobytes()
-        for c, value in zip(out, (cell, i, indexed, int(home[i]), told)):
+    def put(cell: str, i: int, indexed: bool, shard: int, visits: bool) -> None:
+        told = b"" if not visits else None if whole else bits[shard][i].tobytes()
+        for c, value in zip(out, (cell, i, indexed, int(tree.local[home[i]]), told)):
             out[c].append(value)
 
     for i in range(len(x)):
-        own = tree.shard[home[i]]
-        visited = np.flatnonzero(seen[i])
+        own = int(tree.shard[home[i]])
         in_block, in_part = int(a2[i] % tree.blocks[own]), int(a2[i] % tree.parts[own])
         for part in range(tree.parts[own]):
-            mine = part == in_part
-            put(f"{own}/{in_block}/{part}", i, True, visited[tree.shard[visited] == own] if mine else visited[:0])
+            put(f"{own}/{in_block}/{part}", i, True, own, part == in_part)
         for shard in np.flatnonzero(shards[i]):
             part = int(a2[i] % tree.parts[shard])
             for block in range(tree.blocks[shard]):
                 if shard != own or block != in_block:
-                    put(f"{shard}/{block}/{part}", i, False, visited[tree.shard[visited] == shard])
+                    put(f"{shard}/{block}/{part}", i, False, int(shard), True)
     rows = np.asarray(out["row"])
     return pa.RecordBatch.from_arrays(
-        [pa.array([model] * len(rows)), pa.array(out["cell"]), pa.array(a1[rows]), pa.array(a2[rows]), pa.array(out["indexed"], pa.bool_()), pa.array(out["home"], pa.int32()), pa.array(out["leaves"], pa.binary()), pa.array([raw[r] for r in rows], pa.binary())],
+        [pa.array([model] * len(rows)), pa.array(out["cell"]), pa.array(a1[rows]), pa.array(a2[rows]), pa.array(out["indexed"], pa.bool_()), pa.array(out["home"], pa.int16()), pa.array(out["leaves"], pa.binary()), pa.array([raw[r] for r in rows], pa.binary())],
         schema=_ROUTED,
     )
 
@@ -290,38 +300,71 @@ def _compare(k: int, floor: float | None):
     def cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(len(pdf), -1)
         indexed = pdf["indexed"].to_numpy()
-        home = pdf["home"].to_numpy()
         a = pdf[["a1", "a2"]].to_numpy()
-        visits: dict[int, list[int]] = {}
-        for i, raw in enumerate(pdf["leaves"]):
-            for leaf in (ALL,) if raw is None else np.frombuffer(raw, np.int32):
-                visits.setdefault(int(leaf), []).append(i)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        pairs = [(q, np.flatnonzero(indexed if leaf == ALL else indexed & (home == leaf))) for leaf, q in visits.items()]
-        for queries, rows in ((q, r[i : i + 4096]) for q, r in pairs for i in range(0, len(r), 4096)):
-            for at in range(0, len(queries), 2048):
-                q = np.asarray(queries[at : at + 2048])
-                s = x[q] @ x[rows].T
-                if floor is not None:
-                    found += _above(s, q, rows, k, floor)
-                else:
-                    found.append(_best(s, q, rows, k + 1))
-        if not found:
-            return pd.DataFrame(columns=["model", "a1", "a2", "b1", "b2", "similarity"])
-        p, r, s = (np.concatenate(c) for c in zip(*found))
+        if floor is None:
+            p, r = _nearest(x, np.flatnonzero(indexed), pdf["home"].to_numpy(), pdf["leaves"].to_numpy(), k)
+        else:
+            queries, rows = np.flatnonzero(pdf["leaves"].isna().to_numpy()), np.flatnonzero(indexed)
+            found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32))]
+            for i in range(0, len(queries), 2048):
+                for j in range(0, len(rows), 4096):
+                    q, y = queries[i : i + 2048], rows[j : j + 4096]
+                    found += _above(x[q] @ x[y].T, q, y, k, floor)
+            p, r, _ = (np.concatenate(c) for c in zip(*found))
         apart = (a[p] != a[r]).any(1)
-        p, r, s = p[apart], r[apart], s[apart]
+        p, r = p[apart], r[apart]
         # Single precision chose the pairs; their similarity is given in double.
         exact = np.concatenate([np.einsum("ij,ij->i", x[p[i : i + 65536]].astype(np.float64), x[r[i : i + 65536]].astype(np.float64)) for i in range(0, len(p), 65536)] or [np.zeros(0)])
         out = pd.DataFrame({"model": key[0], "a1": a[p, 0], "a2": a[p, 1], "b1": a[r, 0], "b2": a[r, 1], "similarity": exact})
-        if floor is not None:
-            out = out[out["similarity"] >= floor - 1e-7].drop_duplicates(["a1", "a2", "b1", "b2"])
+        if floor is None:
+            return out
+        out = out[out["similarity"] >= floor - 1e-7].drop_duplicates(["a1", "a2", "b1", "b2"])
         out = out.sort_values(["a1", "a2", "similarity"], ascending=[True, True, False])
         return out.groupby(["a1", "a2"], sort=False).head(k)
 
     return cell
 
 
+def _nearest(x: np.ndarray, rows: np.ndarray, home: np.ndarray, leaves: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the k best of each query among ``rows`` of the leaves it visits, itself left out.
+
+    Leaf by leaf: a query's row of similarities is looked at only if one of them passes its k-th best so far.
+    """
+    asking = np.flatnonzero([len(b) > 0 for b in leaves])
+    none = np.zeros(0, int)
+    if not len(asking) or not len(rows):
+        return none, none
+    visits = np.unpackbits(np.frombuffer(b"".join(leaves[asking]), np.uint8).reshape(len(asking), -1), axis=1).astype(bool)
+    best = np.full((len(asking), k), -np.inf, np.float32)
+    which = np.full((len(asking), k), -1)
+    rows = rows[np.argsort(home[rows], kind="stable")]
+    number, starts = np.unique(home[rows], return_index=True)
+    for leaf, mine in zip(number, np.split(rows, starts[1:])):
+        at = np.flatnonzero(visits[:, leaf])
+        y = x[mine].T
+        for i in range(0, len(at), 4096):
+            n = at[i : i + 4096]
+            q = asking[n]
+            s = x[q] @ y
+            # A row of this leaf that asks itself.
+            place = np.searchsorted(mine, q) if (np.diff(mine) > 0).all() else np.full(len(q), len(mine))
+            place = np.minimum(place, len(mine) - 1)
+            own = mine[place] == q
+            s[np.flatnonzero(own), place[own]] = -np.inf
+            hit = np.flatnonzero((s > best[n, -1:]).any(1))
+            if not len(hit):
+                continue
+            all_s = np.concatenate([best[n[hit]], s[hit]], 1)
+            all_r = np.concatenate([which[n[hit]], np.broadcast_to(mine, (len(hit), len(mine)))], 1)
+            top = np.argpartition(-all_s, k - 1, axis=1)[:, :k]
+            values = np.take_along_axis(all_s, top, 1)
+            order = np.argsort(-values, axis=1, kind="stable")
+            best[n[hit]] = np.take_along_axis(values, order, 1)
+            which[n[hit]] = np.take_along_axis(np.take_along_axis(all_r, top, 1), order, 1)
+    p, c = np.nonzero(which >= 0)
+    return asking[p], which[p, c]
+
+
 def _best(s: np.ndarray, q: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best columns of each row of ``s``."""
     if s.shape[1] <= k:
@@ -377,7 +420,9 @@ def similar_vectors(df: DataFrame, k: int = 10, floor: float | None = None, reca
     routed = vectors.mapInArrow(_route(trees, floor is not None), _ROUTED_DDL)
     near = routed.groupBy("model", "cell").applyInPandas(_compare(k, floor), _PAIRS_DDL)
     best = Window.partitionBy("model", "a1", "a2").orderBy(F.desc("similarity"), "b1", "b2")
-    near = near.dropDuplicates(["model", "a1", "a2", "b1", "b2"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    if floor is not None:  # with a floor a pair is found from both of its ends
+        near = near.dropDuplicates(["model", "a1", "a2", "b1", "b2"])
+    near = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
     others = leading.where(F.col("copy") <= k).select("model", F.col("a1").alias("b1"), F.col("a2").alias("b2"), F.col("chunk_id").alias("neighbour"))
     apart = live.join(near, ["model", "a1", "a2"]).join(others, ["model", "b1", "b2"]).select("model", "model_name", "chunk_id", "neighbour", "similarity")
     copies = live.join(leading.select("model", "a1", "a2", F.col("chunk_id").alias("neighbour")), ["model", "a1", "a2"])
@@ -393,7 +438,8 @@ def exact_neighbours(df: DataFrame, k: int = 10, every: int = 20, block: int = 1
     The stated query set, every ``every``-th chunk by its id, meets all rows in blocks: a
     task holds about ``block`` rows and as many queries at most.
     """
-    rows = usable(df).dropDuplicates(["model_name", "chunk_id"]).select("model_name", "dimension", "chunk_id", "vector")
+    newest = F.max_by(F.struct("vector", "dimension"), F.struct("created_at", "id"))
+    rows = usable(df).groupBy("model_name", "dimension", "chunk_id").agg(newest.alias("v")).select("model_name", "dimension", "chunk_id", "v.vector")
     number = F.coalesce(F.conv(F.substring("chunk_id", -8, 8), 16, 10).cast("long"), F.xxhash64("chunk_id"))
     n = rows.count()
     n_rows, n_queries = max(1, -(-n // block)), max(1, -(-n // (every * block)))

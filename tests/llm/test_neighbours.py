@@ -1,6 +1,9 @@
 import datetime as dt
+import os
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import neighbours as nb
 
@@ -90,3 +93,40 @@ def test_tree_visits_widen():
     for tree.margin in (0.0, 0.3, 3.0):
         shares.append(tree.visits(x[:200]).mean())
     assert shares[0] < shares[1] < shares[2] == 1.0
+
+
+def test_nearest_within_a_cell_is_exact_on_visited_leaves():
+    rng = np.random.default_rng(5)
+    x = nb.unit(rng.normal(size=(400, 8)))
+    home = rng.integers(0, 7, 400).astype(np.int16)
+    seen = rng.random((400, 7)) < 0.5
+    leaves = np.empty(400, object)
+    for i in range(400):
+        leaves[i] = np.packbits(seen[i]).tobytes() if i % 3 else b""
+    rows = np.flatnonzero(np.arange(400) % 4 != 1)
+    p, r = nb._nearest(x, rows, home, leaves, 5)
+    got = {}
+    for a, b in zip(p, r):
+        got.setdefault(int(a), set()).add(int(b))
+    for q in range(400):
+        can = [j for j in rows if j != q and seen[q, home[j]]] if q % 3 else []
+        want = sorted(can, key=lambda j: -float(x[q] @ x[j]))[:5]
+        assert got.get(q, set()) == set(map(int, want))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_many_shards_on_the_tables(spark, monkeypatch):
+    monkeypatch.setattr(nb, "SHARD_ROWS", 48)
+    monkeypatch.setattr(nb, "LEAF_ROWS", 24)
+    df = spark.read.parquet("/root/testdata/sf0.01/chunk_embeddings.parquet")
+    rows = nb.usable(df).select(F.concat_ws("/", "model_name", F.col("dimension").cast("string")).alias("model"), F.xxhash64("vector").alias("a1"), F.xxhash64(F.lit(1), "vector").alias("a2"), "vector")
+    trees = nb._trees(rows, 10, None, 0.95)
+    assert max(int(t.shard.max()) + 1 for t in trees.values()) >= 8
+    report = {r.model_name: r for r in nb.recall_report(df, 10).collect()}
+    assert len(report) == 2 and all(r.recall >= 0.9 for r in report.values())
+
+
+def test_brute_force_takes_the_latest_vector(rows):
+    extra = [("e0", "c00000", "m", 2, [0.0, 1.0], at(2), "x", 1)]
+    got = nb.exact_neighbours(frame(rows, [[1.0, 0.0], [1.0, 0.1], [0.1, 1.0]], extra), 1, every=1).collect()
+    assert {(r.chunk_id, r.neighbour) for r in got} == {("c00000", "c00002"), ("c00001", "c00002"), ("c00002", "c00000")}
