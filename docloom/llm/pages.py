@@ -22,107 +22,152 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Clean documents that training pages are laid out from, and pages made of them; documented bounds.
-SAMPLE_DOCUMENTS, TRAINING_PAGES = 700, 1_500
+SAMPLE_DOCUMENTS, TRAINING_PAGES = 700, 2_500
+#: Shares of training pages that are laid out from the articles below, put in words of no language, cut to a few short paragraphs, and that end in a short sentence.
+GENERAL, UNKNOWN, SHORT, CLOSING_REMARK = 0.3, 0.2, 0.2, 0.4
 _DIMENSIONS = 1 << 16
 
 #: Weight of the potentials by parent: a line's own evidence already holds much of what its section says.
 TEMPER = {"page": 0.5, "section": 0.4, "block": 1.0}
 
-# The furniture of web pages by language, as general wording.
+# The furniture of web pages by language, in wording that is common on the web.
 MENU = {
-    "en": "Home|About us|Blog|News|Contact|Sign in|Search|Help center|Support|Docs|Guides|Topics|Events|Pricing|Products|Careers|Press|Library|Archive|Community|Downloads|Newsletter|FAQ|My account|Changelog|Shop|Log in|Register|Services|Forum|Team|Videos|Podcasts|Jobs",
-    "de": "Startseite|Über uns|Aktuelles|Kontakt|Anmelden|Suche|Hilfe|Anleitungen|Themen|Termine|Preise|Produkte|Karriere|Presse|Archiv|Mein Konto|Neuigkeiten|Dienste|Forum|Registrieren",
-    "es": "Inicio|Quiénes somos|Noticias|Contacto|Entrar|Buscar|Ayuda|Guías|Temas|Agenda|Precios|Productos|Empleo|Prensa|Archivo|Mi cuenta|Servicios|Foro|Registrarse",
-    "fr": "Accueil|À propos|Actualités|Contact|Connexion|Recherche|Aide|Guides|Thèmes|Agenda|Tarifs|Produits|Emplois|Presse|Archives|Mon compte|Services|Forum|S’inscrire",
-    "pt": "Início|Quem somos|Notícias|Contato|Entrar|Pesquisar|Ajuda|Guias|Temas|Agenda|Preços|Produtos|Imprensa|Arquivo|Minha conta",
-    "it": "Home|Chi siamo|Notizie|Contatti|Accedi|Cerca|Aiuto|Guide|Temi|Eventi|Prezzi|Prodotti|Stampa|Archivio",
-    "pl": "Strona główna|O nas|Aktualności|Kontakt|Zaloguj się|Szukaj|Pomoc|Poradniki|Tematy|Wydarzenia|Cennik|Produkty|Prasa|Archiwum",
+    "en": "Home|About|About us|Blog|News|Contact|Contact us|Sign in|Sign up|Search|Support|Docs|Guides|Topics|Events|Pricing|Products|Solutions|Careers|Press|Library|Archive|Community|Downloads|Newsletter|FAQ|My account|Changelog|Shop|Log in|Register|Services|Forum|Team|Videos|Podcasts|Jobs|Cart|Categories|World|Business|Science|Health|Sport|Opinion|Resources|Partners|Customers",
+    "de": "Startseite|Über uns|Aktuelles|Kontakt|Anmelden|Suche|Hilfe|Anleitungen|Themen|Termine|Preise|Produkte|Karriere|Presse|Archiv|Mein Konto|Neuigkeiten|Dienste|Forum|Registrieren|Warenkorb|Politik|Wirtschaft|Kultur|Wissen|Sport|Reise",
+    "es": "Inicio|Nosotros|Noticias|Contacto|Entrar|Iniciar sesión|Buscar|Ayuda|Guías|Temas|Agenda|Precios|Productos|Empleo|Prensa|Archivo|Mi cuenta|Servicios|Foro|Registrarse|Tienda|Cultura|Economía|Deportes|Blog",
+    "fr": "Accueil|À propos|Actualités|Contact|Connexion|Se connecter|Recherche|Aide|Guides|Thèmes|Agenda|Tarifs|Produits|Emplois|Presse|Archives|Mon compte|Services|Forum|S’inscrire|Boutique|Culture|Économie|Sports|Blog",
+    "pt": "Início|Sobre nós|Notícias|Contato|Entrar|Pesquisar|Ajuda|Guias|Temas|Agenda|Preços|Produtos|Imprensa|Arquivo|Minha conta|Loja|Cultura|Economia|Esportes",
+    "it": "Home|Chi siamo|Notizie|Contatti|Accedi|Cerca|Aiuto|Guide|Temi|Eventi|Prezzi|Prodotti|Stampa|Archivio|Carrello|Cultura|Economia|Sport",
+    "pl": "Strona główna|O nas|Aktualności|Kontakt|Zaloguj się|Szukaj|Pomoc|Poradniki|Tematy|Wydarzenia|Cennik|Produkty|Prasa|Archiwum|Koszyk|Kultura|Gospodarka|Sport",
+    "ru": "Главная|О нас|О компании|Новости|Контакты|Войти|Регистрация|Поиск|Помощь|Темы|События|Цены|Продукты|Услуги|Вакансии|Пресса|Архив|Личный кабинет|Форум|Корзина|Культура|Экономика|Спорт",
 }
 FOOT = {
-    "en": "Privacy policy|Terms of use|Imprint|Legal notice|Cookie settings|Accessibility|Sitemap|Status page|Report a problem|Do not sell my data|RSS|Press kit|Partners|Contact|Careers|Advertise|Cookie policy|Disclaimer",
-    "de": "Datenschutz|Impressum|Nutzungsbedingungen|Cookie-Einstellungen|Barrierefreiheit|Übersicht|Presse|AGB|Kontakt|Sitemap|Partner",
-    "es": "Privacidad|Aviso legal|Condiciones de uso|Configurar cookies|Accesibilidad|Mapa del sitio|Prensa|Contacto|Socios",
-    "fr": "Confidentialité|Mentions légales|Conditions d’utilisation|Gérer les cookies|Accessibilité|Plan du site|Presse|Contact|Partenaires",
-    "pt": "Privacidade|Aviso legal|Termos de uso|Definições de cookies|Acessibilidade|Mapa do site|Imprensa",
-    "it": "Privacy|Note legali|Condizioni d’uso|Impostazioni cookie|Accessibilità|Mappa del sito|Stampa",
-    "pl": "Prywatność|Nota prawna|Regulamin|Ustawienia plików cookie|Dostępność|Mapa strony|Prasa",
+    "en": "Privacy policy|Privacy|Terms of use|Terms of service|Terms & conditions|Imprint|Legal notice|Legal|Cookie settings|Cookie preferences|Accessibility|Sitemap|Help|RSS|Partners|Contact|Careers|Advertise|Cookie policy|Disclaimer|Do Not Sell or Share My Personal Information|Copyright policy|Security|Status|Feedback",
+    "de": "Datenschutz|Datenschutzerklärung|Impressum|Nutzungsbedingungen|Cookie-Einstellungen|Barrierefreiheit|Presse|AGB|Kontakt|Sitemap|Partner|Mediadaten|Widerrufsrecht",
+    "es": "Privacidad|Política de privacidad|Aviso legal|Condiciones de uso|Política de cookies|Accesibilidad|Mapa web|Prensa|Contacto|Publicidad",
+    "fr": "Confidentialité|Politique de confidentialité|Mentions légales|Conditions d’utilisation|Gestion des cookies|Accessibilité|Plan du site|Presse|Contact|Partenaires|Publicité",
+    "pt": "Privacidade|Política de privacidade|Aviso legal|Termos de uso|Política de cookies|Acessibilidade|Mapa do site|Imprensa|Anuncie",
+    "it": "Privacy|Informativa sulla privacy|Note legali|Condizioni d’uso|Impostazioni cookie|Accessibilità|Mappa del sito|Stampa|Pubblicità",
+    "pl": "Prywatność|Polityka prywatności|Nota prawna|Regulamin|Ustawienia plików cookie|Dostępność|Mapa strony|Prasa|Reklama",
+    "ru": "Политика конфиденциальности|Условия использования|Пользовательское соглашение|Правовая информация|Настройки файлов cookie|Карта сайта|Пресса|Контакты|Реклама|Обратная связь",
 }
 WIDGETS = {
-    "en": "Most read|Latest posts|Recent comments|Related articles|You may also like|Popular this week|Categories|Tags|On this site|Topics|Archive|Trending now|More from this author|Recommended|Read next|Follow us|Editor’s picks",
-    "de": "Meistgelesen|Neueste Beiträge|Kategorien|Schlagwörter|Das könnte Sie auch interessieren|Ähnliche Artikel|Themen|Neueste Kommentare|Beliebt diese Woche",
-    "es": "Lo más leído|Últimas entradas|Categorías|Etiquetas|También le puede interesar|Artículos relacionados|Temas|Comentarios recientes",
-    "fr": "Les plus lus|Derniers articles|Catégories|Étiquettes|À lire aussi|Articles liés|Thèmes|Commentaires récents",
-    "pt": "Mais lidas|Últimas publicações|Categorias|Etiquetas|Leia também",
-    "it": "I più letti|Ultimi articoli|Categorie|Etichette|Leggi anche",
-    "pl": "Najczęściej czytane|Najnowsze wpisy|Kategorie|Tagi|Zobacz także",
+    "en": "Most read|Most popular|Latest posts|Latest news|Recent posts|Recent comments|Related articles|Related posts|You might also like|Popular posts|Categories|Tags|Topics|Archives|Trending|More from this author|Recommended for you|Read next|Follow us|Editor’s picks|In this section|Quick links|Share this|Comments|Top stories|More stories",
+    "de": "Meistgelesen|Neueste Artikel|Kategorien|Schlagwörter|Das könnte Sie auch interessieren|Ähnliche Artikel|Themen|Neueste Kommentare|Beliebte Beiträge|Mehr zum Thema|Folgen Sie uns",
+    "es": "Más leídas|Lo más visto|Entradas recientes|Categorías|Etiquetas|También te puede interesar|Artículos relacionados|Temas|Comentarios recientes|Síguenos|Más noticias",
+    "fr": "Articles populaires|Articles récents|Catégories|Étiquettes|Vous aimerez aussi|Articles liés|Sur le même sujet|Thèmes|Commentaires récents|Suivez-nous",
+    "pt": "Mais lidas|Posts recentes|Categorias|Etiquetas|Leia também|Você também pode gostar|Siga-nos",
+    "it": "I più letti|Articoli recenti|Categorie|Etichette|Potrebbe interessarti anche|Articoli correlati|Seguici",
+    "pl": "Najczęściej czytane|Ostatnie wpisy|Kategorie|Tagi|Zobacz także|Podobne artykuły|Obserwuj nas",
+    "ru": "Популярное|Самое читаемое|Последние записи|Свежие комментарии|Рубрики|Метки|Похожие статьи|Читайте также|Мы в соцсетях|Ещё по теме",
 }
-#: {site} is the site's name, {place} a place, {n} a number, {title} another page's title.
+#: {site} is the site's name, {place} a place, {n} a number, {title} another page's title; other names are of ``PARTS``.
 CONSENT = {
-    "en": "We use cookies to {aim}. {out}|We and our {n} partners {keep} to {aim}. {out}|This site {keeps} to {aim}.|Our pages {keep} to {aim}. {out}|The pages you visit {keep} to {aim}. {out}|To keep this service free, we {keep} to {aim}. {out}|All sites of {site} {keep} to {aim}. {out}|By continuing to browse, you accept our use of cookies.|At {site} we {keep} to {aim}.|Your privacy matters to us: we {keep} to {aim}. {out}",
-    "de": "Wir verwenden Cookies, um {aim}. {out}|Wir und unsere {n} Partner {keep}, um {aim}. {out}|Unsere Seiten {keep} um {aim}. {out}|Die Seiten von {site} {keep} um {aim}.|Damit dieser Dienst kostenlos bleibt, {keep} wir, um {aim}. {out}|Mit der Nutzung dieser Seite stimmen Sie Cookies zu.",
-    "es": "Usamos cookies para {aim}. {out}|Nosotros y {n} socios {keep} para {aim}. {out}|En {site} {keep} para {aim}. {out}|Nuestras páginas {keep} para {aim}.|Para que el servicio siga siendo gratuito, {keep} para {aim}. {out}",
-    "fr": "Nous utilisons des cookies pour {aim}. {out}|Nous et nos {n} partenaires {keep} pour {aim}. {out}|Chez {site}, nous {keep} pour {aim}. {out}|Pour rester gratuits, nous {keep} pour {aim}. {out}",
-    "pt": "Usamos cookies para {aim}. {out}|Nós e {n} parceiros {keep} para {aim}. {out}|No {site} {keep} para {aim}.",
-    "it": "Utilizziamo i cookie per {aim}. {out}|Noi e {n} partner {keep} per {aim}. {out}",
-    "pl": "Używamy plików cookie, aby {aim}. {out}|My i {n} partnerów {keep}, aby {aim}. {out}",
+    "en": "This website uses cookies to {aim}. {out}|{we} cookies and similar technologies to {aim}. {out}|{site} uses cookies to {aim}. {out}|{we} cookies to {aim} and to {aim}. {out}|{free}, {we2} cookies to {aim}. {out}|We and our {n} partners {keep} to {aim}. {out}|Our pages and those of our partners {keep} to {aim}. {out}|By clicking “Accept”, you agree to the storing of cookies on your device to {aim}.|By continuing to use this site, you consent to our use of cookies.|Pages on {site} {keep} to {aim}. {out}|These pages {keep} to {aim}. {out}|The services that you use here {keep} to {aim}. {out}|We value your privacy. {we} cookies to {aim}. {out}|Your privacy is important to us. With your permission, we {keep} to {aim}. {out}",
+    "de": "Diese Website verwendet Cookies, um {aim}. {out}|{we} Cookies und ähnliche Technologien, um {aim}. {out}|{site} verwendet Cookies, um {aim}. {out}|Wir und unsere {n} Partner {keep}, um {aim}. {out}|Unsere Seiten {keep}, um {aim}. {out}|Die Seiten und Dienste von {site} {keep}, um {aim}. {out}|Mit Ihrer Einwilligung {keep} wir, um {aim}. {out}|Durch die weitere Nutzung der Seite stimmen Sie der Verwendung von Cookies zu.|Wir schätzen Ihre Privatsphäre. {out}",
+    "es": "Este sitio web utiliza cookies para {aim}. {out}|{we} cookies propias y de terceros para {aim}. {out}|En {site} {keep} para {aim}. {out}|Nosotros y nuestros {n} socios {keep} para {aim}. {out}|Para financiar {site}, {keep} para {aim}. {out}|Si continúa navegando, consideramos que acepta su uso.|Valoramos tu privacidad. {out}",
+    "fr": "Ce site utilise des cookies pour {aim}. {out}|{we} des cookies et des technologies similaires pour {aim}. {out}|Sur {site}, nous {keep} pour {aim}. {out}|Nous et nos {n} partenaires {keep} pour {aim}. {out}|Pour financer ce site, nous {keep} pour {aim}. {out}|En poursuivant votre navigation, vous acceptez l’utilisation de cookies.|Nous respectons votre vie privée. {out}",
+    "pt": "Este site usa cookies para {aim}. {out}|{we} cookies e tecnologias semelhantes para {aim}. {out}|No {site} {keep} para {aim}. {out}|Nós e os nossos {n} parceiros {keep} para {aim}. {out}|Ao continuar a navegar, você concorda com o uso de cookies.",
+    "it": "Questo sito utilizza i cookie per {aim}. {out}|{we} cookie propri e di terze parti per {aim}. {out}|Noi e i nostri {n} partner {keep} per {aim}. {out}|Proseguendo la navigazione acconsenti all’uso dei cookie.",
+    "pl": "Ta strona używa plików cookie, aby {aim}. {out}|{we} plików cookie i podobnych technologii, aby {aim}. {out}|My i nasi {n} partnerzy {keep}, aby {aim}. {out}|Korzystając dalej ze strony, wyrażasz zgodę na używanie plików cookie.",
+    "ru": "Этот сайт использует файлы cookie, чтобы {aim}. {out}|{we} файлы cookie и похожие технологии, чтобы {aim}. {out}|Мы и наши партнёры ({n}) {keep}, чтобы {aim}. {out}|Продолжая пользоваться сайтом, вы соглашаетесь на использование файлов cookie.",
 }
 PARTS = {
-    "en": {"aim": "remember your choices|measure visits|improve loading times|show content that fits you|personalise ads|analyse traffic|keep you signed in", "keep": "use cookies|store small files on your device|rely on similar technologies|save your preferences locally", "keeps": "uses cookies|stores small files on your device|relies on similar technologies", "out": "|You can change your mind at any time.|By staying you agree.|Choose what you allow below.|Details are in our policy.|Learn more in our privacy policy."},
-    "de": {"aim": "Besuche zu zählen|Inhalte anzupassen|Ihre Auswahl zu merken|Werbung auszuspielen", "keep": "verwenden Cookies|speichern Daten auf Ihrem Gerät|nutzen ähnliche Techniken", "out": "|Sie können das jederzeit ändern.|Mehr dazu in der Datenschutzerklärung."},
-    "es": {"aim": "adaptar el contenido|medir visitas|recordar sus preferencias|mostrar anuncios", "keep": "usamos cookies|guardamos datos en su equipo", "out": "|Puede cambiarlo cuando quiera.|Más información en nuestra política."},
-    "fr": {"aim": "mesurer l’audience|adapter les contenus|mémoriser vos choix", "keep": "utilisons des cookies|conservons des traceurs", "out": "|Vous pouvez changer d’avis.|En savoir plus dans notre politique."},
-    "pt": {"aim": "medir visitas|adaptar o conteúdo", "keep": "usamos cookies|guardamos dados no seu dispositivo", "out": "|Pode mudar de ideia quando quiser."},
-    "it": {"aim": "misurare le visite|adattare i contenuti", "keep": "usiamo i cookie|salviamo dati sul dispositivo", "out": "|Può cambiare idea in ogni momento."},
-    "pl": {"aim": "mierzyć odwiedziny|dopasować treści", "keep": "używamy plików cookie|zapisujemy dane na urządzeniu", "out": "|Możesz zmienić zdanie w każdej chwili."},
+    "en": {
+        "we": "We use|We sometimes use|Like most sites, we use|We only use", "we2": "we use|we rely on|we set", "free": "To keep our content free|To run this site|For the best experience|To make this service better",
+        "aim": "ensure you get the best experience|improve your browsing experience|analyze our traffic|personalize content and ads|understand where our visitors come from|provide social media features|remember your settings|deliver relevant advertising|keep the site secure|measure the performance of ads|recognise you when you return|count visits|load pages faster|show you content you like",
+        "keep": "use cookies|store and access information on a device|use cookies and other identifiers|process personal data|keep small text files in your browser|save data on your computer|rely on trackers", "out": "||Learn more.|Find out more in our cookie policy.|You can withdraw your consent at any time.|You can change your preferences in the settings.|See our privacy policy for details.|Please choose which cookies we may use.|If you stay on this site, you accept them.",
+    },
+    "de": {"we": "Wir verwenden|Wir nutzen|Wir setzen", "aim": "Ihnen das beste Nutzererlebnis zu bieten|unseren Datenverkehr zu analysieren|Inhalte und Anzeigen zu personalisieren|die Website zu verbessern|Ihre Einstellungen zu speichern|die Reichweite zu messen", "keep": "verarbeiten personenbezogene Daten|nutzen Cookies|speichern Informationen auf Ihrem Gerät|setzen Cookies ein", "out": "||Mehr erfahren.|Weitere Informationen finden Sie in unserer Datenschutzerklärung.|Sie können Ihre Einwilligung jederzeit widerrufen.|Ihre Auswahl können Sie in den Einstellungen ändern."},
+    "es": {"we": "Utilizamos|Usamos|Empleamos", "aim": "mejorar su experiencia de navegación|analizar nuestro tráfico|personalizar el contenido y los anuncios|recordar sus ajustes|ofrecer funciones de redes sociales|medir la audiencia", "keep": "utilizamos cookies|almacenamos información en un dispositivo|tratamos datos personales", "out": "||Más información.|Consulte nuestra política de cookies.|Puede retirar su consentimiento en cualquier momento.|Puede cambiar la configuración."},
+    "fr": {"we": "Nous utilisons|Nous employons", "aim": "améliorer votre expérience|analyser notre trafic|personnaliser le contenu et les annonces|mémoriser vos préférences|proposer des fonctions de réseaux sociaux|mesurer la fréquentation", "keep": "utilisons des cookies|stockons des informations sur votre appareil|traitons des données personnelles", "out": "||En savoir plus.|Consultez notre politique de confidentialité.|Vous pouvez retirer votre consentement à tout moment.|Vous pouvez modifier vos préférences."},
+    "pt": {"we": "Usamos|Utilizamos", "aim": "melhorar a sua experiência|analisar o tráfego|personalizar conteúdo e anúncios|lembrar as suas preferências", "keep": "usamos cookies|armazenamos informações no seu dispositivo|tratamos dados pessoais", "out": "||Saiba mais.|Consulte a nossa política de privacidade.|Você pode alterar as suas preferências a qualquer momento."},
+    "it": {"we": "Utilizziamo|Usiamo", "aim": "migliorare la tua esperienza|analizzare il traffico|personalizzare contenuti e annunci|ricordare le tue preferenze", "keep": "utilizziamo cookie|archiviamo informazioni su un dispositivo|trattiamo dati personali", "out": "||Scopri di più.|Leggi la nostra informativa.|Puoi revocare il consenso in qualsiasi momento."},
+    "pl": {"we": "Używamy|Korzystamy z", "aim": "poprawić komfort przeglądania|analizować ruch|dostosować treści i reklamy|zapamiętać ustawienia", "keep": "używają plików cookie|przechowują informacje na urządzeniu|przetwarzają dane osobowe", "out": "||Dowiedz się więcej.|Szczegóły znajdziesz w polityce prywatności.|Zgodę można wycofać w dowolnej chwili."},
+    "ru": {"we": "Мы используем|Мы применяем", "aim": "сайт работал лучше|анализировать посещаемость|показывать подходящую рекламу|запоминать ваши настройки", "keep": "используем файлы cookie|храним данные на вашем устройстве|обрабатываем персональные данные", "out": "||Подробнее.|Подробности в политике конфиденциальности.|Вы можете отозвать согласие в любой момент."},
 }
 BUTTONS = {
-    "en": "Accept all|Reject|Reject all|Manage options|Only necessary|OK, got it|Customise|Settings",
-    "de": "Alle akzeptieren|Ablehnen|Einstellungen|Nur notwendige",
-    "es": "Aceptar todo|Rechazar|Configurar|Solo necesarias",
-    "fr": "Tout accepter|Refuser|Personnaliser",
-    "pt": "Aceitar tudo|Recusar|Configurar",
-    "it": "Accetta tutto|Rifiuta|Personalizza",
-    "pl": "Akceptuj wszystko|Odrzuć|Ustawienia",
+    "en": "Accept all|Accept|Accept all cookies|Reject|Reject all|Decline|Manage preferences|Necessary only|Got it|I agree|Customise|Settings|Cookie settings|Save choices|OK",
+    "de": "Akzeptieren|Alle Cookies akzeptieren|Zustimmen|Ablehnen|Alle ablehnen|Einstellungen|Nur notwendige|Auswahl speichern|Verstanden",
+    "es": "Aceptar|Aceptar todas|Rechazar|Rechazar todas|Configurar|Ajustes|Guardar|De acuerdo",
+    "fr": "Accepter|J’accepte|Accepter et fermer|Refuser|Tout refuser|Personnaliser|Paramétrer|Enregistrer",
+    "pt": "Aceitar|Aceitar todos|Recusar|Configurar|Entendi",
+    "it": "Accetta|Accetta tutti|Rifiuta|Personalizza|Ho capito",
+    "pl": "Akceptuję|Zgadzam się|Odrzuć|Ustawienia|Rozumiem",
+    "ru": "Принять|Принять все|Согласен|Отклонить|Настроить|Понятно",
 }
 PROMPTS = {
-    "en": "Advertisement|Sponsored|Story continues below|Continue reading below|Save for later|Follow this topic|Share: Copy link · Mail · Print|Share this article|Was this page helpful? Yes No|Rate this page ★★★☆☆ ({n})|{n} comments · {n} min read|{n} comments|{n} min read|Leave a comment|Enjoying this? Become a member for unlimited pages.|Get the weekly letter, straight to your inbox. Enter your address and press Join.|Subscribe to our newsletter|Sign up for free updates.|Log in to leave a comment.|[Image: loading]|Loading…|↑ Back to top|Back to top|Print this page|Skip to content|Please enable JavaScript to view this page.|Listen to this article|Join our community of {n} readers today.|Like this page? Support us.|Show more|Load more comments|Copy link|Tweet|Report this post|See also: {title}|Read also: {title}|Read next: {title}|Related: {title}|More: {title}",
-    "de": "Anzeige|Werbung|Weiterlesen|Teilen: Link kopieren · Drucken|War das hilfreich? Ja Nein|{n} Kommentare|Lesezeit {n} Minuten|Jetzt den Newsletter bestellen|Nach oben|Zum Inhalt springen|Seite drucken|Artikel merken|Mehr anzeigen|Lesen Sie auch: {title}|Siehe auch: {title}",
-    "es": "Publicidad|Seguir leyendo|Compartir · Imprimir|¿Le ha sido útil? Sí No|{n} comentarios|Reciba nuestro boletín|Volver arriba|Saltar al contenido|Guardar para después|Ver más|Lea también: {title}|Ver también: {title}",
-    "fr": "Publicité|Lire la suite|Partager · Imprimer|Cette page est-elle utile ? Oui Non|{n} commentaires|Recevez notre lettre|Haut de page|Aller au contenu|Afficher plus|À lire aussi : {title}|Voir aussi : {title}",
-    "pt": "Publicidade|Continuar a ler|Partilhar · Imprimir|Esta página foi útil? Sim Não|{n} comentários|Receba a nossa newsletter|Voltar ao topo|Leia também: {title}",
-    "it": "Pubblicità|Continua a leggere|Condividi · Stampa|Questa pagina è utile? Sì No|{n} commenti|Ricevi la nostra lettera|Torna su|Leggi anche: {title}",
-    "pl": "Reklama|Czytaj dalej|Udostępnij · Drukuj|Czy ta strona była pomocna? Tak Nie|{n} komentarzy|Zapisz się do newslettera|Do góry|Zobacz także: {title}",
+    "en": "Advertisement|Sponsored content|Promoted|Article continues after advertisement|Continue reading|Keep reading|Read more|Save this article|Bookmark|Follow this author|Share|Share on Facebook|Share on X|Share this article|Share via email · Print|Facebook | Twitter | LinkedIn | Email|Was this article helpful?|Did you find this useful? Yes / No|Thank you for your feedback!|★★★★☆ {n} ratings|Rating: {n} votes|{n} Comments · {n} views|{n} minute read|Reading time: {n} minutes|{n} views|{n} shares|No comments yet|Leave a reply|Leave a comment|Post a comment|Reply|Join the discussion|Join the conversation|Become a member to read without limits.|Subscribe now for full access.|You have {n} free articles left this month.|Already a subscriber? Log in|Sign up for our newsletter and get the latest stories by email. Enter your email address.|Never miss a post: subscribe to our mailing list.|Subscribe to our newsletter|Sign up for free|Your email address will not be published.|Log in to comment|Image credit: {site}|Photo: loading|Loading…|Please wait|Scroll to top|Back to top ↑|Go to top|Print|Print this page|Skip to main content|Skip to content|Toggle navigation|Close menu|Open menu|Please enable JavaScript to continue.|Listen to this article|Watch the video|Enjoyed this post? Share it with friends.|Stay in the loop: enter your email and press Subscribe.|Get our weekly digest in your inbox.|The best stories, delivered to your inbox every Friday.|Become a supporter and enjoy unlimited access.|Members read without ads: join today.|Enjoy unlimited reading: start your free trial.|Are you enjoying our work? Support us.|Rate this article|Rate this: ★★★★★|Please rate this page|Like this page? Consider a donation.|Help us keep writing: donate today.|Show more|Load more comments|View all|See all|Copy URL|Tweet|Report this comment|Posted in News|Filed under: {place}|Tagged with {place}|Previous article: {title}|Next article: {title}|See also: {title}|More on this: {title}|Related article: {title}|Recommended: {title}|← {title}|{title} →",
+    "de": "Anzeige|Werbung|Weiterlesen|Mehr lesen|Teilen|Teilen: E-Mail · Facebook|War dieser Artikel hilfreich?|{n} Kommentare|Lesedauer: {n} Minuten|Newsletter abonnieren|Melden Sie sich für unseren Newsletter an und erhalten Sie Neues per E-Mail.|Zum Seitenanfang|Zum Inhalt springen|Drucken|Merken|Mehr anzeigen|Kommentar schreiben|Jetzt registrieren|Kostenlos testen|Mehr zum Thema: {title}|Auch interessant: {title}|Siehe auch: {title}",
+    "es": "Publicidad|Continuar leyendo|Leer más|Compartir|Compartir en Facebook · Correo|¿Le ha resultado útil este artículo?|{n} comentarios|Tiempo de lectura: {n} minutos|Suscríbase a nuestro boletín|Suscríbete y recibe las novedades en tu correo.|Ir arriba|Ir al contenido|Imprimir|Guardar|Mostrar más|Deja un comentario|Te puede interesar: {title}|Ver también: {title}",
+    "fr": "Publicité|Lire plus|Partager|Partager sur Facebook · E-mail|Cet article vous a-t-il été utile ?|{n} commentaires|Temps de lecture : {n} minutes|Abonnez-vous à notre newsletter|Inscrivez-vous pour recevoir nos articles par e-mail.|Retour en haut|Aller au contenu principal|Imprimer|Enregistrer|Afficher plus|Laisser un commentaire|À lire également : {title}|Voir aussi : {title}",
+    "pt": "Publicidade|Continue lendo|Leia mais|Compartilhar|Este artigo foi útil?|{n} comentários|Assine a nossa newsletter|Voltar ao topo|Pular para o conteúdo|Imprimir|Deixe um comentário|Leia também: {title}",
+    "it": "Pubblicità|Continua a leggere|Leggi tutto|Condividi|Questo articolo ti è stato utile?|{n} commenti|Iscriviti alla newsletter|Torna in alto|Vai al contenuto|Stampa|Lascia un commento|Leggi anche: {title}",
+    "pl": "Reklama|Czytaj dalej|Czytaj więcej|Udostępnij|Czy ten artykuł był pomocny?|{n} komentarzy|Zapisz się do newslettera|Wróć na górę|Przejdź do treści|Drukuj|Dodaj komentarz|Zobacz także: {title}",
+    "ru": "Реклама|Читать далее|Читать дальше|Поделиться|Была ли статья полезной? Да Нет|Комментарии ({n})|{n} просмотров|Время чтения: {n} минут|Подпишитесь на рассылку|Подпишитесь на наш канал и получайте новости первыми.|Наверх|Перейти к содержанию|Версия для печати|Показать ещё|Оставить комментарий|Войдите, чтобы оставить комментарий.|Читайте также: {title}|Смотрите также: {title}",
 }
 CLOSING = {
-    "en": "© {y} {site}. All rights reserved.|Copyright {y} {site} – reproduction only with permission.|{y} · {site} · published under an open license unless noted|{site}, {n} Quay Street, {place}|Made in {place} · version {n}.{n}|{site} is operated by the {place} Foundation, {n} Quay Road, {place}. All material is offered without warranty of any kind.|Powered by {site} engine|{site} is a registered trademark.|Follow us on social media",
-    "de": "© {y} {site}. Alle Rechte vorbehalten.|{site}, Uferstraße {n}, {place}|Ein Angebot der Stiftung {place}.",
-    "es": "© {y} {site}. Todos los derechos reservados.|{site}, calle del Muelle {n}, {place}",
-    "fr": "© {y} {site}. Tous droits réservés.|{site}, {n} rue du Quai, {place}",
-    "pt": "© {y} {site}. Todos os direitos reservados.|{site}, Rua do Cais {n}, {place}",
-    "it": "© {y} {site}. Tutti i diritti riservati.|{site}, via del Molo {n}, {place}",
-    "pl": "© {y} {site}. Wszelkie prawa zastrzeżone.|{site}, ul. Portowa {n}, {place}",
+    "en": "© {y} {site}. All rights reserved.|Copyright © {y} {site}|© {site} {y}|© {y}–{y} {site}, Inc.|{site} © {y} – No part of this site may be reproduced without written permission.|Content is available under a Creative Commons license unless otherwise noted.|{site}, {n} Main Street, {place}|{site} Ltd, registered in {place}, company number {n}|Copyright {y} by {site}. Reproduction without permission is prohibited.|{site} is operated by {place} Media Group, {n} Park Road, {place}. No warranty is given.|Powered by {site}|Theme by {site}|Designed and hosted in {place}|Version {n}.{n}.{n}|{site} is a trademark of its owner in {place} and elsewhere.|{site} is published by a non-profit organisation based in {place}. The information is provided as is, without warranty.|Follow us on social media|Tel. +{n} {n} {n}|Last updated: {y}",
+    "de": "© {y} {site}. Alle Rechte vorbehalten.|© {y} {site} GmbH|{site} GmbH, Hauptstraße {n}, {place}|Ein Angebot von {site}.|Betreiber dieser Seite ist {site} in {place}.",
+    "es": "© {y} {site}. Todos los derechos reservados.|© {y} {site} S. L.|{site}, calle Mayor {n}, {place}|Un proyecto de {site}.",
+    "fr": "© {y} {site}. Tous droits réservés.|© {y} {site} SARL|{site}, {n} rue de la République, {place}|Un site édité par {site}.",
+    "pt": "© {y} {site}. Todos os direitos reservados.|{site}, Avenida Central {n}, {place}",
+    "it": "© {y} {site}. Tutti i diritti riservati.|{site}, via Roma {n}, {place}",
+    "pl": "© {y} {site}. Wszelkie prawa zastrzeżone.|{site}, ul. Główna {n}, {place}",
+    "ru": "© {y} {site}. Все права защищены.|{site}, ул. Центральная, {n}, {place}|Копирование материалов только со ссылкой на {site}.",
 }
 #: Articles may speak of such things, and have such headings, and are content all the same.
 SPOKEN_OF = (
-    "The consent form asks visitors to accept or reject cookies, and {n} percent of them rejected it.",
-    "Cookies set by the gateway expire after {n} minutes, so longer sessions need a second login.",
-    "The privacy policy of {place} was revised twice before the audit.",
-    "A newsletter was sent to {n} members after the vote.",
-    "Every menu of the old interface was measured by its loading time.",
-    "The footer of each form names the office that keeps the record.",
-    "Subscribe to the change feed of the record before the index is rebuilt.",
-    "Advertisement spending in {place} fell by {n} percent.",
-    "The site map shows the two yards beside the quay.",
-    "Comments on the draft were collected for {n} days.",
-    "The terms of use forbid copies of the scans in {place}.",
-    "Readers share the archive with {n} partners in {place}.",
-    "Click the second tab and press Save to store the profile.",
-    "You can change the threshold in the second field, then accept the proposal.",
-    "See also the second table for {place}.",
-    "All rights to the measurements stay with the station in {place}, as agreed in clause {n}.",
-    "Related work: the older survey of {place} came to the same result.",
+    "Browsers delete cookies without an expiry date when the window is closed.",
+    "In the study, {n} percent of the visitors rejected cookies when both buttons had the same size.",
+    "The privacy policy was rewritten after the court’s ruling.",
+    "A newsletter with {n} subscribers was sent every week until {n}.",
+    "Users opened the menu {n} times a day on average.",
+    "The footer repeats the address of the office.",
+    "Readers may subscribe to the feed of changes.",
+    "Spending on advertisement fell by {n} percent in {place}.",
+    "The site map of the excavation shows two houses.",
+    "Comments on the draft were accepted for {n} days.",
+    "The terms of use of the archive forbid copies.",
+    "They share the data with {n} partners.",
+    "Click the second tab and press Save to keep the change.",
+    "You can change the threshold in the settings of the program.",
+    "See also the second table.",
+    "All rights to the letters stay with the family.",
+    "Related work came to the same result in {n}.",
+    "Accept all invitations that come from {place}.",
+    "Log in as an administrator and open the search page.",
+)
+HEADINGS = "Contact|Support|Search|Topics|Archive|Events|Related work|About the data|Downloads|Help|Comments|Privacy|Terms|References|Further reading|Products|News|Cookies|Newsletter"
+
+#: Short articles in several languages, so that running text is known by more than one table's words; a line is a paragraph.
+ARTICLES = (
+    ("What a cookie banner must say", "Since the rules came into force, a site must ask before it stores cookies that are not needed.\nConsent has to be given freely.\nA button to reject must be as easy to find as the one to accept.\nMany banners still hide it behind a second page.\nRegulators have fined several companies for that.\n## What counts as necessary\nA shopping cart needs a cookie.\nAdvertising does not."),
+    ("How newsletters are measured", "An opened letter loads a small picture.\nThe sender counts how often that happens.\nPrivacy settings of mail programs now load the picture for everybody.\nThe count has therefore lost its meaning.\nClicks still tell something."),
+    ("Baking bread with rye", "Rye flour takes up more water than wheat.\nMix the sourdough with warm water and let it stand overnight.\n- 500 g rye flour\n- 400 ml water\n- 10 g salt\nKnead it briefly.\nBake the loaf for fifty minutes.\nIt keeps for a week."),
+    ("The lighthouse keeper’s winter", "Nobody came to the island between November and March.\nThe keeper lit the lamp at dusk and wrote down the weather.\nHis letters are kept in the museum today.\nSome are hard to read.\nIn one of them he asks for tobacco and for news."),
+    ("Setting up two-factor login", "Open the account page and choose Security.\nScan the code with your phone.\nThe app shows six digits.\nEnter them before they change.\n1. Keep the recovery codes in a safe place.\n2. Remove old devices.\nSupport cannot restore an account without them."),
+    ("Warum Züge im Herbst rutschen", "Nasses Laub legt sich auf die Schienen.\nDie Räder drehen dann durch, und der Zug braucht länger zum Bremsen.\nLokführer streuen Sand.\nDas hilft meistens.\nManche Strecken werden im Oktober täglich gereinigt."),
+    ("Der Garten im März", "Die Beete sind noch kalt.\nWer früh sät, deckt die Erde mit Vlies ab.\n- Spinat\n- Radieschen\n- Erbsen\nGegossen wird am Morgen.\nNachts friert es oft noch."),
+    ("Cookies und Einwilligung", "Eine Seite darf nicht notwendige Cookies erst setzen, wenn jemand zugestimmt hat.\nDas Ablehnen muss so einfach sein wie das Annehmen.\nViele Banner erfüllen das nicht.\n## Was die Gerichte sagen\nEin vorausgefülltes Feld ist keine Einwilligung."),
+    ("Die Brücke am alten Hafen", "Im Jahr 1902 wurde sie gebaut.\nSie trug zuerst nur eine Straßenbahn.\nNach dem Krieg fehlte das Geld für eine neue.\nHeute steht sie unter Denkmalschutz.\nKinder springen im Sommer von ihr ins Wasser."),
+    ("Pourquoi le pain rassit", "L’amidon perd son eau et durcit.\nLe froid accélère ce phénomène.\nIl vaut mieux garder le pain à température ambiante.\nUn torchon suffit.\nLe lendemain, on peut le griller."),
+    ("Une école au bord de la mer", "Elle n’avait que douze élèves.\nLe maître venait à vélo, même sous la pluie.\nL’hiver, on allumait le poêle à sept heures.\n## Après la guerre\nL’école ferma en 1951.\nLe bâtiment abrite aujourd’hui une bibliothèque."),
+    ("Le consentement aux cookies", "Un site doit demander l’accord du visiteur avant de déposer un traceur.\nRefuser doit être aussi simple qu’accepter.\nBeaucoup de bandeaux ne respectent pas cette règle.\nDes amendes ont été prononcées.\nLe sujet reste débattu."),
+    ("Cómo cuidar un olivo", "El olivo necesita sol y poca agua.\nSe poda a finales del invierno.\nLas ramas secas se cortan primero.\n- Tijeras limpias\n- Guantes\nEn verano se riega una vez por semana.\nLos frutos llegan en otoño."),
+    ("El faro de la isla", "Se encendió por primera vez en 1867.\nEl farero vivía allí con su familia.\nHoy funciona solo.\nLos visitantes suben por una escalera estrecha.\nDesde arriba se ve la costa."),
+    ("Qué es el consentimiento", "La ley exige que el usuario pueda rechazar las cookies con la misma facilidad.\nMuchos avisos no lo cumplen.\nLa agencia ha impuesto multas.\nEl debate continúa."),
+    ("A feira de domingo", "Começa às seis da manhã.\nOs produtores trazem frutas, queijo e pão.\nQuem chega tarde encontra pouco.\nÀ tarde a praça fica vazia.\nResta o cheiro de café."),
+    ("Como guardar sementes", "As sementes devem secar à sombra.\nDepois vão para um frasco fechado.\n1. Escreva o nome.\n2. Anote o ano.\nAssim duram muito tempo."),
+    ("Il forno del paese", "Apre alle quattro del mattino.\nIl pane esce caldo e dura tre giorni.\nUna volta ogni famiglia portava il proprio impasto.\nOggi restano due forni.\nIl sabato c’è la fila."),
+    ("La neve sulle Alpi", "Negli ultimi anni ne cade meno.\nI ghiacciai arretrano.\n## Le misure\nGli studiosi misurano lo spessore in primavera.\nI dati risalgono al 1920."),
+    ("Stary młyn nad rzeką", "Zbudowano go w 1840 roku.\nMełł zboże dla trzech wsi.\nPo wojnie stał pusty.\nDziś mieści się w nim muzeum.\nLatem przyjeżdżają tu szkoły."),
+    ("Jak zaparzyć herbatę", "Woda nie może wrzeć zbyt długo.\nLiście zalewa się na trzy minuty.\n- czajnik\n- filiżanka\nPotem trzeba je wyjąć.\nGorzka herbata smakuje niewielu."),
+    ("Старый маяк", "Маяк построили в 1874 году.\nСмотритель жил там с семьёй.\nЗимой к острову не ходили лодки.\nПисьма приходили только весной.\nСейчас в башне музей."),
+    ("Как хранить хлеб", "Хлеб не любит холода.\nЛучше завернуть его в полотно.\n- полотенце\n- деревянная хлебница\nТак он остаётся мягким два дня.\nПотом из него делают сухари."),
+    ("Согласие на файлы cookie", "Сайт должен спросить разрешения, прежде чем сохранить лишние файлы.\nОтказаться должно быть так же просто, как согласиться.\nНе все это соблюдают.\nСпоры продолжаются."),
+    ("De oude haven", "Vroeger lagen hier tientallen schepen.\nNu wonen er mensen aan de kade.\nDe kraan is blijven staan.\nKinderen vissen er in de zomer.\nHet water is weer schoon."),
 )
-HEADINGS = "Contact|Support|Search|Topics|Archive|Events|Related work|About the data|Downloads|Help|Comments|Privacy|Terms|References|Further reading|Products|News"
 
 _BULLET = re.compile(r"(?:[-*•+]|\d+[.)])\s+")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[©®™★↑→»›|·•]")
@@ -160,8 +205,10 @@ class Page:
             inside ^= k == "fence"
             fenced.append(inside or k == "fence")
         self.kinds = ["code" if f else k for k, f in zip(kinds, fenced)]
-        #: The last line that is surely running text or a table.
-        self.last = max((n for n, k in enumerate(self.kinds) if k in ("code", "row") or k == "prose" and len(self.lines[self.at[n]].split()) > 18), default=-1)
+        #: The last line that is surely running text or a table; where all sentences are short, the last of them.
+        prose = {n: len(self.lines[self.at[n]].split()) for n, k in enumerate(self.kinds) if k == "prose"}
+        least = min(18, max(prose.values(), default=0) - 1)
+        self.last = max((n for n, k in enumerate(self.kinds) if k in ("code", "row") or prose.get(n, 0) > least), default=-1)
         self._tree()
         self.features = self._features(title or "", url or "")
 
@@ -216,7 +263,10 @@ class Page:
                 f.append("gaps")
             f.append("end=" + (line[-1] if not line[-1].isalnum() else "word"))
             if line[-1] in ".?!" and kind in ("prose", "short", "long"):
-                f.append(f"sentence,size={size}")
+                f += [f"sentence,size={size}", f"sentence,place={place},before={before}"]
+            # Whether a blank line sets it apart, on pages that have any.
+            apart = "never" if total == len(self.lines) else "first" if not n else "yes" if self.at[n - 1] < i - 1 else "no"
+            f += [f"apart={apart},kind={kind},before={before}", f"apart={apart},place={place},before={before}"]
             if n > total - 4:
                 f.append(f"end-{total - n}")
             if n < 3:
@@ -325,15 +375,58 @@ def _majority(group: list[int], labels: np.ndarray) -> dict[int, int]:
     return {int(k): int(share[k] >= 0.5) for k in np.unique(g)}
 
 
-def lay_out(documents: list[tuple[str, str]], n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, str, str, list[int]]]:
-    """(text, title, url, label of each line that isn't blank): clean documents laid out as pages."""
+#: Short sentences, as a text may end with.
+_REMARKS = tuple(x for _, text in ARTICLES for x in text.split("\n") if x[-1] == "." and x[0] not in "-#" and len(x.split()) < 10)
+
+
+def _general(rng: random.Random) -> tuple[str, str]:
+    """One of ``ARTICLES``, its paragraphs apart, in lines, or joined."""
+    title, text = rng.choice(ARTICLES)
+    lines = text.split("\n")
+    if rng.random() < 0.3:
+        lines = [x for k in range(0, len(lines), 2) for x in ([" ".join(lines[k : k + 2])] if not any(re.match("[-#0-9]", y) for y in lines[k : k + 2]) else lines[k : k + 2])]
+    return title, rng.choice(("\n", "\n\n", "\n\n")).join(lines)
+
+
+def _shortened(body: str, rng: random.Random) -> str:
+    """A few paragraphs of a text, each cut to its first sentence or two; the last one is often a short one."""
+    paragraphs = [x for x in body.split("\n") if x.strip()]
+    at = rng.randrange(max(1, len(paragraphs) - 3))
+    out = []
+    for x in paragraphs[at : at + rng.randint(2, 7)]:
+        sentences = re.split(r"(?<=[.!?])\s+", x)
+        out.append(" ".join(sentences[: rng.randint(1, 2)]))
+    return rng.choice(("\n", "\n\n")).join(out)
+
+
+def _in_no_language(title: str, body: str, rng: random.Random) -> tuple[str, str]:
+    """A text with its letters exchanged, vowels for vowels: it looks like text and has no known word."""
+    letters = {}
+    for group in ("aeiouy", "bcdfghjklmnpqrstvwxz", "аеёиоуыэюя", "бвгджзклмнпрстфхцчшщ"):
+        mixed = rng.sample(group, len(group))
+        letters |= dict(zip(group, mixed)) | dict(zip(group.upper(), "".join(mixed).upper()))
+    table = str.maketrans(letters)
+    return title.translate(table), body.translate(table)
+
+
+def lay_out(documents: list[tuple[str, str]], n: int = TRAINING_PAGES, seed: int = 5, mixed: bool = True) -> list[tuple[str, str, str, list[int]]]:
+    """(text, title, url, label of each line that isn't blank): clean documents laid out as pages.
+
+    ``mixed`` adds the articles above, unknown words and short texts by the shares above.
+    """
     rng = random.Random(seed)
-    titles = [t for t, _ in documents if t] or ["Notes on the yard"]
+    titles = [t for t, _ in documents if t] or [t for t, _ in ARTICLES]
     out = []
     for _ in range(n):
-        title, body = rng.choice(documents)
+        title, body = _general(rng) if mixed and rng.random() < GENERAL else rng.choice(documents)
         title = title or rng.choice(titles)
-        lang = rng.choice(("en", "en", "en", "de", "es", "fr", rng.choice(list(MENU))))
+        if mixed and rng.random() < SHORT:
+            body = _shortened(body, rng)
+        if mixed and rng.random() < CLOSING_REMARK:
+            body = body.rstrip() + rng.choice(("\n", "\n\n")) + (short := rng.choice(_REMARKS)) + (f"\n\n{rng.choice(_REMARKS)}" if len(short) < 50 and rng.random() < 0.5 else "")
+        if mixed and rng.random() < UNKNOWN:
+            title, body = _in_no_language(title, body, rng)
+        lang = rng.choice(("en", "en", "en", "de", "es", "fr", *rng.choices(list(MENU), k=3)))
         site = rng.choice(titles).split()[0][:5].capitalize() + rng.choice(("press", "docs", "notes", "review", "hub", "wiki", "portal", "data", " Journal", "lab", "forum"))
         fill = {"site": site, "place": rng.choice(titles).split()[0].strip(":,").capitalize(), "y": rng.randint(1998, 2026)}
 
@@ -416,13 +509,6 @@ def lay_out(documents: list[tuple[str, str]], n: int = TRAINING_PAGES, seed: int
     return out
 
 
-#: What pages are laid out from where the table has no clean documents.
-_PLAIN = [
-    (f"Notes on item {k}", "\n\n".join([f"The {a} of the yard was measured {k} times before the {b} was opened, and the record names both.", f"Every {b} follows the {a} of the plan.", f"- First {a}\n- Second {b}"]))
-    for k, (a, b) in enumerate((a, b) for a in ("gate", "bridge", "archive", "ledger", "pump") for b in ("report", "survey", "table", "note"))
-]
-
-
 def trained(df: DataFrame) -> PageModel:
     """The model, trained on pages laid out from a bounded sample of documents that are no web pages or scans."""
     kind = F.lower(F.trim("source_type"))
@@ -432,7 +518,7 @@ def trained(df: DataFrame) -> PageModel:
     spot = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     rows = clean.where(spot < part).select("id", "title", "raw_text").collect()
     rows.sort(key=lambda r: (r.id or "", r.raw_text))
-    documents = [(r.title or "", r.raw_text.replace("\r", "")) for r in rows] or _PLAIN
+    documents = [(r.title or "", r.raw_text.replace("\r", "")) for r in rows] or list(ARTICLES)
     return PageModel([(Page(text, title, url), labels) for text, title, url, labels in lay_out(documents)])
 
 

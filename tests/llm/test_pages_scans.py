@@ -28,18 +28,20 @@ def articles(n, seed):
 
 
 def test_pages_held_out():
-    train, test = pages.lay_out(articles(60, 1), 500, 1), pages.lay_out(articles(40, 2), 120, 2)
+    train = pages.lay_out(articles(60, 1), 500, 1)
     model = pages.PageModel([(pages.Page(t, a, u), y) for t, a, u, y in train])
-    lost = kept = content = boiler = 0
-    for text, title, url, labels in test:
-        page = pages.Page(text, title, url)
-        assert len(page.at) == len(labels)
-        for p, y in zip(model.content(page), labels):
-            content += y
-            boiler += 1 - y
-            lost += y == 1 and p < 0.5
-            kept += y == 0 and p >= 0.5
-    assert lost / content < 0.02 and kept / boiler < 0.05
+    # Other articles laid out as pages, then also short texts and ones in words that no page of the training has.
+    for mixed, most_lost in ((False, 0.02), (True, 0.05)):
+        lost = kept = content = boiler = 0
+        for text, title, url, labels in pages.lay_out(articles(40, 2), 120, 2, mixed):
+            page = pages.Page(text, title, url)
+            assert len(page.at) == len(labels)
+            for p, y in zip(model.content(page), labels):
+                content += y
+                boiler += 1 - y
+                lost += y == 1 and p < 0.5
+                kept += y == 0 and p >= 0.5
+        assert lost / content < most_lost and kept / boiler < 0.05
 
 
 def test_marginals_are_exact():
@@ -166,3 +168,133 @@ def test_words_of_many_noise_marks(rows):
     got = {r.word: r.fix for r in scans.corrections(asked, vocab).collect()}
     assert got == {"o^b~s*erv^ti@n": "observation", "h^^rb~~ur": "harbour", "^~o~*rn": "modern"}
     assert scans.could_be("~~o~ern^", scans.looks("modern")) and not scans.could_be("q^^~~", scans.looks("harbour"))
+
+
+#: Pages written by hand, apart from what training pages are laid out from: title, address, text, lines around the main body.
+PAGES = [
+("Why cities plant trees","https://www.greenpaper.example/trees","""Greenpaper
+Home | News | Science | About | Sign in
+
+We use cookies to improve your browsing experience and to analyze our traffic. Learn more.
+Accept all | Manage preferences
+
+# Why cities plant trees
+
+Trees cool the air in summer because water evaporates from their leaves, and the shade keeps the asphalt from heating up.
+A single old oak can do more than ten young maples.
+
+Several mayors have promised a million trees. Few have counted how many died.
+
+Watering them is the hard part.
+
+Advertisement
+
+Related articles
+- The river that came back
+- A roof full of bees
+
+Privacy policy | Terms of use | Contact
+© 2024 Greenpaper. All rights reserved.""",{1,2,4,5,16,18,19,20,22,23}),
+("Ein Nachmittag im Moor","https://moorblatt.example/a","""Startseite | Aktuelles | Kontakt
+
+# Ein Nachmittag im Moor
+
+Das Moor liegt still.
+Wer hier geht, bleibt auf dem Steg.
+Unter den Brettern gluckst es.
+Im Juni blüht das Wollgras.
+Am Abend kommen die Kraniche.
+
+Newsletter abonnieren
+Impressum | Datenschutz""",{1,11,12}),
+("Утро на рынке","https://gazeta.example/1","""Главная | Новости | Контакты
+
+# Утро на рынке
+
+Торговцы приходят в пять часов.
+Они раскладывают яблоки и мёд.
+К восьми появляются первые покупатели.
+Торгуются громко и весело.
+К полудню всё пусто.
+
+Читайте также: Старый мост
+Политика конфиденциальности
+© 2023 Газета. Все права защищены.""",{1,11,12,13}),
+("Consent under the new rules","https://law.example/x","""Law Weekly
+Home / Topics / Consent under the new rules
+
+# Consent under the new rules
+
+Consent to cookies must be given freely.
+A banner that only offers Accept is not enough.
+Users must be able to reject cookies with one click.
+The regulator explained this in a short note.
+Sites that use tracking for advertising need consent first.
+Necessary cookies are exempt.
+The first fines are expected in spring.
+
+Share this article
+Privacy | Imprint""",{1,2,14,15}),
+("Die Post im Gebirge","https://alpenkurier.example/post","""Alpenkurier
+Startseite › Kultur › Die Post im Gebirge
+
+# Die Post im Gebirge
+
+Bis in die Sechzigerjahre brachte ein Bote die Briefe zu Fuß auf die Almen, und im Winter nahm er die Skier.
+Er ging zweimal in der Woche los, meistens noch vor Sonnenaufgang, und kam am späten Nachmittag zurück.
+
+Viele Höfe hatten damals weder Telefon noch Straße. Der Bote war oft der einzige Besuch.
+
+## Was er mitbrachte
+
+Neben den Briefen trug er Medikamente, Zeitungen und manchmal ein Huhn in seinem Rucksack den Berg hinauf.
+Das Huhn überlebte.
+
+Das könnte Sie auch interessieren
+* Käse aus Heumilch
+* Der letzte Köhler
+
+AGB | Impressum | Datenschutz
+© 2022 Alpenkurier GmbH""",{1,2,16,17,18,20,21}),
+("Реки под землёй","https://nauka.example/reki","""Главная » Наука » Реки под землёй
+
+# Реки под землёй
+
+Под многими городами текут реки, которые сто лет назад убрали в трубы, чтобы освободить место для улиц и домов.
+О них напоминают только названия переулков и сырые подвалы.
+
+В последние годы некоторые из них снова открывают, потому что открытая вода охлаждает воздух и задерживает ливни.
+Это стоит дорого.
+
+Популярное
+- Кто строил мосты
+- Зачем городу деревья
+
+Мы используем файлы cookie, чтобы анализировать посещаемость. Подробнее.
+Принять""",{1,11,12,13,15,16}),
+("Le retour des loups","https://lagazette.example/loups","""Accueil | Actualités | Contact
+# Le retour des loups
+
+Disparus depuis près d’un siècle, les loups sont revenus d’Italie par les crêtes et se sont installés dans les vallées.
+Les bergers s’en plaignent. Les naturalistes s’en réjouissent.
+
+Chaque hiver, des agents relèvent les traces dans la neige.
+On compte aujourd’hui une centaine de meutes.
+
+Publicité
+Abonnez-vous à notre newsletter
+Mentions légales | Plan du site""",{1,10,11,12}),
+]
+
+
+def test_pages_written_by_hand():
+    """Short running text of other subjects and languages is main body, also where it speaks of cookies or ends in a short line."""
+    train = pages.lay_out(articles(60, 1), 1_500, 1)
+    model = pages.PageModel([(pages.Page(t, a, u), y) for t, a, u, y in train])
+    lost = kept = total = 0
+    for title, url, text, around in PAGES:
+        page = pages.Page(text, title, url)
+        got = {i + 1 for i, p in zip(page.at, model.content(page)) if p < 0.5}
+        assert len(got - around) <= 2 and len(around - got) <= 2, (title, got - around, around - got)
+        lost, kept, total = lost + len(got - around), kept + len(around - got), total + len(page.at)
+    assert lost <= 0.06 * total and kept <= 0.06 * total
