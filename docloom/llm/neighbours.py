@@ -2,8 +2,8 @@
 
 A hierarchical k-means tree is fitted on a bounded sample and sent to the executors; all
 vectors are then placed in its leaves. A query descends the tree best bin first: a
-priority queue holds the nodes met so far by the similarity of their centre, the best one
-is opened, and leaves are visited until the best node left lies further below the best
+priority queue holds the nodes met so far by the least similarity of a centre on the way to
+them, the best one is opened, and leaves are visited until the best node left lies further below the best
 leaf than a margin. The margin is widened on the sample until the recall asked for is
 reached. Leaves are grouped into shards of a bounded number of rows, which are compared
 with their visitors by matrix products; a shard above its size is split into blocks. A
@@ -60,34 +60,31 @@ class Tree:
         return self.centre[np.flatnonzero(self.leaf >= 0)]
 
     def visits(self, q: np.ndarray) -> np.ndarray:
-        """(queries, leaves) of bool: the leaves that each unit vector visits, best bin first."""
-        n, n_leaves = len(q), int(self.leaf.max()) + 1
-        seen = np.zeros((n, n_leaves), bool)
-        if n_leaves == 1:
-            seen[:] = True
-            return seen
-        queue = np.full((n, len(self.children)), -np.inf, np.float32)
-        queue[:, 0] = 0
+        """(queries, leaves) of bool: the leaves that each unit vector visits, best bin first.
+
+        The queue holds nodes by the least score on the way to them, equal ones inner nodes
+        first and then leaves by their own score, and ends at the first that lies further
+        below the best leaf so far than the margin. Leaves thus leave it in the order of
+        the least score of their path, so the queues of all queries are worked through at
+        once: by sorting, beside the best leaf before each one.
+        """
+        n, at = len(q), np.flatnonzero(self.leaf >= 0)
+        if len(at) == 1:
+            return np.ones((n, 1), bool)
         score = q @ self.centre.T + self.lift
-        best = np.full(n, -np.inf, np.float32)
-        alive = np.arange(n)
-        while len(alive):
-            front = queue[alive]
-            top = front.argmax(1)
-            value = front[np.arange(len(alive)), top]
-            go = (value > -np.inf) & ((value >= best[alive] - self.margin) | (best[alive] == -np.inf))
-            alive, top = alive[go], top[go]
-            if not len(alive):
-                break
-            queue[alive, top] = -np.inf
-            at_leaf = self.leaf[top] >= 0
-            rows, ids = alive[at_leaf], top[at_leaf]
-            seen[rows, self.leaf[ids]] = True
-            best[rows] = np.maximum(best[rows], score[rows, ids])
-            for node in np.unique(top[~at_leaf]):
-                rows = alive[(top == node) & ~at_leaf]
-                kids = self.children[node]
-                queue[np.ix_(rows, kids)] = score[np.ix_(rows, kids)]
+        least = np.empty_like(score)
+        least[:, 0] = np.inf
+        for node, kids in enumerate(self.children):  # a node's children come after it
+            if kids:
+                least[:, kids] = np.minimum(score[:, kids], least[:, [node]])
+        least, score = least[:, at], score[:, at]
+        order = np.lexsort((-score, -least), axis=1)
+        best = np.maximum.accumulate(np.take_along_axis(score, order, 1), axis=1)
+        opened = np.ones((n, len(at)), bool)
+        opened[:, 1:] = np.take_along_axis(least, order, 1)[:, 1:] >= best[:, :-1] - self.margin
+        opened = np.logical_and.accumulate(opened, axis=1)
+        seen = np.zeros((n, len(at)), bool)
+        np.put_along_axis(seen, order, opened, 1)
         return seen
 
     def home(self, q: np.ndarray) -> np.ndarray:
@@ -239,6 +236,8 @@ _ROUTED = pa.schema(
 )
 _ROUTED_DDL = "model string, cell string, a1 long, a2 long, indexed boolean, home short, leaves binary, v binary"
 _PAIRS_DDL = "model string, a1 long, a2 long, b1 long, b2 long, similarity double"
+#: A neighbour as it is packed: (b1, b2, similarity).
+_PACKED = np.dtype([("b1", "<i8"), ("b2", "<i8"), ("s", "<f8")])
 
 
 def _route(trees: dict[str, Tree], whole: bool):
@@ -294,30 +293,22 @@ def _place(tree: Tree, model: str, a1: np.ndarray, a2: np.ndarray, x: np.ndarray
     )
 
 
-def _compare(k: int, floor: float | None):
-    """Within one cell: each query against the rows of the leaves it visits."""
+def _compare(k: int, floor: float):
+    """Within one cell, of a shard that is read whole: the pairs of at least ``floor``."""
 
     def cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(len(pdf), -1)
-        indexed = pdf["indexed"].to_numpy()
-        a = pdf[["a1", "a2"]].to_numpy()
-        if floor is None:
-            p, r = _nearest(x, np.flatnonzero(indexed), pdf["home"].to_numpy(), pdf["leaves"].to_numpy(), k)
-        else:
-            queries, rows = np.flatnonzero(pdf["leaves"].isna().to_numpy()), np.flatnonzero(indexed)
-            found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32))]
-            for i in range(0, len(queries), 2048):
-                for j in range(0, len(rows), 4096):
-                    q, y = queries[i : i + 2048], rows[j : j + 4096]
-                    found += _above(x[q] @ x[y].T, q, y, k, floor)
-            p, r, _ = (np.concatenate(c) for c in zip(*found))
+        rows, a = np.flatnonzero(pdf["indexed"].to_numpy()), pdf[["a1", "a2"]].to_numpy()
+        queries = np.flatnonzero(pdf["leaves"].isna().to_numpy())
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32))]
+        for i in range(0, len(queries), 2048):
+            for j in range(0, len(rows), 4096):
+                q, y = queries[i : i + 2048], rows[j : j + 4096]
+                found += _above(x[q] @ x[y].T, q, y, k, floor)
+        p, r, _ = (np.concatenate(c) for c in zip(*found))
         apart = (a[p] != a[r]).any(1)
         p, r = p[apart], r[apart]
-        # Single precision chose the pairs; their similarity is given in double.
-        exact = np.concatenate([np.einsum("ij,ij->i", x[p[i : i + 65536]].astype(np.float64), x[r[i : i + 65536]].astype(np.float64)) for i in range(0, len(p), 65536)] or [np.zeros(0)])
-        out = pd.DataFrame({"model": key[0], "a1": a[p, 0], "a2": a[p, 1], "b1": a[r, 0], "b2": a[r, 1], "similarity": exact})
-        if floor is None:
-            return out
+        out = pd.DataFrame({"model": key[0], "a1": a[p, 0], "a2": a[p, 1], "b1": a[r, 0], "b2": a[r, 1], "similarity": _exact(x, p, r)})
         out = out[out["similarity"] >= floor - 1e-7].drop_duplicates(["a1", "a2", "b1", "b2"])
         out = out.sort_values(["a1", "a2", "similarity"], ascending=[True, True, False])
         return out.groupby(["a1", "a2"], sort=False).head(k)
@@ -325,6 +316,51 @@ def _compare(k: int, floor: float | None):
     return cell
 
 
+def _exact(x: np.ndarray, p: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Similarities in double precision of pairs that single precision chose."""
+    return np.concatenate([np.einsum("ij,ij->i", x[p[i : i + 65536]].astype(np.float64), x[r[i : i + 65536]].astype(np.float64)) for i in range(0, len(p), 65536)] or [np.zeros(0)])
+
+
+_NEAR = pa.schema([("model", pa.string()), ("a1", pa.int64()), ("a2", pa.int64()), ("near", pa.binary())])
+_NEAR_DDL = "model string, a1 long, a2 long, near binary"
+
+
+def _compare_full(k: int):
+    """Within one cell: the k best rows of each query among the leaves it visits, packed in one value."""
+
+    def cell(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        column = lambda c: table.column(c).to_numpy()
+        a1, a2 = column("a1"), column("a2")
+        x = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float32).reshape(len(a1), -1)
+        p, r = _nearest(x, np.flatnonzero(column("indexed")), column("home"), np.array(table.column("leaves").to_pylist(), object), k)
+        packed = np.empty(len(p), _PACKED)
+        packed["b1"], packed["b2"], packed["s"] = a1[r], a2[r], _exact(x, p, r)
+        asked, starts = np.unique(p, return_index=True)  # in order
+        offsets = np.append(starts, len(p)).astype(np.int32) * _PACKED.itemsize
+        near = pa.Array.from_buffers(pa.binary(), len(asked), [None, pa.py_buffer(offsets), pa.py_buffer(packed.tobytes())])
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(asked), pa.string()), pa.array(a1[asked]), pa.array(a2[asked]), near], schema=_NEAR)
+
+    return cell
+
+
+def _merge(k: int):
+    """The k best of each query over all cells that it was in, a row each; ties go to the smaller hash."""
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("near").to_pylist()
+            size = np.array([len(x) // _PACKED.itemsize for x in lists], int)
+            packed, q = np.frombuffer(b"".join(lists), _PACKED), np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((packed["b2"], packed["b1"], -packed["s"], q))
+            order = order[np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size) < k]
+            q, packed = q[order], packed[order]
+            columns = [batch.column(c).take(pa.array(q)) for c in ("model", "a1", "a2")]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(packed[c]) for c in ("b1", "b2", "s"))], names=["model", "a1", "a2", "b1", "b2", "similarity"])
+
+    return merged
+
+
 def _nearest(x: np.ndarray, rows: np.ndarray, home: np.ndarray, leaves: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of the k best of each query among ``rows`` of the leaves it visits, itself left out.
 
@@ -418,11 +454,16 @@ def similar_vectors(df: DataFrame, k: int = 10, floor: float | None = None, reca
         .join(live.select("model", "a1", "a2").distinct(), ["model", "a1", "a2"], "left_semi")
     )
     routed = vectors.mapInArrow(_route(trees, floor is not None), _ROUTED_DDL)
-    near = routed.groupBy("model", "cell").applyInPandas(_compare(k, floor), _PAIRS_DDL)
-    best = Window.partitionBy("model", "a1", "a2").orderBy(F.desc("similarity"), "b1", "b2")
-    if floor is not None:  # with a floor a pair is found from both of its ends
-        near = near.dropDuplicates(["model", "a1", "a2", "b1", "b2"])
-    near = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    cells = routed.groupBy("model", "cell")
+    if floor is None:
+        near = cells.applyInArrow(_compare_full(k), _NEAR_DDL)
+        every = F.aggregate(F.collect_list("near"), F.lit(b""), lambda s, x: F.concat(s, x))
+        near = near.groupBy("model", "a1", "a2").agg(every.alias("near")).mapInArrow(_merge(k), _PAIRS_DDL)
+    else:
+        # A pair is found from both of its ends.
+        best = Window.partitionBy("model", "a1", "a2").orderBy(F.desc("similarity"), "b1", "b2")
+        near = cells.applyInPandas(_compare(k, floor), _PAIRS_DDL).dropDuplicates(["model", "a1", "a2", "b1", "b2"])
+        near = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
     others = leading.where(F.col("copy") <= k).select("model", F.col("a1").alias("b1"), F.col("a2").alias("b2"), F.col("chunk_id").alias("neighbour"))
     apart = live.join(near, ["model", "a1", "a2"]).join(others, ["model", "b1", "b2"]).select("model", "model_name", "chunk_id", "neighbour", "similarity")
     copies = live.join(leading.select("model", "a1", "a2", F.col("chunk_id").alias("neighbour")), ["model", "a1", "a2"])

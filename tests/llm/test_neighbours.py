@@ -130,3 +130,26 @@ def test_brute_force_takes_the_latest_vector(rows):
     extra = [("e0", "c00000", "m", 2, [0.0, 1.0], at(2), "x", 1)]
     got = nb.exact_neighbours(frame(rows, [[1.0, 0.0], [1.0, 0.1], [0.1, 1.0]], extra), 1, every=1).collect()
     assert {(r.chunk_id, r.neighbour) for r in got} == {("c00000", "c00002"), ("c00001", "c00002"), ("c00002", "c00000")}
+
+
+def test_visits_are_those_of_a_queue():
+    import heapq
+
+    rng = np.random.default_rng(9)
+    x = nb.unit(rng.normal(size=(1500, 10)))
+    tree = nb.fit(x, 60, 4)
+    for tree.margin in (0.05, 0.2, 0.5):
+        got = tree.visits(x[:120])
+        score = x[:120] @ tree.centre.T + tree.lift
+        for i in range(120):
+            queue, best, want = [(-np.inf, False, 0.0, 0)], -np.inf, set()
+            while queue:
+                value, is_leaf, _, node = heapq.heappop(queue)
+                if -value < best - tree.margin:
+                    break
+                if is_leaf:
+                    want.add(int(tree.leaf[node]))
+                    best = max(best, score[i, node])
+                for kid in tree.children[node]:
+                    heapq.heappush(queue, (-min(-value, score[i, kid]), bool(tree.leaf[kid] >= 0), -score[i, kid], kid))
+            assert set(np.flatnonzero(got[i])) == want
