@@ -117,31 +117,54 @@ def link_citations(answer: Column) -> Column:
 
 #: What mathematical characters are in LaTeX.
 LATEX = {
-    "∫": r"\int", "∑": r"\sum", "∏": r"\prod", "√": r"\sqrt", "∂": r"\partial", "∇": r"\nabla", "λ": r"\lambda", "μ": r"\mu",
-    "σ": r"\sigma", "π": r"\pi", "α": r"\alpha", "β": r"\beta", "γ": r"\gamma", "δ": r"\delta", "ε": r"\epsilon", "θ": r"\theta",
-    "±": r"\pm", "×": r"\times", "÷": r"\div", "≤": r"\leq", "≥": r"\geq", "≠": r"\neq", "∈": r"\in", "∞": r"\infty",
+    "α": r"\alpha", "β": r"\beta", "γ": r"\gamma", "δ": r"\delta", "ε": r"\epsilon", "ζ": r"\zeta", "η": r"\eta", "θ": r"\theta",
+    "ι": r"\iota", "κ": r"\kappa", "λ": r"\lambda", "μ": r"\mu", "ν": r"\nu", "ξ": r"\xi", "π": r"\pi", "ρ": r"\rho",
+    "σ": r"\sigma", "τ": r"\tau", "υ": r"\upsilon", "φ": r"\varphi", "ϕ": r"\phi", "χ": r"\chi", "ψ": r"\psi", "ω": r"\omega",
+    "Γ": r"\Gamma", "Δ": r"\Delta", "Θ": r"\Theta", "Λ": r"\Lambda", "Ξ": r"\Xi", "Π": r"\Pi", "Σ": r"\Sigma", "Υ": r"\Upsilon",
+    "Φ": r"\Phi", "Ψ": r"\Psi", "Ω": r"\Omega", "∑": r"\sum", "∏": r"\prod", "∫": r"\int", "∂": r"\partial", "∇": r"\nabla",
+    "∈": r"\in", "∉": r"\notin", "⊂": r"\subset", "⊃": r"\supset", "⊆": r"\subseteq", "⊇": r"\supseteq", "∪": r"\cup", "∩": r"\cap",
+    "∀": r"\forall", "∃": r"\exists", "∞": r"\infty", "≈": r"\approx", "≠": r"\neq", "≤": r"\leq", "≥": r"\geq", "→": r"\to",
+    "←": r"\leftarrow", "↔": r"\leftrightarrow", "⇒": r"\Rightarrow", "⇐": r"\Leftarrow", "⇔": r"\Leftrightarrow", "×": r"\times",
+    "·": r"\cdot", "±": r"\pm", "∓": r"\mp", "√": r"\sqrt", "∝": r"\propto", "⊗": r"\otimes", "⊕": r"\oplus", "ℝ": r"\mathbb{R}",
+    "ℤ": r"\mathbb{Z}", "ℕ": r"\mathbb{N}", "ℂ": r"\mathbb{C}", "ℙ": r"\mathbb{P}",
 }
+#: The characters that make a line mathematical, and those that may stand beside them in one expression.
+MATH = "".join(map(chr, range(0x3B1, 0x3CA))) + "".join(map(chr, range(0x391, 0x3AA))) + "ϕ∑∏∫∂∇∈∉⊂⊃⊆⊇∪∩∀∃∞≈≠≤≥⇒⇐⇔×±∓√∝⊗⊕ℝℤℕℂℙ∗"
+_BESIDE = r"a-zA-Z0-9_^∗*{}()\[\], =+\-/."
+_FORMULA = re.compile(r"\$[^$]+\$")
+_EXPRESSION = re.compile(rf"[({{]?[{_BESIDE}]*[{MATH}][{_BESIDE}{MATH}]*[)}}]?")
+_IN_LATEX = str.maketrans(LATEX | {"∗": "^*"})
+
+
+def _formula(m: re.Match[str]) -> str:
+    """An expression as a LaTeX formula, the blanks around it outside."""
+    said = m.group()
+    bare = said.strip()
+    lead = said[: len(said) - len(said.lstrip())]
+    return f"{lead}${bare.translate(_IN_LATEX).strip()}${said[len(lead) + len(bare) :]}" if bare else said
 
 
 def math_to_latex() -> Callable[[Column], Column]:
-    """A column function that writes mathematical characters in LaTeX, outside fenced code and display formulas."""
+    """A column function that writes expressions with mathematical characters in LaTeX.
+
+    Fenced code and lines that begin a display formula stay as they are, and so do lines
+    whose mathematics is in formulas already.
+    """
+    symbol = re.compile(f"[{MATH}]")
 
     @F.pandas_udf("string")
     def latex(texts: pd.Series) -> pd.Series:
-        symbol = re.compile("[" + "".join(LATEX) + "]")
-
         def one(text: str | None) -> str | None:
-            if text is None:
-                return None
+            if text is None or not symbol.search(text):
+                return text
             out, fenced = [], False
             for line in text.split("\n"):
-                fence = line.lstrip().startswith("```")
+                fence = line.strip().startswith("```")
                 fenced ^= fence
-                out.append(line if fence or fenced or line.lstrip().startswith("$$") else symbol.sub(lambda m: f"${LATEX[m.group()]}$", line))
+                plain = fence or fenced or line.strip().startswith("$$") or not symbol.search(_FORMULA.sub("", line))
+                out.append(line if plain else _EXPRESSION.sub(_formula, line))
             return "\n".join(out)
 
         return texts.map(one)
 
     return latex
-
-

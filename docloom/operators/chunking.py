@@ -181,3 +181,53 @@ def rechunked(chunks: DataFrame, docs: DataFrame, **options) -> DataFrame:
     new = chunk_documents(docs, **options).withColumn("created_at", F.lit(None).cast("timestamp"))
     kept = chunks.join(docs.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti")
     return kept.select(*new.columns).unionByName(new)
+
+
+def places(chunks: DataFrame, docs: DataFrame, tail: int = 60) -> DataFrame:
+    """(id, doc_id, place): where the last ``tail`` characters of each chunk (id, doc_id, text) are in its document's ``raw_text``, from 1; 0 where they aren't.
+
+    Chunks of no document, and null texts, have no row; an empty chunk is nowhere.
+    """
+    end = F.when(F.length("text") > 0, F.right(F.col("text"), F.lit(tail)))
+    rows = chunks.where("text IS NOT NULL").select("id", "doc_id", end.alias("__end"))
+    texts = docs.where("raw_text IS NOT NULL").select(F.col("id").alias("doc_id"), "raw_text")
+    return rows.join(texts, "doc_id").select("id", "doc_id", F.coalesce(F.expr("locate(__end, raw_text)"), F.lit(0)).alias("place"))
+
+
+def rules(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """What holds for the chunks that each of ``docs`` would be cut into, a row per document with a text.
+
+    (doc_id, strategy, header, headed, within_limit, placed, long_enough, distinct_ids,
+    has_chunks). ``header`` is the line that each chunk must begin with; the others say
+    whether all chunks do, keep to the limit (but for tables in Markdown), lie where their
+    offsets say, have enough words (Markdown), and have ids of their own. ``has_chunks`` is
+    told for plain text only, as short sections of Markdown are dropped.
+    """
+    told = F.col("summary").isNotNull() & (F.col("summary") != "") & (F.col("summary") != "No summary available.")
+    title = F.concat(F.coalesce("title", F.lit("")), F.when(told, F.concat(F.lit(" - "), F.col("summary"))).otherwise(""))
+    rows = docs.where("raw_text IS NOT NULL").select(F.col("id").alias("doc_id"), strategy_for(F.coalesce("source_type", F.lit(""))).alias("strategy"), F.when(F.length(title) > 0, F.concat(F.lit("[Source: "), title, F.lit("]"))).otherwise("").alias("header"), "raw_text")
+    chunks = chunk_documents(docs, limit=limit, overlap=overlap).groupBy("doc_id").agg(F.collect_list(F.struct("id", "text", "start_char", "end_char", "token_count", "metadata")).alias("chunks"))
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, strategy, header, text, chunks in pdf[["doc_id", "strategy", "header", "raw_text", "chunks"]].itertuples(index=False):
+                source = text.replace("\r\n", "\n") if strategy == "markdown" else text
+                ok = dict.fromkeys(("headed", "within_limit", "placed", "long_enough"), True)
+                chunks = list(chunks) if chunks is not None else []
+                for c in chunks:
+                    body = c["text"]
+                    ok["headed"] &= body.startswith(header + "\n") if header else True
+                    body = body[len(header) + 1 :] if header else body
+                    if strategy == "markdown":
+                        head = f"[Section: {dict(c['metadata'])['breadcrumbs']}]\n"
+                        ok["headed"] &= body.startswith(head)
+                        body = body[len(head) :]
+                        ok["long_enough"] &= len(body.split()) >= MIN_WORDS
+                    ok["within_limit"] &= approximate_tokens(body) <= limit or (strategy == "markdown" and _TABLE.search(body) is not None)
+                    found = source.find(body.split("\n")[0].strip()[:80] if strategy == "markdown" else body[:100])
+                    ok["placed"] &= c["end_char"] - c["start_char"] == len(body) if found >= 0 else c["end_char"] == 0
+                out.append((doc, strategy, header, *ok.values(), len({c["id"] for c in chunks}) == len(chunks), strategy == "recursive" and bool(chunks)))
+            yield pd.DataFrame(out, columns=["doc_id", "strategy", "header", "headed", "within_limit", "placed", "long_enough", "distinct_ids", "has_chunks"])
+
+    return rows.join(chunks, "doc_id", "left").mapInPandas(check, "doc_id string, strategy string, header string, headed boolean, within_limit boolean, placed boolean, long_enough boolean, distinct_ids boolean, has_chunks boolean")

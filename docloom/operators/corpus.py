@@ -37,7 +37,8 @@ def flag_duplicates(docs: DataFrame) -> DataFrame:
     is kept and the others flagged. Empty and null texts are no duplicates of each other.
     Only hashes are shuffled, and each key's first row is found with a partial minimum.
     """
-    h = docs.select("id", "project_id", "created_at", F.when(F.length(normalize_text("raw_text")) > 0, content_hash("raw_text")).alias("content_hash"))
+    # The hash of an empty text stands for none, so a text is normalised once.
+    h = docs.select("id", "project_id", "created_at", F.nullif(content_hash("raw_text"), F.sha2(F.lit(""), 256)).alias("content_hash"))
     first = h.where("content_hash IS NOT NULL").groupBy("project_id", "content_hash").agg(F.min_by("id", F.struct("created_at", "id")).alias("first_id"))
     h, first = h.alias("h"), first.alias("first")
     same = F.col("h.project_id").eqNullSafe(F.col("first.project_id")) & (F.col("h.content_hash") == F.col("first.content_hash"))
@@ -112,11 +113,46 @@ def find(docs: DataFrame, text: str, *columns: str) -> DataFrame:
     return docs.where(hit)
 
 
+class NotFound(LookupError):
+    """A row that was asked for by its id isn't there."""
+
+
+class Conflict(ValueError):
+    """A name that must be unique is taken."""
+
+
+def existing(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """(id, found): which of ``keys`` (id) are rows of ``df``."""
+    held = df.select("id").distinct().withColumn("__hit", F.lit(True))
+    return keys.select("id").distinct().join(held, "id", "left").select("id", F.coalesce("__hit", F.lit(False)).alias("found"))
+
+
+def require(df: DataFrame, key: str, name: str = "row") -> DataFrame:
+    """The row ``key`` of ``df``; :class:`NotFound` if there is none. A point lookup that stops at the first hit."""
+    rows = df.where(F.col("id") == key)
+    if rows.isEmpty():
+        raise NotFound(f"no {name} {key!r}")
+    return rows
+
+
+_HOST = r"[\w-]+(?:\.[\w-]+)+"
+
+
 def not_yet_known(new: DataFrame, known: DataFrame) -> DataFrame:
-    """New (title, source_url) whose title, or bare address, no known document has as its title or address."""
+    """New (title, source_url) whose title no ``known`` document has, and whose address without scheme and ``www.`` is no known one's and in no known title.
+
+    While a page is read its address is its title. Titles and addresses meet by the hosts
+    that they name, so no title is compared with all addresses; an address without a host is new.
+    """
     by_title = new.join(known.select("title").where("title IS NOT NULL").distinct(), "title", "left_anti")
+    labels = lambda c: F.split(F.regexp_extract(c, f"^({_HOST})", 1), r"\.")
+    # A title's host also stands for what is left when leading labels are taken off.
+    hosts = F.flatten(F.transform(F.regexp_extract_all("title", F.lit(f"({_HOST})"), F.lit(1)), lambda h: F.transform(F.sequence(F.lit(1), F.size(labels(h))), lambda i: F.array_join(F.slice(labels(h), i, 99), "."))))
+    titles = known.where("title IS NOT NULL").select(F.col("title").alias("__in"), F.explode(F.array_distinct(hosts)).alias("__host")).distinct()
+    asked = by_title.withColumn("__bare", bare_url(F.col("source_url"))).withColumn("__host", F.regexp_extract("__bare", f"^({_HOST})", 1))
     urls = known.select(bare_url(F.col("source_url")).alias("__bare")).where("__bare IS NOT NULL").distinct()
-    return by_title.withColumn("__bare", bare_url(F.col("source_url"))).join(urls, "__bare", "left_anti").drop("__bare")
+    a, t = asked.join(urls, "__bare", "left_anti").alias("a"), titles.alias("t")
+    return a.join(t, (F.col("a.__host") == F.col("t.__host")) & F.contains(F.col("t.__in"), F.col("a.__bare")), "left_anti").drop("__bare", "__host")
 
 
 def retitled(docs: DataFrame, parsed_title: str = "parsed_title") -> DataFrame:
@@ -137,8 +173,16 @@ def touched(df: DataFrame, keys: DataFrame, now: Column, column: str = "updated_
     return df.join(mark, "id", "left").withColumn(column, F.when(F.col("__hit"), now).otherwise(F.col(column))).select(*df.columns)
 
 
-def created(projects: DataFrame, new: DataFrame) -> DataFrame:
-    """``projects`` and those of ``new`` whose name is free; a name that is taken is a conflict and left out."""
+def conflicts(projects: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, name, conflict): which of ``new`` (id, name) have a name that is taken."""
+    taken = projects.select("name").distinct().withColumn("__hit", F.lit(True))
+    return new.select("id", "name").join(taken, "name", "left").select("id", "name", F.coalesce("__hit", F.lit(False)).alias("conflict"))
+
+
+def created(projects: DataFrame, new: DataFrame, strict: bool = False) -> DataFrame:
+    """``projects`` and those of ``new`` whose name is free; a taken name is left out, or a :class:`Conflict` if ``strict``."""
+    if strict and not (taken := conflicts(projects, new).where("conflict")).isEmpty():
+        raise Conflict(f"there is a project {taken.first().name!r}")
     free = new.join(projects.select("name"), "name", "left_anti").select(*projects.columns)
     return projects.unionByName(free)
 

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import cut_lineage
+from ..session import checkpoint_dir, cut_lineage
 
 #: Constants of the scoring function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+#: Chunks and queries of a cell.
+CHUNKS, QUERIES = 1_024, 2_048
+
+
 @dataclass(frozen=True)
 class Index:
-    """Postings (project_id, term, chunk_id, doc_id, start_char, tf, dl), terms (project_id, term, df, idf) and projects (project_id, n, avgdl, mean_idf)."""
+    """Postings (project_id, cell, term, chunk_id, doc_id, start_char, tf, dl), terms (project_id, term, df, idf, cells) and projects (project_id, n, avgdl, mean_idf).
+
+    A project's chunks are cut into cells of about ``CHUNKS``; ``cells`` are those that hold a term.
+    """
 
     postings: DataFrame
     terms: DataFrame
@@ -37,13 +45,15 @@ def build(chunks: DataFrame) -> Index:
     projects = sizes.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     of = ["project_id", "chunk_id", "doc_id", "start_char", "dl"]
     postings = sizes.select(*of, F.explode("words").alias("term")).groupBy(*of, "term").agg(F.count(F.lit(1)).alias("tf"))
+    cell = F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("n") / CHUNKS)).cast("int")
+    postings = postings.join(projects.select("project_id", "n"), "project_id").select("project_id", cell.alias("cell"), "term", "chunk_id", "doc_id", "start_char", "tf", "dl")
     # Everything below reads the postings; the texts are taken apart once.
     postings = cut_lineage(postings)
-    df = postings.groupBy("project_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    df = postings.groupBy("project_id", "term").agg(F.count(F.lit(1)).alias("df"), F.collect_set("cell").alias("cells"))
     n = F.col("n")
     raw = df.join(projects, "project_id").withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     means = raw.groupBy("project_id").agg(F.avg("raw").alias("mean_idf"))
-    terms = raw.join(means, "project_id").select("project_id", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    terms = raw.join(means, "project_id").select("project_id", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"), "cells")
     return Index(postings, terms, projects.join(means, "project_id", "left"))
 
 
@@ -53,21 +63,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "project_id", words.alias("term")).groupBy("query_id", "project_id", "term").agg(F.count(F.lit(1)).alias("qf"))
 
 
-#: Chunks and queries of a cell.
-CHUNKS, QUERIES = 1_024, 2_048
-
-
 def _weighed(index: Index, asked: DataFrame) -> DataFrame:
-    """(project_id, term, chunk_id, doc_id, start_char, part): what a word adds to a chunk's score, of the words asked for.
+    """(project_id, cell, term, chunk_id, doc_id, start_char, part): what a word adds to a chunk's score, of the words asked for.
 
     Postings are cut down to those words before anything else is joined.
     """
     wanted = asked.select("project_id", "term").distinct()
     found = index.postings.join(wanted, ["project_id", "term"], "left_semi")
-    weights = index.terms.join(wanted, ["project_id", "term"], "left_semi").join(index.projects.select("project_id", "avgdl"), "project_id")
+    weights = index.terms.drop("cells").join(wanted, ["project_id", "term"], "left_semi").join(index.projects.select("project_id", "avgdl"), "project_id")
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    return found.join(weights, ["project_id", "term"]).select("project_id", "term", "chunk_id", "doc_id", "start_char", part.alias("part"))
+    return found.join(weights, ["project_id", "term"]).select("project_id", "cell", "term", "chunk_id", "doc_id", "start_char", part.alias("part"))
 
 
 def scores(index: Index, queries: DataFrame) -> DataFrame:
@@ -87,47 +93,48 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
 _TOP = "query_id string, chunk_id string, doc_id string, start_char int, score double, matched long"
 
 
+#: Sums of a query and a chunk that are held at a time.
+_SUMS = 4_000_000
+
+
 def _best_of_cell(k: int, order: str):
     """The ``k`` best chunks of each query within a cell; ties go to the order of the corpus."""
+    columns = ["query_id", "chunk_id", "doc_id", "start_char", "score", "matched"]
 
     def best(asked: pd.DataFrame, postings: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or postings.empty:
-            return pd.DataFrame(columns=["query_id", "chunk_id", "doc_id", "start_char", "score", "matched"])
+            return pd.DataFrame(columns=columns)
+        about = postings.drop_duplicates("chunk_id")[["chunk_id", "doc_id", "start_char"]]
+        about = about.sort_values(["doc_id", "start_char", "chunk_id"] if order == "score" else ["chunk_id"], ignore_index=True)
+        # Chunks are numbered by the order that decides ties.
+        chunk = pd.Index(about["chunk_id"]).get_indexer(postings["chunk_id"])
         term, terms = pd.factorize(postings["term"])
-        chunk, ids = pd.factorize(postings["chunk_id"])
-        ids = np.asarray(ids, object)
-        about = postings.drop_duplicates("chunk_id").set_index("chunk_id").loc[ids, ["doc_id", "start_char"]].reset_index(drop=True).assign(chunk_id=ids)
-        place = np.empty(len(ids), int)
-        place[about.sort_values(["doc_id", "start_char", "chunk_id"]).index] = np.arange(len(ids))
         by_term = np.argsort(term, kind="stable")
         chunk, part = chunk[by_term], postings["part"].to_numpy()[by_term]
         ends = np.cumsum(np.bincount(term, minlength=len(terms)))
         starts = np.concatenate([[0], ends[:-1]])
-        asked = asked.assign(code=pd.Index(terms).get_indexer(asked["term"]))
-        asked = asked[asked["code"] >= 0].sort_values("query_id", kind="stable")
+        code = pd.Index(terms).get_indexer(asked["term"])
+        asked, code = asked[code >= 0], code[code >= 0]
         query, names = pd.factorize(asked["query_id"])
-        code, qf = asked["code"].to_numpy(), asked["qf"].to_numpy()
-        cuts = np.searchsorted(query, np.arange(len(names) + 1))
-        out = []
-        for i in range(len(names)):
-            mine = slice(cuts[i], cuts[i + 1])
-            at = [np.arange(starts[c], ends[c]) for c in code[mine]]
-            rows = np.concatenate(at)
-            weight = part[rows] * np.repeat(qf[mine], [len(a) for a in at])
-            score = np.bincount(chunk[rows], weight, len(ids))
-            matched = np.bincount(chunk[rows], minlength=len(ids))
-            hits = np.flatnonzero(matched)
-            value = matched[hits] if order == "matched" else np.round(score[hits], 6)
-            if len(hits) > k:
-                keep = value >= np.partition(value, len(value) - k)[len(value) - k]
-                hits, value = hits[keep], value[keep]
-            tie = place[hits] if order == "score" else np.argsort(np.argsort(ids[hits]))
-            hits = hits[np.lexsort((tie, -value))[:k]]
-            out.append((np.full(len(hits), i), hits, score[hits], matched[hits]))
-        if not out:
-            return pd.DataFrame(columns=["query_id", "chunk_id", "doc_id", "start_char", "score", "matched"])
-        q, c, s, m = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"query_id": names[q], "chunk_id": ids[c], "doc_id": about["doc_id"].to_numpy()[c], "start_char": about["start_char"].to_numpy()[c], "score": s, "matched": m})
+        qf, width, n_chunks = asked["qf"].to_numpy(), ends - starts, len(about)
+        out, step = [], max(1, _SUMS // n_chunks)
+        for first in range(0, len(names), step):
+            mine = (query >= first) & (query < first + step)
+            c, n = code[mine], min(step, len(names) - first)
+            size = width[c]
+            rows = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[c], size)
+            spot = np.repeat(query[mine] - first, size) * n_chunks + chunk[rows]
+            score = np.bincount(spot, part[rows] * np.repeat(qf[mine], size), n * n_chunks).reshape(n, -1)
+            matched = np.bincount(spot, minlength=n * n_chunks).reshape(n, -1)
+            value = np.where(matched > 0, matched if order == "matched" else np.round(score, 6), -np.inf)
+            least = np.partition(value, n_chunks - k, axis=1)[:, [n_chunks - k]] if n_chunks > k else -np.inf
+            q, at = np.nonzero((value >= least) & (matched > 0))
+            best_first = np.lexsort((at, -value[q, at], q))
+            q, at = q[best_first], at[best_first]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            q, at = q[place < k], at[place < k]
+            out.append(pd.DataFrame({"query_id": names[q + first], "chunk_id": about["chunk_id"].to_numpy()[at], "doc_id": about["doc_id"].to_numpy()[at], "start_char": about["start_char"].to_numpy()[at], "score": score[q, at], "matched": matched[q, at]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=columns)
 
     return best
 
@@ -142,17 +149,17 @@ def search(index: Index, queries: DataFrame, k: int = 10, order: str = "score")
 
     A project's chunks and queries are cut into cells of bounded size. All of a chunk's
     words lie in one cell, so its score is summed there and only ``k`` rows per query and
-    cell are shuffled, not one for every pair of a query and a chunk.
+    cell are shuffled, not one for every pair of a query and a chunk. A query's word is sent
+    to the cells that hold it only.
     """
     asked = query_terms(queries)
     n_queries = queries.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("qs"))
-    blocks = index.projects.select("project_id", F.ceil(F.col("n") / CHUNKS).cast("int").alias("rs")).join(n_queries, "project_id")
     spot = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(blocks, "project_id").withColumn("q", spot("query_id", "qs")).withColumn("r", every("rs")).select("project_id", "q", "r", "query_id", "term", "qf")
-    right = _weighed(index, asked).join(blocks, "project_id").withColumn("r", spot("chunk_id", "rs")).withColumn("q", every("qs"))
-    right = right.select("project_id", "q", "r", "term", "chunk_id", "doc_id", "start_char", "part")
-    cell = ["project_id", "q", "r"]
+    left = asked.join(index.terms.select("project_id", "term", "cells"), ["project_id", "term"]).join(n_queries, "project_id")
+    left = left.select("project_id", spot("query_id", "qs").alias("q"), F.explode("cells").alias("cell"), "query_id", "term", "qf")
+    right = _weighed(index, asked).join(n_queries, "project_id").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
+    right = right.select("project_id", "q", "cell", "term", "chunk_id", "doc_id", "start_char", "part")
+    cell = ["project_id", "q", "cell"]
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)
     top = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_best_of_cell(k, order), _TOP).withColumn("score", F.round("score", 6))
     by = [F.desc("score"), "doc_id", "start_char", "chunk_id"] if order == "score" else [F.desc("matched"), "chunk_id"]
@@ -162,16 +169,45 @@ def search(index: Index, queries: DataFrame, k: int = 10, order: str = "score")
     return top.where("score > 0").select("query_id", "chunk_id", "score", "normalized", "rank")
 
 
+#: What the tables of a written index are ordered by, so that a reader skips what it doesn't ask for.
+_SORTED = {"postings": ("project_id", "term"), "terms": ("project_id", "term"), "projects": ("project_id",)}
+
+
 def write_index(index: Index, folder: str, version: str) -> None:
-    """The index as tables of a version, partitioned by project; a new version leaves the old one readable."""
-    for name in ("postings", "terms", "projects"):
-        getattr(index, name).write.mode("overwrite").partitionBy("project_id").parquet(f"{folder}/{version}/{name}")
+    """The index as tables of a version, in the order of projects and terms; a new version leaves the old one readable."""
+    for name, keys in _SORTED.items():
+        getattr(index, name).repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
+
 
+def read_index(spark: SparkSession, folder: str, version: str) -> Index:
+    """An index that was written."""
+    return Index(*(spark.read.parquet(f"{folder}/{version}/{name}") for name in _SORTED))
 
-def read_index(spark, folder: str, version: str) -> Index:
-    """An index that was written; readers prune to the projects they ask for."""
-    read = lambda name: spark.read.option("basePath", f"{folder}/{version}/{name}").parquet(f"{folder}/{version}/{name}")
-    return Index(read("postings"), read("terms"), read("projects"))
+
+def version_of(spark: SparkSession, *tables: str) -> str:
+    """A name for what the tables at these paths hold now, by the number, size and time of their files."""
+    said = []
+    for name in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        held = fs.getContentSummary(path)
+        said.append(f"{name} {held.getFileCount()} {held.getLength()} {fs.getFileStatus(path).getModificationTime()}")
+    return hashlib.sha256("\n".join(said).encode()).hexdigest()[:16]
+
+
+def cached(chunks: DataFrame, version: str, folder: str | None = None) -> Index:
+    """The index of ``chunks`` as written under ``version``; built and written first if it isn't there.
+
+    A table that changed has another version, so an index of what it held before is never
+    read. The folder is by default one beside the checkpoints.
+    """
+    spark = chunks.sparkSession
+    folder = folder or f"{checkpoint_dir(spark)}/keyword-index"
+    jvm = spark.sparkContext._jvm
+    done = [jvm.org.apache.hadoop.fs.Path(f"{folder}/{version}/{name}/_SUCCESS") for name in _SORTED]
+    if not all(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) for p in done):
+        write_index(build(chunks), folder, version)
+    return read_index(spark, folder, version)
 
 
 def stale(current: DataFrame, indexed: DataFrame) -> DataFrame:

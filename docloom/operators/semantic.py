@@ -72,10 +72,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, query_vectors: s
 
 
 def merged(store: DataFrame, new: DataFrame) -> DataFrame:
-    """A vector store after an upsert: by chunk and model the new vector wins, else the old one stays."""
+    """A vector store after an upsert: by chunk and model the new vector wins, the latest of several, else the old one stays."""
     both = store.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
     rest = [c for c in store.columns if c not in ("chunk_id", "model_name")]
-    row = F.max_by(F.struct(*rest), F.struct("__new", "created_at"))
+    row = F.max_by(F.struct(*rest), F.struct("__new", "created_at", "id"))
     return both.groupBy("chunk_id", "model_name").agg(row.alias("v")).select("chunk_id", "model_name", "v.*").select(*store.columns)
 
 

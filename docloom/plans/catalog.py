@@ -45,12 +45,32 @@ def _stamp(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
 
-def _docs(spark: SparkSession, root: str) -> DataFrame:
-    return corpus.latest(table(spark, root, "project_documents"), "id", "updated_at")
+def _docs(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """The latest row of each document with ``columns``; only they are read and moved."""
+    return corpus.latest(table(spark, root, "project_documents", *dict.fromkeys(("id", "updated_at", *columns))), "id", "updated_at")
 
 
-def _chunks(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "chunks").dropDuplicates(["id"])
+#: What a search tells of a document.
+_ABOUT = ("title", "source_type", "source_url", "confidence_level")
+
+
+def _chunks(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """Each chunk once, with ``columns`` or all of them."""
+    return table(spark, root, "chunks", *(dict.fromkeys(("id", *columns)) if columns else ())).dropDuplicates(["id"])
+
+
+_INDEXED = ("project_id", "doc_id", "start_char", "text")
+
+
+def _index(spark: SparkSession, root: str) -> keyword.Index:
+    """The keyword index of all chunks, built once for each version of the table and read from disk then."""
+    return keyword.cached(_chunks(spark, root, *_INDEXED), keyword.version_of(spark, f"{root}/chunks.parquet"))
+
+
+def _live_index(spark: SparkSession, root: str) -> keyword.Index:
+    """The same of the chunks whose document exists."""
+    live = _chunks(spark, root, *_INDEXED).join(table(spark, root, "project_documents", "id").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return keyword.cached(live, keyword.version_of(spark, f"{root}/chunks.parquet", f"{root}/project_documents.parquet"))
 
 
 def _messages(spark: SparkSession, root: str) -> DataFrame:
@@ -99,14 +119,14 @@ _BM25 = f"""words AS (SELECT project_id, id AS chunk_id, regexp_extract_all(lowe
   SELECT query_id, chunk_id, score, round(score / CASE WHEN m > 0 THEN m ELSE 1.0 END, 6) AS normalized, rank
   FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM top) WHERE score > 0""")
 def keyword_topk(spark: SparkSession, root: str) -> DataFrame:
-    return keyword.search(keyword.build(_chunks(spark, root)), _questions(spark, root), K).withColumn("rank", F.col("rank").cast("long"))
+    return keyword.search(_index(spark, root), _questions(spark, root), K).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH {_QUESTIONS}, {_CHUNKS}, {_BM25}
   SELECT p.project_id, p.n AS chunks, round(p.avgdl, 6) AS avgdl, count(*) AS terms, round(m.mean_idf, 6) AS mean_idf, count(*) FILTER (WHERE r.raw < 0) AS common_terms
   FROM projs p JOIN means m ON m.project_id = p.project_id JOIN raws r ON r.project_id = p.project_id GROUP BY ALL""")
 def bm25_stats(spark: SparkSession, root: str) -> DataFrame:
-    index = keyword.build(_chunks(spark, root))
+    index = _index(spark, root)
     common = index.terms.join(index.projects.select("project_id", "n"), "project_id").where(2 * F.col("df") > F.col("n"))
     counts = index.terms.groupBy("project_id").agg(F.count(F.lit(1)).alias("terms"))
     rows = index.projects.join(counts, "project_id").join(common.groupBy("project_id").agg(F.count(F.lit(1)).alias("common_terms")), "project_id", "left")
@@ -125,14 +145,12 @@ def _vectors(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"""WITH {_VECTORS}, q AS (SELECT chunk_id || '/' || model_name AS query_id, * FROM vecs WHERE ('0x' || substr(chunk_id, 5, 8))::BIGINT % 20 = 0),
   s AS (SELECT q.query_id, x.chunk_id, round((1 + list_cosine_similarity(q.v, x.v)) / 2, 6) AS score FROM q JOIN vecs x ON x.project_id = q.project_id AND x.model_name = q.model_name)
-  SELECT query_id, count(*) AS results, round(max(score), 5) AS best, round(min(score), 5) AS worst FROM
-    (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= {K} GROUP BY query_id""")
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= {K}""")
 def semantic_topk(spark: SparkSession, root: str) -> DataFrame:
-    """The stated query set, every 20th chunk by its id, against all vectors of its project; told by its best and last score."""
+    """The stated query set, every 20th chunk by its id, against all vectors of its project."""
     vectors = _vectors(spark, root)
     asked = vectors.where(F.conv(F.substring("chunk_id", 5, 8), 16, 10).cast("long") % 20 == 0).withColumn("query_id", F.concat_ws("/", "chunk_id", "model_name"))
-    found = semantic.search(vectors, asked.drop("chunk_id"), K)
-    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.round(F.max("score"), 5).alias("best"), F.round(F.min("score"), 5).alias("worst"))
+    return semantic.search(vectors, asked.drop("chunk_id"), K).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {_QUESTIONS}, {_CHUNKS}, {_BM25},
@@ -142,29 +160,41 @@ def semantic_topk(spark: SparkSession, root: str) -> DataFrame:
   SELECT query_id, chunk_id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, r0 ASC NULLS LAST, r1 ASC NULLS LAST, chunk_id) AS rank FROM fused""")
 def rrf_fusion(spark: SparkSession, root: str) -> DataFrame:
     """BM25 fused with a list by the number of the question's words that match."""
-    index, asked = keyword.build(_chunks(spark, root)), _questions(spark, root)
+    index, asked = _index(spark, root), _questions(spark, root)
     return fusion.fuse(keyword.search(index, asked, K), keyword.search(index, asked, K, order="matched")).withColumn("rank", F.col("rank").cast("long"))
 
 
+#: The model whose stored vectors are searched, and what embeds questions in its place.
+MODEL = embedding.HashedWords(64, "local-mini-64")
+
+
+def _stored(spark: SparkSession, root: str) -> dict:
+    """The stored vectors of the model, of chunks whose document exists, and the embedder for questions."""
+    docs = table(spark, root, "project_documents", "id").select(F.col("id").alias("doc_id")).distinct()
+    places = _chunks(spark, root, "doc_id", "project_id").join(docs, "doc_id", "left_semi")
+    stored = table(spark, root, "chunk_embeddings").where(F.col("model_name") == MODEL.name)
+    return {"vectors": semantic.live_vectors(stored, places), "embedder": MODEL}
+
+
 @query()
 def hybrid_search(spark: SparkSession, root: str) -> DataFrame:
-    return searching.search(_questions(spark, root), _chunks(spark, root), _docs(spark, root), mode="hybrid")
+    return searching.search(_questions(spark, root), _chunks(spark, root), _docs(spark, root, *_ABOUT), mode="hybrid", index=_live_index(spark, root), **_stored(spark, root))
 
 
 @query()
 def keyword_search(spark: SparkSession, root: str) -> DataFrame:
-    return searching.search(_questions(spark, root), _chunks(spark, root), _docs(spark, root), mode="keyword")
+    return searching.search(_questions(spark, root), _chunks(spark, root), _docs(spark, root, *_ABOUT), mode="keyword", index=_live_index(spark, root))
 
 
 @query()
 def semantic_search(spark: SparkSession, root: str) -> DataFrame:
-    return searching.search(_questions(spark, root), _chunks(spark, root), _docs(spark, root), mode="semantic")
+    return searching.search(_questions(spark, root), _chunks(spark, root), _docs(spark, root, *_ABOUT), mode="semantic", **_stored(spark, root))
 
 
 @query()
 def context_windows(spark: SparkSession, root: str) -> DataFrame:
     asked = _questions(spark, root)
-    return answering.context_windows(asked, searching.search(asked, _chunks(spark, root), _docs(spark, root), mode="keyword", top_k=5))
+    return answering.context_windows(asked, searching.search(asked, _chunks(spark, root), _docs(spark, root, *_ABOUT), mode="keyword", index=_live_index(spark, root), top_k=5))
 
 
 _STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -179,8 +209,8 @@ _KEYS = lambda c: f"list_filter(list_filter(regexp_extract_all(lower({c}), {_W})
   scores AS (SELECT query_id, chunk_id, rank, round(1 / (1 + exp(3.0 - 6.0 * (CASE WHEN len(a) > 0 THEN h::DOUBLE / len(a) ELSE 0.0 END))), 6) AS rerank_score FROM hits)
   SELECT query_id, chunk_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, chunk_id) AS rank FROM scores""")
 def reranked(spark: SparkSession, root: str) -> DataFrame:
-    chunks, asked = _chunks(spark, root), _questions(spark, root)
-    found = keyword.search(keyword.build(chunks), asked, K)
+    chunks, asked = _chunks(spark, root, "text"), _questions(spark, root)
+    found = keyword.search(_index(spark, root), asked, K)
     pairs = found.join(asked.select("query_id", F.col("text").alias("query")), "query_id").join(chunks.select(F.col("id").alias("chunk_id"), "text"), "chunk_id")
     return rerank(pairs, lexical_logit).select("query_id", "chunk_id", "rerank_score", F.col("rank").cast("long").alias("rank"))
 
@@ -192,19 +222,19 @@ def reranked(spark: SparkSession, root: str) -> DataFrame:
   SELECT id, project_id, content_hash, coalesce(first_id <> id, false) AS is_duplicate, first_id FROM
     (SELECT *, CASE WHEN content_hash IS NOT NULL THEN first_value(id) OVER (PARTITION BY project_id, content_hash ORDER BY created_at, id) END AS first_id FROM h)""")
 def content_hash_dedup(spark: SparkSession, root: str) -> DataFrame:
-    return corpus.flag_duplicates(_docs(spark, root).select("id", "project_id", "created_at", "raw_text"))
+    return corpus.flag_duplicates(_docs(spark, root, "project_id", "created_at", "raw_text").select("id", "project_id", "created_at", "raw_text"))
 
 
 @query(f"""WITH {_DOCS} SELECT id, project_id, lower(trim(source_type)) AS source_type, title, coalesce(length(raw_text), 0) AS char_count, confidence_level,
     coalesce(processing_status, 'ready') AS processing_status, coalesce(processing_status, 'ready') = 'duplicate' AS is_duplicate, summary FROM docs""")
 def doc_summaries(spark: SparkSession, root: str) -> DataFrame:
-    return corpus.summaries(_docs(spark, root)).drop("created_at")
+    return corpus.summaries(_docs(spark, root, "project_id", "source_type", "title", "raw_text", "confidence_level", "processing_status", "summary", "created_at")).drop("created_at")
 
 
 @query(f"""WITH {_DOCS} SELECT id, title, raw_text, coalesce(metadata['page_count'], '') AS page_count, coalesce(metadata['repo_name'], '') AS repo_name, coalesce(cardinality(metadata), 0)::BIGINT AS metadata_keys,
     CASE WHEN lower(trim(source_type)) IN ('pdf', 'docx', 'pptx', 'markdown', 'text') THEN 3 WHEN lower(trim(source_type)) IN ('web', 'repository') THEN 2 END AS confidence FROM docs""")
 def doc_detail(spark: SparkSession, root: str) -> DataFrame:
-    docs = _docs(spark, root)
+    docs = _docs(spark, root, "title", "raw_text", "metadata", "source_type")
     key = lambda k: F.coalesce(F.try_element_at("metadata", F.lit(k)), F.lit("")).alias(k)
     return docs.select("id", "title", "raw_text", key("page_count"), key("repo_name"), F.coalesce(F.when(F.col("metadata").isNotNull(), F.size("metadata")), F.lit(0)).cast("long").alias("metadata_keys"), corpus.confidence(F.col("source_type")).alias("confidence"))
 
@@ -212,7 +242,7 @@ def doc_detail(spark: SparkSession, root: str) -> DataFrame:
 @query(f"""WITH {_DOCS} SELECT d.id, d.title, p.name AS project_name, strftime(d.created_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created_at
   FROM docs d JOIN projects p ON p.id = d.project_id""")
 def global_documents(spark: SparkSession, root: str) -> DataFrame:
-    joined = corpus.with_project(_docs(spark, root), table(spark, root, "projects", "id", "name"))
+    joined = corpus.with_project(_docs(spark, root, "title", "project_id", "created_at"), table(spark, root, "projects", "id", "name"))
     return joined.orderBy(F.desc("created_at"), "id").select("id", "title", "project_name", _stamp("created_at"))
 
 
@@ -230,7 +260,7 @@ def project_counts(spark: SparkSession, root: str) -> DataFrame:
     regexp_replace(source_url, '^(https?://)?(www\\.)?', '') AS bare_url, regexp_replace(regexp_extract(source_url, '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') AS host FROM e""")
 def document_labels(spark: SparkSession, root: str) -> DataFrame:
     c = F.col
-    return _docs(spark, root).select(
+    return _docs(spark, root, "source_type", "title", "source_url", "processing_status").select(
         "id",
         corpus.effective_type(c("source_type"), c("title"), c("source_url")).alias("effective_type"),
         corpus.status_label(c("processing_status")).alias("status_label"),
@@ -243,7 +273,7 @@ def document_labels(spark: SparkSession, root: str) -> DataFrame:
 @query(f"""WITH {_DOCS} SELECT d.id, d.title, p.name AS project_name FROM docs d JOIN projects p ON p.id = d.project_id
   WHERE coalesce(contains(lower(d.title), 'report'), false) OR coalesce(contains(lower(p.name), 'report'), false) OR coalesce(contains(lower(d.summary), 'report'), false)""")
 def discovery_search(spark: SparkSession, root: str) -> DataFrame:
-    joined = corpus.with_project(_docs(spark, root), table(spark, root, "projects", "id", "name"))
+    joined = corpus.with_project(_docs(spark, root, "title", "project_id", "summary"), table(spark, root, "projects", "id", "name"))
     return corpus.find(joined, "Report", "title", "project_name", "summary").select("id", "title", "project_name")
 
 
@@ -252,12 +282,12 @@ _RECENT = "SELECT id FROM docs ORDER BY created_at DESC, id LIMIT 3"
 
 @query(f"WITH {_DOCS} {_RECENT}")
 def recent3(spark: SparkSession, root: str) -> DataFrame:
-    return _docs(spark, root).orderBy(F.desc("created_at"), "id").limit(3).select("id")
+    return _docs(spark, root, "created_at").orderBy(F.desc("created_at"), "id").limit(3).select("id")
 
 
 @query(f"WITH {_DOCS} SELECT id, title FROM docs WHERE id NOT IN ({_RECENT})")
 def rest_antijoin(spark: SparkSession, root: str) -> DataFrame:
-    return _docs(spark, root).select("id", "title").join(recent3(spark, root), "id", "left_anti")
+    return _docs(spark, root, "title").select("id", "title").join(recent3(spark, root), "id", "left_anti")
 
 
 @query("SELECT id FROM projects ORDER BY updated_at DESC, id LIMIT 8")
@@ -267,14 +297,14 @@ def recent_projects(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"""WITH {_DOCS}, {_CHUNKS} SELECT DISTINCT e.id FROM chunk_embeddings e WHERE e.chunk_id IN (SELECT c.id FROM ch c WHERE c.doc_id IN (SELECT id FROM docs WHERE confidence_level = 3))""")
 def embeddings_of_docs(spark: SparkSession, root: str) -> DataFrame:
-    docs = _docs(spark, root).where("confidence_level = 3").select("id")
-    return embedding.of_documents(table(spark, root, "chunk_embeddings", "id", "chunk_id"), _chunks(spark, root), docs).select("id").distinct()
+    docs = _docs(spark, root, "confidence_level").where("confidence_level = 3").select("id")
+    return embedding.of_documents(table(spark, root, "chunk_embeddings", "id", "chunk_id"), _chunks(spark, root, "doc_id"), docs).select("id").distinct()
 
 
 @query(f"""WITH {_DOCS}, s AS (SELECT id, {_STRIP("replace(summary, chr(10), ' ')")} AS t FROM docs), n AS (SELECT id, {_NORM('raw_text')} AS t FROM docs)
   SELECT s.id, CASE WHEN length(s.t) > 200 THEN substr(s.t, 1, 197) || '...' ELSE s.t END AS summary, length(n.t) AS normal_chars FROM s JOIN n ON n.id = s.id""")
 def clean_summaries(spark: SparkSession, root: str) -> DataFrame:
-    return _docs(spark, root).select("id", text.clean_summary("summary").alias("summary"), F.length(text.normalize_text("raw_text")).cast("long").alias("normal_chars"))
+    return _docs(spark, root, "summary", "raw_text").select("id", text.clean_summary("summary").alias("summary"), F.length(text.normalize_text("raw_text")).cast("long").alias("normal_chars"))
 
 
 _CUTOFF = "CASE WHEN starts_with(text, '[Source:') AND strpos(text, ']' || chr(10)) > 0 THEN regexp_replace(substr(text, strpos(text, ']' || chr(10)) + 2), '^" + _SP + "+', '') WHEN starts_with(text, '[Source:') AND strpos(text, chr(10)) > 0 THEN regexp_replace(substr(text, strpos(text, chr(10)) + 1), '^" + _SP + "+', '') ELSE text END"
@@ -284,7 +314,7 @@ _CUTOFF = "CASE WHEN starts_with(text, '[Source:') AND strpos(text, ']' || chr(1
   p AS (SELECT *, CASE WHEN strpos(head, '.') > 0 THEN length(head) - strpos(reverse(head), '.') + 1 ELSE 0 END AS stop FROM h)
   SELECT id, CASE WHEN length(t) > 1500 THEN CASE WHEN stop - 1 > 750 THEN substr(head, 1, stop) ELSE head || '...' END ELSE t END AS text FROM p""")
 def strip_prefix_truncate(spark: SparkSession, root: str) -> DataFrame:
-    return _chunks(spark, root).select("id", text.truncate_to_sentence(text.strip(text.strip_context_prefix("text"))).alias("text"))
+    return _chunks(spark, root, "text").select("id", text.truncate_to_sentence(text.strip(text.strip_context_prefix("text"))).alias("text"))
 
 
 @query(f"""WITH {_CHUNKS}, w AS (SELECT id, doc_id, list_distinct(regexp_extract_all(lower(text), {_W})) AS ws, row_number() OVER (PARTITION BY doc_id ORDER BY start_char, id) AS n FROM ch),
@@ -295,7 +325,7 @@ def neighbour_overlap(spark: SparkSession, root: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("doc_id").orderBy("start_char", "id")
-    rows = _chunks(spark, root).select("id", "doc_id", "start_char", F.array_distinct(text.tokens("text")).alias("x"))
+    rows = _chunks(spark, root, "doc_id", "start_char", "text").select("id", "doc_id", "start_char", F.array_distinct(text.tokens("text")).alias("x"))
     rows = rows.withColumn("before", F.lag(F.struct("id", "x")).over(w)).where(F.col("before").isNotNull() & (F.size("x") > 0) & (F.size("before.x") > 0))
     return rows.select("id", F.col("before.id").alias("previous"), F.round(overlap(F.col("x"), F.col("before.x")), 6).alias("overlap"))
 
@@ -303,62 +333,63 @@ def neighbour_overlap(spark: SparkSession, root: str) -> DataFrame:
 @query(f"""WITH {_CHUNKS} SELECT c.id, c.doc_id, c.start_char, c.end_char, c.strategy, coalesce(c.metadata['breadcrumbs'], '') AS breadcrumbs FROM ch c JOIN (SELECT DISTINCT id FROM project_documents) d ON d.id = c.doc_id""")
 def chunk_listing(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "project_documents", "id").select(F.col("id").alias("doc_id"))
-    rows = _chunks(spark, root).join(docs, "doc_id", "left_semi")
+    rows = _chunks(spark, root, "doc_id", "start_char", "end_char", "strategy", "metadata").join(docs, "doc_id", "left_semi")
     return rows.orderBy("doc_id", "start_char", "id").select("id", "doc_id", "start_char", "end_char", "strategy", F.coalesce(F.try_element_at("metadata", F.lit("breadcrumbs")), F.lit("")).alias("breadcrumbs"))
 
 
 @query(f"""WITH {_CHUNKS} SELECT strategy, count(*) AS chunks, round(avg(token_count), 6) AS avg_tokens, count(*) FILTER (WHERE token_count > 500) AS oversized FROM ch GROUP BY strategy""")
 def chunk_quality(spark: SparkSession, root: str) -> DataFrame:
-    return _chunks(spark, root).groupBy("strategy").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("token_count"), 6).alias("avg_tokens"), F.count_if(F.col("token_count") > 500).alias("oversized"))
+    return _chunks(spark, root, "strategy", "token_count").groupBy("strategy").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("token_count"), 6).alias("avg_tokens"), F.count_if(F.col("token_count") > 500).alias("oversized"))
 
 
 @query(f"""WITH {_DOCS} SELECT processing_status, count(*) AS documents, count(*) FILTER (WHERE summary IS NULL OR summary = 'No summary available.') AS without_summary FROM docs GROUP BY processing_status""")
 def status_counts(spark: SparkSession, root: str) -> DataFrame:
     bare = F.col("summary").isNull() | (F.col("summary") == "No summary available.")
-    return _docs(spark, root).groupBy("processing_status").agg(F.count(F.lit(1)).alias("documents"), F.count_if(bare).alias("without_summary"))
+    return _docs(spark, root, "processing_status", "summary").groupBy("processing_status").agg(F.count(F.lit(1)).alias("documents"), F.count_if(bare).alias("without_summary"))
 
 
 @query()
 def chunk_documents(spark: SparkSession, root: str) -> DataFrame:
     """All documents chunked anew, Markdown by headings and plain text by size."""
-    return chunking.chunk_documents(_docs(spark, root)).select("id", "doc_id", "text", "start_char", "end_char", "token_count", "strategy", F.to_json("metadata").alias("metadata"))
+    return chunking.chunk_documents(_docs(spark, root, "project_id", "source_type", "title", "summary", "raw_text")).select("id", "doc_id", "text", "start_char", "end_char", "token_count", "strategy", F.to_json("metadata").alias("metadata"))
 
 
 @query(f"""WITH {_CHUNKS}, held AS (SELECT chunk_id, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC, id DESC) AS r FROM chunk_embeddings WHERE model_name = 'local-mini-64') WHERE r = 1)
   SELECT c.id AS chunk_id, sha256(c.text) AS content_hash, coalesce(h.content_hash = sha256(c.text), false) AS is_cached FROM ch c LEFT JOIN held h ON h.chunk_id = c.id WHERE c.text IS NOT NULL""")
 def embed_plan(spark: SparkSession, root: str) -> DataFrame:
     """Which chunks have a vector for their present text, and which must be embedded."""
-    return embedding.plan(_chunks(spark, root), table(spark, root, "chunk_embeddings"), "local-mini-64")
+    return embedding.plan(_chunks(spark, root, "text"), table(spark, root, "chunk_embeddings"), "local-mini-64")
 
 
-@query()
+@query(f"""WITH {_CHUNKS} SELECT substr(sha256(id || '/hashed-words-384'), 1, 12) AS id, id AS chunk_id, 'hashed-words-384' AS model_name, 384 AS dimension, sha256(text) AS content_hash, 384 AS size,
+    CASE WHEN regexp_matches(text, {_W}) THEN 1.0 ELSE 0.0 END AS length, false AS is_cached FROM ch WHERE text IS NOT NULL""")
 def embed_incremental(spark: SparkSession, root: str) -> DataFrame:
-    rows = embedding.embed_changed(_chunks(spark, root), table(spark, root, "chunk_embeddings"), embedding.provider("hashed-words-384"), _now())
-    return rows.select("chunk_id", "model_name", "dimension", "content_hash", F.size("vector").alias("size"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 3).alias("length"), "is_cached")
+    rows = embedding.embed_changed(_chunks(spark, root, "text"), table(spark, root, "chunk_embeddings"), embedding.provider("hashed-words-384"), _now())
+    length = F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 3)
+    return rows.select("id", "chunk_id", "model_name", "dimension", "content_hash", F.size("vector").alias("size"), length.alias("length"), "is_cached")
 
 
 @query(f"""WITH {_DOCS}, {_CHUNKS}, gone AS (SELECT id FROM projects WHERE last_indexed_at IS NULL), m AS ({_MSGS.split('AS (', 1)[1].rsplit(')', 1)[0]})
-  SELECT 'projects' AS name, count(*) AS left_rows FROM projects WHERE id NOT IN (SELECT id FROM gone)
-  UNION ALL SELECT 'project_documents', count(*) FROM docs WHERE project_id NOT IN (SELECT id FROM gone)
-  UNION ALL SELECT 'chunks', count(*) FROM ch WHERE project_id NOT IN (SELECT id FROM gone) AND doc_id NOT IN (SELECT id FROM docs WHERE project_id IN (SELECT id FROM gone))
-  UNION ALL SELECT 'sessions', count(*) FROM sessions WHERE project_id NOT IN (SELECT id FROM gone)
-  UNION ALL SELECT 'session_messages', count(*) FROM m WHERE session_id NOT IN (SELECT id FROM sessions WHERE project_id IN (SELECT id FROM gone))""")
+  SELECT 'projects' AS name, id FROM projects WHERE id NOT IN (SELECT id FROM gone)
+  UNION ALL SELECT 'project_documents', id FROM docs WHERE project_id NOT IN (SELECT id FROM gone)
+  UNION ALL SELECT 'chunks', id FROM ch WHERE project_id NOT IN (SELECT id FROM gone) AND doc_id NOT IN (SELECT id FROM docs WHERE project_id IN (SELECT id FROM gone))
+  UNION ALL SELECT 'sessions', id FROM sessions WHERE project_id NOT IN (SELECT id FROM gone)
+  UNION ALL SELECT 'session_messages', id FROM m WHERE session_id NOT IN (SELECT id FROM sessions WHERE project_id IN (SELECT id FROM gone))""")
 def cascade_delete(spark: SparkSession, root: str) -> DataFrame:
-    """What stays of each table when the projects that were never indexed are deleted with all that hangs on them."""
+    """The ids that stay of each table when the projects that were never indexed are deleted with all that hangs on them."""
     from functools import reduce
 
-    tables = {"projects": table(spark, root, "projects"), "project_documents": _docs(spark, root), "chunks": _chunks(spark, root), "sessions": table(spark, root, "sessions"), "session_messages": _messages(spark, root)}
+    messages = table(spark, root, "session_messages", "id", "session_id").dropDuplicates(["id"])
+    tables = {"projects": table(spark, root, "projects"), "project_documents": _docs(spark, root, "project_id"), "chunks": _chunks(spark, root, "doc_id", "project_id"), "sessions": table(spark, root, "sessions"), "session_messages": messages}
     left = corpus.delete(tables, "projects", tables["projects"].where("last_indexed_at IS NULL").select("id"))
-    counts = [df.agg(F.count(F.lit(1)).alias("left_rows")).select(F.lit(name).alias("name"), "left_rows") for name, df in left.items()]
-    return reduce(lambda a, b: a.unionByName(b), counts)
+    return reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(name).alias("name"), "id") for name, df in left.items()])
 
 
-@query(f"""WITH ranked AS (SELECT id, chunk_id, model_name, row_number() OVER (PARTITION BY chunk_id, model_name ORDER BY created_at DESC, id DESC) AS r FROM chunk_embeddings)
-  SELECT model_name, count(*) AS vectors FROM ranked WHERE r = 1 GROUP BY model_name""")
+@query("""SELECT chunk_id, model_name, id FROM (SELECT id, chunk_id, model_name, row_number() OVER (PARTITION BY chunk_id, model_name ORDER BY created_at DESC, id DESC) AS r FROM chunk_embeddings) WHERE r = 1""")
 def vector_upsert(spark: SparkSession, root: str) -> DataFrame:
-    """The vector store after all rows were upserted one after the other: one vector per chunk and model."""
-    rows = table(spark, root, "chunk_embeddings")
-    return semantic.merged(rows.limit(0), rows).groupBy("model_name").agg(F.count(F.lit(1)).alias("vectors"))
+    """The vector store after all rows were upserted one after the other: which row is left of each chunk and model."""
+    rows = table(spark, root, "chunk_embeddings", "id", "chunk_id", "model_name", "created_at")
+    return semantic.merged(rows.limit(0), rows).select("chunk_id", "model_name", "id")
 
 
 # Sessions
@@ -439,7 +470,7 @@ def citations_by_document(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def chat_replay(spark: SparkSession, root: str) -> DataFrame:
     """Every question of every session answered again from its project's chunks."""
-    rows = chat.replay(_messages(spark, root), table(spark, root, "sessions"), _chunks(spark, root), _docs(spark, root))
+    rows = chat.replay(_messages(spark, root), table(spark, root, "sessions"), _chunks(spark, root), _docs(spark, root, *_ABOUT), index=_live_index(spark, root))
     return rows.select("query_id", "session_id", "turn", F.size("prompt").alias("prompt_messages"), "answer", F.array_join("used", ",").alias("used"), "sufficient", F.size("citations").alias("citations"))
 
 
@@ -462,7 +493,7 @@ _SERIES = f"""{_DOCS}, {_MSGS}, grid AS (SELECT strftime(d, '%Y-%m-%d') AS date
 
 @query(f"WITH {_SERIES} SELECT * FROM series")
 def activity_timeline(spark: SparkSession, root: str) -> DataFrame:
-    return activity.timeline(_docs(spark, root).select("id", "created_at"), _messages(spark, root), _now())
+    return activity.timeline(_docs(spark, root, "created_at").select("id", "created_at"), _messages(spark, root), _now())
 
 
 @query(f"WITH {_SERIES} SELECT date, documents, sum(documents) OVER (ORDER BY date)::BIGINT AS total FROM series")
@@ -478,13 +509,13 @@ def activity_last14(spark: SparkSession, root: str) -> DataFrame:
 @query(f"""WITH {_DOCS}, c AS (SELECT lower(trim(source_type)) AS source_type, count(*) AS documents FROM docs WHERE {_AT} >= {_NOW} - INTERVAL 30 DAY GROUP BY 1)
   SELECT source_type, documents, round(documents::DOUBLE / sum(documents) OVER (), 6) AS share FROM c""")
 def source_type_counts(spark: SparkSession, root: str) -> DataFrame:
-    return activity.type_counts(_docs(spark, root), _now())
+    return activity.type_counts(_docs(spark, root, "source_type", "created_at"), _now())
 
 
 @query(f"""WITH {_DOCS}, c AS (SELECT project_id, count(*) AS documents FROM docs WHERE {_AT} >= {_NOW} - INTERVAL 30 DAY GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)
   SELECT c.project_id, coalesce(p.name, 'Unknown') AS name, documents FROM c LEFT JOIN projects p ON p.id = c.project_id""")
 def top5_projects(spark: SparkSession, root: str) -> DataFrame:
-    return activity.top_projects(_docs(spark, root), table(spark, root, "projects"), _now())
+    return activity.top_projects(_docs(spark, root, "project_id", "created_at"), table(spark, root, "projects"), _now())
 
 
 # General patterns on the larger tables
@@ -529,5 +560,8 @@ def page_density(spark: SparkSession, root: str) -> DataFrame:
     """Words per page of paged documents, by which slides are told from text."""
     pages = F.try_element_at("metadata", F.lit("page_count")).try_cast("int")
     words = F.size(F.filter(F.split(F.coalesce("raw_text", F.lit("")), r"\s+"), lambda w: w != ""))
-    rows = _docs(spark, root).where(pages.isNotNull()).select(corpus.source_type("source_type").alias("source_type"), (words / pages.cast("double")).alias("density"))
+    rows = _docs(spark, root, "metadata", "raw_text", "source_type").where(pages.isNotNull()).select(corpus.source_type("source_type").alias("source_type"), (words / pages.cast("double")).alias("density"))
     return rows.groupBy("source_type").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("density"), 6).alias("words_per_page"), F.count_if(F.col("density") < 120).alias("slides"))
+
+
+from . import catalog_search, catalog_texts  # noqa: E402, F401  (they register more queries)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import title_from
@@ -38,6 +38,42 @@ def replay(messages: DataFrame, sessions_: DataFrame, chunks: DataFrame, docs: D
     return out.select("query_id", "session_id", "turn", "prompt", "answer", "used", "sufficient", cites.alias("citations"))
 
 
+def stored(messages: DataFrame, answered: DataFrame, now: Column) -> DataFrame:
+    """``messages`` with two rows more for each turn of ``answered`` (query_id, session_id, message, answer, citations): the question and its answer.
+
+    Ids are hashes of the turn and the role, so a turn stored again gives the same ids and
+    adds nothing; the answer is later than the question.
+    """
+    name = lambda role: F.substring(F.sha2(F.concat("query_id", F.lit(f"/{role}")), 256), 1, 12).alias("id")
+    none = F.lit(None).cast(dict(messages.dtypes)["citations"]).alias("citations")
+    asked = answered.select(name("user"), "session_id", F.lit("user").alias("role"), F.col("message").alias("content"), none, now.alias("created_at"))
+    said = answered.select(name("assistant"), "session_id", F.lit("assistant").alias("role"), F.col("answer").alias("content"), F.col("citations").cast(dict(messages.dtypes)["citations"]).alias("citations"), (now + F.expr("INTERVAL 1 MILLISECOND")).alias("created_at"))
+    new = asked.unionByName(said).dropDuplicates(["id"]).join(messages.select("id"), "id", "left_anti")
+    return messages.select(*new.columns).unionByName(new)
+
+
+def new_session(sessions_: DataFrame, key: str, project: str, now: Column, title: str = "New chat") -> DataFrame:
+    """``sessions_`` with one more; an id that is there already stays as it is."""
+    one = sessions_.sparkSession.range(1).select(F.lit(key).alias("id"), F.lit(project).alias("project_id"), F.lit(title).alias("title"), now.alias("created_at"), now.alias("updated_at"))
+    return sessions_.unionByName(one.join(sessions_.select("id"), "id", "left_anti").select(*sessions_.columns))
+
+
+def one_shot(questions: DataFrame, chunks: DataFrame, docs: DataFrame, provider: answering.Provider | None = None, own_knowledge: bool = False, **options) -> DataFrame:
+    """(query_id, answer, used, sufficient, citations): ``questions`` (query_id, project_id, text) answered without a conversation.
+
+    A question without results gets the fixed answer, no citations, and isn't sufficient; a
+    provider's error becomes the answer's text.
+    """
+    results = searching.search(questions, chunks, docs, **({"mode": "keyword"} | options))
+    blocks = answering.source_blocks(questions, results)
+    counts = results.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_sources"), F.sort_array(F.collect_list(F.struct("result_no", "chunk_id", "doc_id", "score"))).alias("results"))
+    rows = questions.join(blocks, "query_id").join(counts, "query_id", "left").fillna(0, ["n_sources"])
+    ask = answering.raw_answers(provider or answering.FirstSource(), answering.system_prompt("oneshot", own_knowledge))
+    out = answering.grounded(rows.withColumn("answer", ask(F.concat("sources", F.lit("\n\nQuestion: "), "text"))))
+    cites = F.filter(F.transform("used", lambda n: F.get("results", n - 1)), lambda r: r.isNotNull())
+    return out.select("query_id", "answer", "used", "sufficient", cites.alias("citations"))
+
+
 def titles(messages: DataFrame, sessions_: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
     """(session_id, title): a session's title from its first user message, or the one ``proposed`` (session_id, answer)."""
     first = sessions.ordered(messages).where("role = 'user'").groupBy("session_id").agg(F.min_by("content", "turn").alias("message"))

@@ -7,7 +7,6 @@ import shutil
 import tempfile
 from functools import lru_cache
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,24 +35,23 @@ def _own_folder() -> str:
     return folder
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder named by ``spark.checkpoint.dir``, set for the context; None where a cluster names none.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``, set for the context.
 
     The setting is read from the session, so on a cluster all executors write to the
-    folder its owner chose. Only a session on one machine gets a folder of its own.
+    folder its owner chose; where a cluster names none that is an error, as nothing on one
+    machine outlives its executor. Only a local session gets a folder of its own.
     """
     local = spark.sparkContext.master.split("[")[0] == "local"
     folder = spark.conf.get("spark.checkpoint.dir", None) or (_own_folder() if local else None)
-    if folder and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    if not folder:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` computed once, for plans that read it several times.
-
-    Written to the shared checkpoint folder, so it outlives lost executors. Where a cluster
-    names no folder the rows are kept as a cached table instead, which is computed again
-    for partitions that get lost.
-    """
-    return df.checkpoint() if checkpoint_dir(df.sparkSession) else df.persist(StorageLevel.DISK_ONLY)
+    """``df`` computed once, for plans that read it several times: written to the shared checkpoint folder, so it outlives lost executors."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -240,14 +240,34 @@ def parse_pptx(content: bytes) -> Record:
 SLIDE_WORDS = 120
 
 
+#: Tabs and blanks of a page above which it is taken to hold a table.
+_TABS, _GAPS = 4, 15
+
+
 def pdf_complexity(pages: list[str], images: int) -> str:
     """How a PDF is read: as slides, as text only, or with its tables and figures."""
     if pages and sum(len(p.split()) for p in pages) / len(pages) < SLIDE_WORDS:
         return "slide_mode"
-    hints = any(p.count("\t") > 4 or p.count("   ") > 15 for p in pages)
+    hints = any(p.count("\t") > _TABS or p.count("   ") > _GAPS for p in pages)
     return "full_pipeline" if images or hints else "text_only"
 
 
+_COLUMNS = re.compile(r"\t+| {3,}")
+
+
+def page_tables(page: str) -> list[list[list[str]]]:
+    """The tables of a page's text: two lines or more, one under another, of as many cells set apart by tabs or three blanks."""
+    out, rows = [], []
+    for line in [*page.split("\n"), ""]:
+        cells = [c.strip() for c in _COLUMNS.split(line.strip())]
+        if len(cells) > 1 and (not rows or len(cells) == len(rows[0])):
+            rows.append(cells)
+            continue
+        out += [rows] if len(rows) > 1 else []
+        rows = [cells] if len(cells) > 1 else []
+    return out
+
+
 def pdf_record(pages: list[str], images: int = 0, tables: list[tuple[int, list[list[str]]]] | None = None, sizes: list[tuple[int, int, int]] | None = None) -> Record:
     """A PDF's pages put together; ``tables`` are (page, rows), ``sizes`` (page, width, height) of its images."""
     kind, tables = pdf_complexity(pages, images), [t for t in tables or [] if len(t[1]) > 1]
@@ -268,7 +288,8 @@ def parse_pdf(content: bytes) -> Record:
         raise ImportError("reading PDF files needs the optional package pypdf") from e
     pages = list(PdfReader(io.BytesIO(content)).pages)
     sizes = [(n, *i.image.size) for n, p in enumerate(pages, 1) for i in p.images]
-    return pdf_record([p.extract_text() or "" for p in pages], len(sizes), [], sizes)
+    texts = [p.extract_text(extraction_mode="layout") or "" for p in pages]
+    return pdf_record(texts, len(sizes), [(n, rows) for n, t in enumerate(texts, 1) for rows in page_tables(t)], sizes)
 
 
 PARSERS: dict[str, Callable[[bytes], Record]] = {
@@ -286,27 +307,28 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """``files`` (path, content) as documents: (path, source_type, error, parsed columns).
+    """``files`` (path, content) as documents: (path, source_type, error, parsed columns), and ``modificationTime`` if they have it.
 
     A file of an unknown type or one that can't be read gives a row with its error.
     """
-    rows = files.select("path", detect_source_type(F.col("path")).alias("source_type"), "content")
+    kept = [c for c in ("modificationTime",) if c in files.columns]
+    rows = files.select("path", detect_source_type(F.col("path")).alias("source_type"), "content", *kept)
     columns = [c.split(" ")[0] for c in re.split(r", (?=\w+ )", PARSED)]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for path, kind, content in pdf.itertuples(index=False):
+            for path, kind, content, *more in pdf.itertuples(index=False):
                 try:
                     if kind is None:
                         raise ValueError("unsupported file type")
                     got, error = PARSERS[kind](bytes(content)), None
                 except Exception as e:
                     got, error = dict.fromkeys(columns), f"{type(e).__name__}: {e}"
-                out.append((path, kind, error, *(got[c] for c in columns)))
-            yield pd.DataFrame(out, columns=["path", "source_type", "error", *columns])
+                out.append((path, kind, *more, error, *(got[c] for c in columns)))
+            yield pd.DataFrame(out, columns=["path", "source_type", *kept, "error", *columns])
 
-    return rows.mapInPandas(parse, f"path string, source_type string, error string, {PARSED}")
+    return rows.mapInPandas(parse, f"path string, source_type string, {''.join(f'{c} timestamp, ' for c in kept)}error string, {PARSED}")
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:

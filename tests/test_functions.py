@@ -96,7 +96,9 @@ def test_refusal(spark):
 
 
 def test_latex(spark):
-    assert values(spark, ["x ≤ 2\n```\n≤\n```", None], answers.math_to_latex()(F.col("x"))) == ["x $\\leq$ 2\n```\n≤\n```", None]
+    assert values(spark, ["x ≤ 2\n```\n≤\n```", None], answers.math_to_latex()(F.col("x"))) == ["$x \\leq 2$\n```\n≤\n```", None]
+    said = ["Since f(α) → ∞, the sum ∑ x_i diverges.", "given $α$ only", "$$ β", "plain", "λ∗ and π"]
+    assert values(spark, said, answers.math_to_latex()(F.col("x"))) == ["$Since f(\\alpha)$ → $\\infty, the sum \\sum x_i diverges.$", "given $α$ only", "$$ β", "plain", "$\\lambda^* and \\pi$"]
 
 
 @pytest.mark.parametrize("limit", [1500])

@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from docloom import session
 
 
@@ -17,8 +19,9 @@ class Other:
 def test_checkpoint_folder_is_the_session_s(spark):
     assert session.checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert session.checkpoint_dir(Other(spark, "spark://x", "file:///shared")) == "file:///shared"
-    assert session.checkpoint_dir(Other(spark, "spark://x", None)) is None
-    assert session.checkpoint_dir(Other(spark, "local-cluster[2,1,1024]", None)) is None
+    for master in ("spark://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            session.checkpoint_dir(Other(spark, master, None))
     own = session.checkpoint_dir(Other(spark, "local[2]", None))
     assert os.path.isdir(own) and own == session.checkpoint_dir(Other(spark, "local", None))
 

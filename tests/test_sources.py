@@ -204,3 +204,59 @@ def test_summaries(spark, rows):
             raise RuntimeError("down")
 
     assert answering.summarize(docs, Down()).orderBy("id").first().summary == "No summary available."
+
+
+def test_files_are_ingested_end_to_end(spark, tmp_path):
+    root, land, check = (tmp_path / x for x in ("w", "land", "check"))
+    store.init(spark, str(root))
+    import datetime as dt
+
+    at = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    empty = store.empty(spark, "projects")
+    spark.createDataFrame([("p", "P", None, at, at, None), ("q", "Q", None, at, at, None)], empty.schema).write.mode("append").parquet(f"{root}/projects.parquet")
+    words = "The harbour crane was moved to the second quay before the winter and stayed there for a year. "
+    for path, content in {"p/a.md": b"# Head\n\n" + words.encode(), "p/b.txt": words.encode(), "p/copy.txt": words.encode(), "p/x.bin": b"?", "p/broken.docx": b"no zip", "q/b.txt": words.encode()}.items():
+        (land / path).parent.mkdir(parents=True, exist_ok=True)
+        (land / path).write_bytes(content)
+        time.sleep(0.01)
+    run = lambda: ingest.start(ingest.landing_files(spark, str(land)), str(root), str(check), read=ingest.documents_of_files)
+    query = run()
+    query.awaitTermination()
+    assert ingest.progress(query) == {"active": False, "batch": 0, "rows": 6, "error": None}
+    docs = {(r.project_id, r.title): r for r in store.read(spark, str(root), "project_documents").collect()}
+    status = {k: r.processing_status for k, r in docs.items()}
+    assert status.pop(("p", "b.txt")) != status.pop(("p", "copy.txt")) and status == {("p", "a.md"): "ready", ("p", "x.bin"): "failed", ("p", "broken.docx"): "failed", ("q", "b.txt"): "ready"}
+    lost = {r.title: r.error for r in spark.read.parquet(f"{root}/quarantine.parquet").collect()}
+    assert set(lost) == {"x.bin", "broken.docx"} and "unsupported" in lost["x.bin"]
+    assert store.read(spark, str(root), "projects").where("last_indexed_at IS NULL").count() == 0
+    from docloom.operators import keyword
+
+    version = keyword.version_of(spark, f"{root}/chunks.parquet")
+    assert version == keyword.version_of(spark, f"{root}/chunks.parquet")
+    # A copy of a known text and a new one: only the hashes of what is known are read.
+    (land / "p/again.txt").write_bytes(words.encode())
+    (land / "q/new.md").write_bytes(b"# Other\n\n" + words.upper().encode())
+    run().awaitTermination()
+    docs = {(r.project_id, r.title): r.processing_status for r in store.read(spark, str(root), "project_documents").collect()}
+    assert docs["p", "again.txt"] == "duplicate" and docs["q", "new.md"] == "ready" and len(docs) == 8
+    assert version != keyword.version_of(spark, f"{root}/chunks.parquet")
+    plan = ingest.process(spark.read.parquet(f"{root}/project_documents.parquet"), store.read(spark, str(root), "project_documents"), ingest.embedding.HashedWords(), F.lit(None))["project_documents"]
+    scans = [x for x in plan._jdf.queryExecution().executedPlan().toString().split("\n") if "ReadSchema" in x and "processing_status" in x and "raw_text" not in x]
+    assert scans
+
+
+def test_pages_become_documents(spark, rows):
+    import datetime as dt
+
+    at = dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc)
+    pages = rows([("p", "https://a.example/x", HTML, at), ("p", "https://a.example/none", None, at)], "project_id string, url string, html string, fetched_at timestamp")
+    got = {r.source_url: r for r in ingest.documents_of_pages(pages).collect()}
+    page = got["https://a.example/x"]
+    assert page.title == "A page" and page.source_type == "web" and page.confidence_level == 2 and page.error is None and "One" in page.raw_text
+    assert got["https://a.example/none"].title == "https://a.example/none" and got["https://a.example/none"].error
+
+
+def test_tables_of_a_page():
+    page = "Intro line\nName\tYear\nCrane\t1902\nQuay   1910\n\nalone\there\nText again"
+    assert parsers.page_tables(page) == [[["Name", "Year"], ["Crane", "1902"], ["Quay", "1910"]]]
+    assert parsers.page_tables("") == []
