@@ -49,8 +49,8 @@ class Plan:
 
     @property
     def trees(self) -> int:
-        """So many that a pair at the threshold meets in one of them, even if large nodes branch once."""
-        meet = self.threshold**self.first * (1 - (1 - self.threshold) ** BRANCHES)
+        """So many that a pair at the threshold meets in one of them, even if all nodes are large down to the last depth."""
+        meet = self.threshold**self.first * (1 - (1 - self.threshold) ** BRANCHES) ** (self.last - self.first)
         return max(4, math.ceil(math.log(1 - self.recall) / math.log(1 - meet)))
 
     @property
@@ -156,25 +156,29 @@ _PAIRS_DDL = "a1 long, a2 long, b1 long, b2 long"
 
 
 def _meet(plan: Plan):
-    """Pairs within the nodes of a partition that is sorted by node."""
+    """Pairs within the nodes of a partition that is sorted by node; where rows have a side, pairs of both sides."""
     schema = pa.schema([(c, pa.int64()) for c in ("a1", "a2", "b1", "b2")])
     popcount = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint8)
 
-    def close(t: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        a, b = np.triu_indices(len(t), 1)
+    def close(t: np.ndarray, bits: np.ndarray, side: np.ndarray) -> np.ndarray:
+        if side[0]:
+            one, other = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+            a, b = np.repeat(one, len(other)), np.tile(other, len(one))
+        else:
+            a, b = np.triu_indices(len(t), 1)
         far = popcount[bits[a] ^ bits[b]].sum(1)
         hit = (SKETCH_BITS - far >= plan.least) & (t[a] != t[b]).any(1)
         return np.concatenate([t[a[hit]], t[b[hit]]], 1)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        rest: tuple[np.ndarray, ...] | None = None
         empty = np.zeros((0, 4), np.int64)
 
-        def pairs(node: np.ndarray, t: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+        def pairs(node: np.ndarray, t: np.ndarray, bits: np.ndarray, side: np.ndarray) -> list[np.ndarray]:
             edge = np.flatnonzero(np.diff(node)) + 1
             starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(node)]])
             some = ends - starts > 1
-            return [close(t[i:j], bits[i:j]) for i, j in zip(starts[some], ends[some])]
+            return [close(t[i:j], bits[i:j], side[i:j]) for i, j in zip(starts[some], ends[some])]
 
         def told(found: list[np.ndarray]) -> pa.RecordBatch:
             p = np.unique(np.concatenate([empty, *found]), axis=0)
@@ -188,24 +192,31 @@ def _meet(plan: Plan):
             node = batch.column("node").to_numpy()
             t = np.stack([batch.column("t1").to_numpy(), batch.column("t2").to_numpy()], 1)
             bits = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+            side = batch.column("side").to_numpy()
             if rest is not None:
-                node, t, bits = (np.concatenate(x) for x in zip(rest, (node, t, bits)))
+                node, t, bits, side = (np.concatenate(x) for x in zip(rest, (node, t, bits, side)))
             last = int(np.searchsorted(node, node[-1]))
-            rest = (node[last:], t[last:], bits[last:])
+            rest = (node[last:], t[last:], bits[last:], side[last:])
             if last:
-                yield told(pairs(node[:last], t[:last], bits[:last]))
+                yield told(pairs(node[:last], t[:last], bits[:last], side[:last]))
         if rest is not None:
             yield told(pairs(*rest))
 
     return met
 
 
+def _alone(level: DataFrame) -> DataFrame:
+    """Nodes whose rows all meet."""
+    return level.select("node", "t1", "t2", "sketch", F.lit(0).cast("byte").alias("side"))
+
+
 def _blocks(big: DataFrame, sizes: DataFrame) -> DataFrame:
     """Nodes that are large at the last depth: pairs of blocks as nodes of their own.
 
     A node of n rows is cut into b = ceil(n / NODE) blocks, and every row goes to the b
     pairs of blocks that its own takes part in, so each pair of rows still meets and no
-    task holds more than two blocks.
+    task holds more than two blocks. Rows of two blocks stand on two sides and meet across
+    only; rows of one block meet once, in the pair of the block with itself.
     """
     b = F.ceil(F.col("n") / NODE).cast("int")
     own = F.pmod(F.xxhash64("t1", "t2"), b).cast("int")
@@ -214,7 +225,8 @@ def _blocks(big: DataFrame, sizes: DataFrame) -> DataFrame:
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), b - 1)))
         .withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
-        .select("node", "t1", "t2", "sketch")
+        .withColumn("side", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("byte"))
+        .select("node", "t1", "t2", "sketch", "side")
     )
 
 
@@ -236,10 +248,10 @@ def candidate_pairs(texts: DataFrame, plan: Plan) -> DataFrame:
         sizes = cut_lineage(sizes)
         n_large = sizes.count()
         if not n_large:
-            small.append(level.select("node", "t1", "t2", "sketch"))
+            small.append(_alone(level))
             break
         large = F.broadcast(sizes) if n_large <= BROADCAST_ROWS else sizes
-        small.append(level.join(large, "node", "left_anti").select("node", "t1", "t2", "sketch"))
+        small.append(_alone(level.join(large, "node", "left_anti")))
         big = level.join(large.select("node"), "node", "left_semi")
         if depth == plan.last:
             small.append(_blocks(big, large))

@@ -46,6 +46,12 @@ def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def p2_rules(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold for the pieces of every oversized chunk: limit, overlap, order, and that nothing of it is left out."""
+    chunks = table(spark, root, "chunks", "id", "text").dropDuplicates(["id"])
+    return splitting.rules(splitting.split_oversized(chunks), chunks).withColumnRenamed("id", "chunk_id")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "project_documents", "id", "raw_text", "updated_at")
     return neardup.id_pairs(*neardup.near_duplicates(docs, newest="updated_at", width=3, threshold=0.6, recall=0.997))
@@ -56,6 +62,13 @@ def p3_groups(spark: SparkSession, root: str) -> DataFrame:
     return neardup.groups(*neardup.near_duplicates(docs, newest="updated_at", width=3, threshold=0.6, recall=0.997)).withColumnRenamed("key", "id")
 
 
+def p3_classes(spark: SparkSession, root: str) -> DataFrame:
+    """(id, first_id, size): the smallest id of each document's group, and how many documents it has."""
+    groups = p3_groups(spark, root)
+    told = groups.groupBy("group").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("size"))
+    return groups.join(told, "group").select("id", "first_id", "size")
+
+
 def _documents(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "project_documents", "id", "title", "raw_text", "metadata")
 
@@ -88,6 +101,16 @@ def p6_report(spark: SparkSession, root: str) -> DataFrame:
     return packing.packing_report(_packed(spark, root))
 
 
+def p6_rules(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, whole, fits, divided_rightly): each text is packed as a whole, into containers that hold it, and divided only above the capacity."""
+    sizes = cut_lineage(tokens.with_tokens(table(spark, root, "documents", "doc_id", "text")))
+    packed = cut_lineage(packing.pack(sizes))
+    filled = packed.groupBy("container").agg((F.sum("tokens") <= packing.CAPACITY).alias("fits"))
+    by_text = packed.join(filled, "container").groupBy("doc_id").agg(F.sum("tokens").alias("placed"), F.count(F.lit(1)).alias("parts"), F.bool_and("fits").alias("fits"))
+    rows = sizes.where("tokens > 0").join(by_text, "doc_id", "left")
+    return rows.select("doc_id", (F.col("placed") == F.col("tokens")).alias("whole"), "fits", (F.col("parts") == F.ceil(F.col("tokens") / packing.CAPACITY)).alias("divided_rightly"))
+
+
 def _sized(spark: SparkSession, root: str) -> DataFrame:
     return cut_lineage(tokens.with_tokens(table(spark, root, "documents", "doc_id", "source", "text")))
 
@@ -101,6 +124,16 @@ def p7_report(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mixture_report(mixing.mix(sizes, targets), sizes, targets)
 
 
+def p7_rules(spark: SparkSession, root: str) -> DataFrame:
+    """(source, reached, within_repeats): each source adds the size wanted of it, to one of its texts, and none is used too often."""
+    sizes = _sized(spark, root)
+    longest = sizes.groupBy(mixing.source_name("source").alias("source")).agg(F.max("tokens").alias("longest"))
+    targets = table(spark, root, "mix_targets")
+    rows = mixing.mixture_report(mixing.mix(sizes, targets), sizes, targets).join(longest, "source", "left")
+    reached = F.abs(F.col("actual_tokens") - F.col("wanted_tokens")) <= F.coalesce("longest", F.lit(0))
+    return rows.select("source", reached.alias("reached"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return encoding.find_garbled(table(spark, root, "documents", "doc_id", "text"))
 
@@ -114,7 +147,15 @@ def p8_transformations(spark: SparkSession, root: str) -> DataFrame:
     return encoding.transformation_report(table(spark, root, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_main_text, p5_found, p5_repaired, p6_containers, p6_report, p7_mixture, p7_report, p8_found, p8_restored, p8_transformations)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_pieces, p2_rules, p3_found, p3_groups, p3_classes, p4_found, p4_main_text, p5_found, p5_repaired, p6_containers, p6_report, p6_rules, p7_mixture, p7_report, p7_rules, p8_found, p8_restored, p8_transformations)}
+
+_P3 = r"""WITH docs AS (SELECT id, arg_max(raw_text, updated_at) AS t FROM project_documents GROUP BY id),
+        words AS (SELECT id, regexp_extract_all(lower(t), '[\p{L}\p{N}_]+') AS w FROM docs),
+        spots AS (SELECT id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM words WHERE len(w) >= 3),
+        triples AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM spots),
+        sizes AS (SELECT id, count(*) AS n FROM triples GROUP BY id),
+        shared AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM triples a JOIN triples b ON b.x = a.x AND b.id > a.id GROUP BY a.id, b.id),
+        pairs AS (SELECT id_a, id_b FROM shared s JOIN sizes a ON a.id = id_a JOIN sizes b ON b.id = id_b WHERE s.n::DOUBLE / (a.n + b.n - s.n) >= 0.6)"""
 
 SQL: dict[str, str] = {
     "p1_found": """
@@ -128,12 +169,15 @@ SQL: dict[str, str] = {
     "p2_found": r"""
         SELECT DISTINCT id AS chunk_id FROM chunks
         WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]{1,6}')) > 500""",
-    "p3_found": r"""
-        WITH docs AS (SELECT id, arg_max(raw_text, updated_at) AS t FROM project_documents GROUP BY id),
-        words AS (SELECT id, regexp_extract_all(lower(t), '[\p{L}\p{N}_]+') AS w FROM docs),
-        spots AS (SELECT id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM words WHERE len(w) >= 3),
-        triples AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM spots),
-        sizes AS (SELECT id, count(*) AS n FROM triples GROUP BY id),
-        shared AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM triples a JOIN triples b ON b.x = a.x AND b.id > a.id GROUP BY a.id, b.id)
-        SELECT id_a, id_b FROM shared s JOIN sizes a ON a.id = id_a JOIN sizes b ON b.id = id_b WHERE s.n::DOUBLE / (a.n + b.n - s.n) >= 0.6""",
+    "p2_rules": r"""
+        SELECT DISTINCT id AS chunk_id, true AS within_limit, true AS overlapping, true AS in_order, true AS whole FROM chunks
+        WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]{1,6}')) > 500""",
+    "p3_found": f"{_P3} SELECT id_a, id_b FROM pairs",
+    "p3_classes": f"""{_P3.replace('WITH docs', 'WITH RECURSIVE docs', 1)},
+        sides AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+        reach AS (SELECT id, id AS r FROM docs WHERE t IS NOT NULL UNION SELECT reach.id, sides.b FROM reach JOIN sides ON sides.a = reach.r),
+        alike AS (SELECT a.id, b.id AS r FROM docs a JOIN docs b ON b.t = a.t UNION SELECT id, r FROM reach)
+        SELECT id, min(r) AS first_id, count(*) AS size FROM alike GROUP BY id""",
+    "p6_rules": "SELECT doc_id, true AS whole, true AS fits, true AS divided_rightly FROM documents WHERE length(text) > 0",
+    "p7_rules": "SELECT DISTINCT replace(lower(trim(source)), '_', '-') AS source, true AS reached, true AS within_repeats FROM mix_targets WHERE source IS NOT NULL AND target_share > 0",
 }

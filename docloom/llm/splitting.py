@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The token of problem 2; fixed by its statement.
@@ -130,3 +130,21 @@ def place_in_documents(pieces: DataFrame, chunks: DataFrame, documents: DataFram
         .withColumn("end_char", F.when(F.col("end") > F.col("lead"), F.col("end") + shift).cast("int"))
         .drop("at", "lead")
     )
+
+
+def rules(pieces: DataFrame, texts: DataFrame, text: str = "text", overlap: int = OVERLAP, limit: int = LIMIT) -> DataFrame:
+    """(id, within_limit, overlapping, in_order, whole): what holds for the ``pieces`` of each of ``texts`` (id, text) that was cut.
+
+    Whether no piece passes the limit, each shares ``overlap`` tokens with the one before and
+    ends behind it, and the pieces together have every token of the text.
+    """
+    one = Window.partitionBy("id").orderBy("piece_no")
+    rows = pieces.join(texts.select("id", F.col(text).alias("__text")), "id").withColumn("__end", F.lag("end").over(one)).withColumn("__start", F.lag("start").over(one))
+    shared = F.regexp_count(F.substring(F.col("__text"), F.col("start") + 1, F.greatest(F.col("__end") - F.col("start"), F.lit(0))), F.lit(TOKEN))
+    later = F.col("__end").isNull()
+    return rows.groupBy("id").agg(
+        F.bool_and(F.col("tokens") <= limit).alias("within_limit"),
+        F.bool_and(later | (shared == overlap)).alias("overlapping"),
+        F.bool_and(later | ((F.col("start") > F.col("__start")) & (F.col("end") > F.col("__end")))).alias("in_order"),
+        (F.sum("tokens") - overlap * (F.count(F.lit(1)) - 1) == F.regexp_count(F.first("__text"), F.lit(TOKEN))).alias("whole"),
+    )
