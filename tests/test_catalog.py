@@ -52,3 +52,26 @@ def test_plans_are_what_they_should_be(spark):
     assert "WindowGroupLimit" in plan and "LeftSemi" in plan and "raw_text" not in plan
     plan = catalog.QUERIES["embeddings_of_docs"](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
     assert "vector" not in plan and "LeftSemi" in plan
+
+
+@pytest.mark.parametrize("name", ["recent3", "rest_antijoin", "activity_timeline", "source_type_counts", "top5_projects", "status_counts", "document_labels", "cascade_delete", "global_documents", "discovery_search", "filtered_counts", "status_steps", "not_yet_known", "embeddings_of_docs"])
+def test_texts_are_read_only_where_they_are_used(spark, name):
+    """No scan of these reads a text, and none moves one."""
+    plan = catalog.QUERIES[name](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("\n") if "ReadSchema" in x]
+    assert scans and "raw_text" not in plan
+
+
+def test_index_is_built_once_per_version(spark, tmp_path):
+    from docloom.operators import keyword
+
+    chunks = spark.createDataFrame([("c1", "p", "d", 0, "apple pie")], "id string, project_id string, doc_id string, start_char int, text string")
+    folder, path = str(tmp_path / "index"), str(tmp_path / "chunks.parquet")
+    chunks.write.parquet(path)
+    version = keyword.version_of(spark, path)
+    first = keyword.cached(spark.read.parquet(path), version, folder)
+    # Another table under the same version is not looked at.
+    again = keyword.cached(chunks.limit(0), version, folder)
+    assert again.postings.count() == first.postings.count() == 2
+    chunks.write.mode("append").parquet(path)
+    assert keyword.version_of(spark, path) != version
