@@ -8,9 +8,11 @@ the start of the piece after it and chunks are stripped.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -31,6 +33,30 @@ def approximate_tokens(text: str) -> int:
     return sum(1 for _ in _PIECE.finditer(text))
 
 
+@lru_cache(maxsize=2)
+def _encoder(ranks: bytes, pattern: str):
+    import tiktoken
+
+    pairs = (line.split() for line in ranks.splitlines())
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
+
+
+class VocabularyCounter:
+    """A counter by a byte-pair vocabulary in a rank file, read once here and sent along with the tasks.
+
+    ``pattern`` splits the text before pairs are merged, as the vocabulary's publisher gives
+    it. Needs the optional package tiktoken.
+    """
+
+    def __init__(self, path: str, pattern: str = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+") -> None:
+        with open(path, "rb") as f:
+            self.ranks = f.read()
+        self.pattern = pattern
+
+    def __call__(self, text: str) -> int:
+        return len(_encoder(self.ranks, self.pattern).encode_ordinary(text))
+
+
 def _packed(parts: list[str], count: Counter, limit: int, overlap: int) -> Iterator[str]:
     """Parts merged up to the limit, each chunk beginning with the last parts of the one before."""
     sizes = [count(p) for p in parts]

@@ -19,6 +19,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 #: Chunks and queries of a cell.
 CHUNKS, QUERIES = 1_024, 2_048
+#: Words of a project that are sent to all tasks at most.
+MOST_SENT = 500_000
 
 
 @dataclass(frozen=True)
@@ -66,14 +68,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def _weighed(index: Index, asked: DataFrame) -> DataFrame:
     """(project_id, cell, term, chunk_id, doc_id, start_char, part): what a word adds to a chunk's score, of the words asked for.
 
-    Postings are cut down to those words before anything else is joined.
+    Postings are cut down to those words before anything else is joined. Up to
+    ``MOST_SENT`` different words are sent to the postings, which then stay where they
+    are; beyond that both sides are shuffled.
     """
-    wanted = asked.select("project_id", "term").distinct()
+    wanted = cut_lineage(asked.select("project_id", "term").distinct())
+    send = F.broadcast if wanted.count() <= MOST_SENT else lambda df: df
+    wanted = send(wanted)
     found = index.postings.join(wanted, ["project_id", "term"], "left_semi")
     weights = index.terms.drop("cells").join(wanted, ["project_id", "term"], "left_semi").join(index.projects.select("project_id", "avgdl"), "project_id")
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    return found.join(weights, ["project_id", "term"]).select("project_id", "cell", "term", "chunk_id", "doc_id", "start_char", part.alias("part"))
+    return found.join(send(weights), ["project_id", "term"]).select("project_id", "cell", "term", "chunk_id", "doc_id", "start_char", part.alias("part"))
 
 
 def scores(index: Index, queries: DataFrame) -> DataFrame:

@@ -30,7 +30,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, query_vectors: s
     """(query_id, chunk_id, score, rank): the ``k`` vectors nearest to each query, of its project and model.
 
     ``queries`` has (query_id, project_id, model_name, vector). The score is (1 + cosine) / 2,
-    rounded to six places; ties go to the smaller chunk id. Vectors are cut into blocks of a
+    rounded to six places; ties go to the smaller chunk id. A query that is given for
+    several projects has the ``k`` best of them all. Vectors are cut into blocks of a
     bounded number of rows and the queries into blocks that meet each of them, so a project
     of any size is spread over tasks; each task keeps ``k`` per query.
     """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers
-from ..operators import answering, embedding, fusion, keyword, semantic, sessions
+from ..operators import ann, answering, embedding, fusion, keyword, semantic, sessions
 from ..tables import table
 from . import search as searching
 from .catalog import _BM25, _CHUNKS, _DOCS, _KEYS, _MSGS, _QUESTIONS, _STRIP, _VECTORS, _W, SQL, K, _chunks, _index, _messages, _vectors, query
@@ -66,6 +66,15 @@ def hybrid_topk(spark: SparkSession, root: str) -> DataFrame:
     return fusion.fuse(*lists, most=60).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(SQL["semantic_topk"])
+def indexed_topk(spark: SparkSession, root: str) -> DataFrame:
+    """The nearest vectors as in the exact query, by the index of lists; exact for projects up to ``ann.EXACT`` vectors."""
+    vectors = _vectors(spark, root)
+    asked = vectors.where(F.conv(F.substring("chunk_id", 5, 8), 16, 10).cast("long") % 20 == 0).withColumn("query_id", F.concat_ws("/", "chunk_id", "model_name"))
+    found = ann.search(ann.build(vectors, K), asked.select("query_id", "project_id", "model_name", "vector"), K)
+    return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 _CITED = f"""{_MSGS}, results AS (SELECT id AS query_id, unnest(citations) AS c, generate_subscripts(citations, 1) AS result_no FROM msgs WHERE len(citations) > 0),
   flat AS (SELECT query_id, result_no, c.text AS text, c.doc_title AS doc_title, c.source_url AS source_url FROM results)"""
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_context_prefix, tokens
-from ..operators import fusion, keyword, semantic
+from ..operators import ann, fusion, keyword, semantic
 from ..operators.embedding import Embedder, HashedWords
 from ..operators.rerank import Reranker, asked_words, lexical_logit, rerank, select_adaptively
 
@@ -35,8 +35,12 @@ def check(mode: str, top_k: int, min_score: float, budget: int) -> Mode:
     return Mode(mode)
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, mode: Mode, k: int, index: keyword.Index | None = None, vectors: DataFrame | None = None, embedder: Embedder | None = None) -> DataFrame:
-    """(query_id, chunk_id, rank): the ``k`` best chunks of each query in the mode's own order."""
+def candidates(queries: DataFrame, chunks: DataFrame, mode: Mode, k: int, index: keyword.Index | None = None, vectors: DataFrame | ann.Index | None = None, embedder: Embedder | None = None) -> DataFrame:
+    """(query_id, chunk_id, rank): the ``k`` best chunks of each query in the mode's own order.
+
+    ``vectors`` are those that are stored, searched exactly, or an approximate index of
+    them; without any the chunks are embedded here.
+    """
     lists = []
     if mode in (Mode.SEMANTIC, Mode.HYBRID):
         embedder = embedder or HashedWords()
@@ -44,7 +48,8 @@ def candidates(queries: DataFrame, chunks: DataFrame, mode: Mode, k: int, index:
             text = chunks.dropDuplicates(["id"]).select(F.col("id").alias("chunk_id"), "project_id", F.lit(embedder.name).alias("model_name"), embedder.column(F.coalesce("text", F.lit(""))).alias("vector"))
             vectors = text.where(semantic.usable(F.col("vector")))
         asked = queries.select("query_id", "project_id", F.lit(embedder.name).alias("model_name"), embedder.column("text").alias("vector"))
-        lists.append(semantic.search(vectors, asked.where(semantic.usable(F.col("vector"))), k))
+        asked = asked.where(semantic.usable(F.col("vector")))
+        lists.append(ann.search(vectors, asked, k) if isinstance(vectors, ann.Index) else semantic.search(vectors, asked, k))
     if mode in (Mode.KEYWORD, Mode.HYBRID):
         lists.append(keyword.search(index or keyword.build(chunks), queries, k))
     if len(lists) == 1:

@@ -1,7 +1,9 @@
+import os
 import datetime as dt
 
 from pyspark.sql import functions as F
 
+import pytest
 from docloom.operators import activity, chunking, corpus, embedding, sessions
 from docloom.plans import chat
 
@@ -163,3 +165,34 @@ def test_embedding_only_what_changed(rows):
         embedding.provider("none")
     except KeyError as e:
         assert "hashed-words-384" in str(e)
+
+
+@pytest.mark.skipif(not os.path.exists("/opt/tokenizers/byte_bpe_50k.tiktoken"), reason="no vocabulary")
+def test_chunks_by_a_vocabulary(rows):
+    count = chunking.VocabularyCounter("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    assert count("Hello world, hello.") == 5 and count("") == 0
+    docs = rows([("d", "p", "text", "T", None, "The harbour crane moved. " * 300)], "id string, project_id string, source_type string, title string, summary string, raw_text string")
+    got = chunking.chunk_documents(docs, count, limit=100, overlap=10).collect()
+    assert len(got) > 10 and all(count(r.text.split("\n", 1)[1]) <= 100 and r.token_count == count(r.text) for r in got)
+
+
+def test_missing_rows_and_taken_names(rows):
+    s = "id string, name string"
+    projects = rows([("a", "One"), ("b", "Two")], s)
+    assert corpus.require(projects, "a").first().name == "One"
+    with pytest.raises(corpus.NotFound):
+        corpus.require(projects, "x", "project")
+    new = rows([("c", "Two"), ("d", "Three")], s)
+    assert {(r.id, r.conflict) for r in corpus.conflicts(projects, new).collect()} == {("c", True), ("d", False)}
+    assert {r.name for r in corpus.created(projects, new).collect()} == {"One", "Two", "Three"}
+    with pytest.raises(corpus.Conflict):
+        corpus.created(projects, new, strict=True)
+    found = corpus.existing(projects, rows([("a",), ("x",), ("a",)], "id string")).collect()
+    assert sorted((r.id, r.found) for r in found) == [("a", True), ("x", False)]
+    assert corpus.existing(projects.limit(0), rows([("a",)], "id string")).first().found is False
+
+
+def test_address_within_a_title(rows):
+    known = rows([("https://www.a.example/page/one", None), ("Notes of b.example", None)], "title string, source_url string")
+    new = rows([("n1", "http://a.example/page"), ("n2", "https://b.example"), ("n3", "https://c.example"), ("n4", "https://example/x"), ("n5", None)], "title string, source_url string")
+    assert {r.title for r in corpus.not_yet_known(new, known).collect()} == {"n3", "n4", "n5"}

@@ -114,3 +114,29 @@ def test_whole_search(rows):
 def test_parameters_are_checked(bad):
     with pytest.raises(ValueError):
         search.check(**({"mode": "hybrid", "top_k": 10, "min_score": 0.1, "budget": 10_000} | {("budget" if k == "context_budget" else k): v for k, v in bad.items()}))
+
+
+def test_lists_of_a_large_project(rows, monkeypatch):
+    import numpy as np
+
+    from docloom.operators import ann
+
+    monkeypatch.setattr(ann, "EXACT", 300)
+    monkeypatch.setattr(ann, "LIST_ROWS", 60)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(25, 12))
+    x = (centres[rng.integers(0, 25, 1500)] + rng.normal(scale=0.5, size=(1500, 12))).tolist()
+    data = [(f"c{i:04d}", "big", "m", v) for i, v in enumerate(x)] + [(f"s{i}", "small", "m", v) for i, v in enumerate(x[:40])] + [("z", "small", "other", [1.0, 0.0])]
+    vectors = rows(data, "chunk_id string, project_id string, model_name string, vector array<float>")
+    queries = vectors.where("chunk_id LIKE '%7' OR chunk_id = 'z'").withColumnRenamed("chunk_id", "query_id")
+    index = ann.build(vectors, 10, 0.95)
+    assert index.centres.where("project_id = 'big'").count() >= 20 and index.vectors.count() == len(data)
+    probes = index.centres.where("project_id = 'big'").first().probes
+    assert 1 <= probes < 20
+    exact = {(r.query_id, r.chunk_id): r.score for r in semantic.search(vectors, queries, 10).collect()}
+    got = {(r.query_id, r.chunk_id): r.score for r in ann.search(index, queries, 10).collect()}
+    small = lambda d: {k: v for k, v in d.items() if k[0][0] in "sz"}
+    assert small(got) == small(exact) and len(small(got)) > 30
+    big = {k for k in exact if k[0][0] == "c"}
+    assert len(big & set(got)) / len(big) >= 0.9
+    assert ann.search(ann.build(vectors.limit(0)), queries, 10).count() == 0
