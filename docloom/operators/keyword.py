@@ -6,7 +6,8 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,26 +104,41 @@ _TOP = "query_id string, chunk_id string, doc_id string, start_char int, score d
 _SUMS = 4_000_000
 
 
+_TOP_SCHEMA = pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()), ("doc_id", pa.string()), ("start_char", pa.int32()), ("score", pa.float64()), ("matched", pa.int64())])
+
+
+def _coded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """The values of a column as numbers from 0, and what they stand for."""
+    coded = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    return coded.indices.to_numpy(), coded.dictionary
+
+
 def _best_of_cell(k: int, order: str):
     """The ``k`` best chunks of each query within a cell; ties go to the order of the corpus."""
-    columns = ["query_id", "chunk_id", "doc_id", "start_char", "score", "matched"]
 
-    def best(asked: pd.DataFrame, postings: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or postings.empty:
-            return pd.DataFrame(columns=columns)
-        about = postings.drop_duplicates("chunk_id")[["chunk_id", "doc_id", "start_char"]]
-        about = about.sort_values(["doc_id", "start_char", "chunk_id"] if order == "score" else ["chunk_id"], ignore_index=True)
+    def best(asked: pa.Table, postings: pa.Table) -> pa.Table:
+        if not asked.num_rows or not postings.num_rows:
+            return _TOP_SCHEMA.empty_table()
+        asked, postings = asked.combine_chunks(), postings.combine_chunks()
+        seen, _ = _coded(postings.column("chunk_id"))
+        _, rows = np.unique(seen, return_index=True)
+        about = postings.select(["chunk_id", "doc_id", "start_char"]).take(rows)
         # Chunks are numbered by the order that decides ties.
-        chunk = pd.Index(about["chunk_id"]).get_indexer(postings["chunk_id"])
-        term, terms = pd.factorize(postings["term"])
+        by = pc.sort_indices(about, [(c, "ascending") for c in (("doc_id", "start_char", "chunk_id") if order == "score" else ("chunk_id",))]).to_numpy()
+        about, place = about.take(by), np.empty(len(by), int)
+        place[by] = np.arange(len(by))
+        chunk = place[seen]
+        term, terms = _coded(postings.column("term"))
         by_term = np.argsort(term, kind="stable")
-        chunk, part = chunk[by_term], postings["part"].to_numpy()[by_term]
+        chunk, part = chunk[by_term], postings.column("part").to_numpy()[by_term]
         ends = np.cumsum(np.bincount(term, minlength=len(terms)))
         starts = np.concatenate([[0], ends[:-1]])
-        code = pd.Index(terms).get_indexer(asked["term"])
-        asked, code = asked[code >= 0], code[code >= 0]
-        query, names = pd.factorize(asked["query_id"])
-        qf, width, n_chunks = asked["qf"].to_numpy(), ends - starts, len(about)
+        code = pc.fill_null(pc.index_in(asked.column("term"), value_set=terms), -1).to_numpy()
+        asked, code = asked.filter(pa.array(code >= 0)), code[code >= 0]
+        if not len(code):
+            return _TOP_SCHEMA.empty_table()
+        query, names = _coded(asked.column("query_id"))
+        qf, width, n_chunks = asked.column("qf").to_numpy(), ends - starts, len(place)
         out, step = [], max(1, _SUMS // n_chunks)
         for first in range(0, len(names), step):
             mine = (query >= first) & (query < first + step)
@@ -137,10 +153,12 @@ def _best_of_cell(k: int, order: str):
             q, at = np.nonzero((value >= least) & (matched > 0))
             best_first = np.lexsort((at, -value[q, at], q))
             q, at = q[best_first], at[best_first]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            q, at = q[place < k], at[place < k]
-            out.append(pd.DataFrame({"query_id": names[q + first], "chunk_id": about["chunk_id"].to_numpy()[at], "doc_id": about["doc_id"].to_numpy()[at], "start_char": about["start_char"].to_numpy()[at], "score": score[q, at], "matched": matched[q, at]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=columns)
+            kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+            q, at = q[kept], at[kept]
+            hit = about.take(at)
+            columns = [names.take(q + first), hit.column("chunk_id"), hit.column("doc_id"), hit.column("start_char"), score[q, at], matched[q, at].astype(np.int64)]
+            out.append(pa.table([pa.chunked_array([x]) if isinstance(x, pa.Array) else x if isinstance(x, pa.ChunkedArray) else pa.chunked_array([pa.array(x)]) for x in columns], names=_TOP_SCHEMA.names))
+        return pa.concat_tables(out).cast(_TOP_SCHEMA)
 
     return best
 
@@ -167,7 +185,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, order: str = "score")
     right = right.select("project_id", "q", "cell", "term", "chunk_id", "doc_id", "start_char", "part")
     cell = ["project_id", "q", "cell"]
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)
-    top = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_best_of_cell(k, order), _TOP).withColumn("score", F.round("score", 6))
+    top = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_best_of_cell(k, order), _TOP).withColumn("score", F.round("score", 6))
     by = [F.desc("score"), "doc_id", "start_char", "chunk_id"] if order == "score" else [F.desc("matched"), "chunk_id"]
     top = top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).where(F.col("rank") <= k)
     most = F.max("score").over(Window.partitionBy("query_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import title_from
 from ..operators import answering, sessions
+from ..session import cut_lineage
 from . import search as searching
 
 
@@ -25,7 +26,8 @@ def replay(messages: DataFrame, sessions_: DataFrame, chunks: DataFrame, docs: D
     in a chat than in a plain search.
     """
     asked = turns(messages, sessions_)
-    results = searching.search(asked.select("query_id", "project_id", "text"), chunks, docs, **({"min_score": 0.35, "mode": "keyword"} | options))
+    # Read twice below: for the prompt and for the citations.
+    results = cut_lineage(searching.search(asked.select("query_id", "project_id", "text"), chunks, docs, **({"min_score": 0.35, "mode": "keyword"} | options)))
     blocks = answering.source_blocks(asked, results)
     counts = results.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_sources"), F.sort_array(F.collect_list(F.struct("result_no", "chunk_id", "doc_id", "score"))).alias("results"))
     rows = asked.join(blocks, "query_id").join(counts, "query_id", "left").fillna(0, ["n_sources"])
@@ -64,7 +66,7 @@ def one_shot(questions: DataFrame, chunks: DataFrame, docs: DataFrame, provider:
     A question without results gets the fixed answer, no citations, and isn't sufficient; a
     provider's error becomes the answer's text.
     """
-    results = searching.search(questions, chunks, docs, **({"mode": "keyword"} | options))
+    results = cut_lineage(searching.search(questions, chunks, docs, **({"mode": "keyword"} | options)))
     blocks = answering.source_blocks(questions, results)
     counts = results.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_sources"), F.sort_array(F.collect_list(F.struct("result_no", "chunk_id", "doc_id", "score"))).alias("results"))
     rows = questions.join(blocks, "query_id").join(counts, "query_id", "left").fillna(0, ["n_sources"])
