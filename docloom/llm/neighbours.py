@@ -147,15 +147,17 @@ def fit(sample: np.ndarray, leaves: int, shards: int, seed: int = 7) -> Tree:
     return Tree(unit(np.asarray(centre) + 1e-12), lift, children, of, np.asarray(shard)[order])
 
 
-def calibrate(tree: Tree, sample: np.ndarray, k: int, floor: float | None, recall: float, seed: int = 11) -> float:
+def calibrate(tree: Tree, sample: np.ndarray, k: int, floor: float | None, recall: float, share: float = 1.0, seed: int = 11) -> float:
     """The least margin at which the visits of sample queries hold ``recall`` of their neighbours.
 
     With a floor the neighbours are drawn at exactly that similarity in a random direction
     (the hardest ones asked for), and a pair counts when either end visits a leaf in the
-    other's shard; without one they are the k best of the sample and their leaf counts.
+    other's shard; without one their leaf counts, and they are the best of the sample: as
+    many of the k as fall to the sample, whose ``share`` of all vectors is given, for the
+    sample's k best lie further away than the k best of all.
     """
     rng = np.random.default_rng(seed)
-    q = sample[rng.choice(len(sample), min(512, len(sample)), replace=False)]
+    q = sample[rng.choice(len(sample), min(512 if floor is not None else 2048, len(sample)), replace=False)]
     if floor is not None:
         noise = rng.normal(size=(len(q), 4, q.shape[1])).astype(np.float32)
         noise -= (noise * q[:, None]).sum(2, keepdims=True) * q[:, None]
@@ -165,6 +167,7 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, floor: float | None, recal
     else:
         s = q @ sample.T
         s[s > 1 - 1e-6] = -1
+        k = max(1, int(np.ceil(k * share)))
         best = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k]
         near, who = sample[best.ravel()], np.repeat(np.arange(len(q)), best.shape[1])
 
@@ -211,7 +214,7 @@ def _trees(rows: DataFrame, k: int, floor: float | None, recall: float) -> dict[
         x = unit(np.stack(vectors.to_list()))
         n = counts[model]
         tree = fit(x, max(1, min(len(x) // 8, round(n / LEAF_ROWS))), max(1, round(n / shard_rows)))
-        tree.margin = calibrate(tree, x, k, floor, recall) if len(x) > 1 else 2.0
+        tree.margin = calibrate(tree, x, k, floor, recall, len(x) / n) if len(x) > 1 else 2.0
         homes = np.bincount(tree.home(x), minlength=len(tree.shard))
         held = np.bincount(tree.shard, weights=homes) * n / len(x)
         seen = np.zeros(len(held))
