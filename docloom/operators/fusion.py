@@ -19,7 +19,8 @@ def fuse(*lists: DataFrame, k: int = RRF_K, most: int | None = None) -> DataFram
     """
     bag = reduce(lambda a, b: a.unionByName(b), [x.select("query_id", "chunk_id", "rank", F.lit(i).alias("of")) for i, x in enumerate(lists)])
     ranks = [F.min(F.when(F.col("of") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(lists))]
-    fused = bag.groupBy("query_id", "chunk_id").agg(F.round(F.sum(rrf(F.col("rank"), k)), 6).alias("fused"), *ranks)
+    # By query, as the ranks need them: else rows move once for the sums and once for the ranks.
+    fused = bag.repartition("query_id").groupBy("query_id", "chunk_id").agg(F.round(F.sum(rrf(F.col("rank"), k)), 6).alias("fused"), *ranks)
     best = Window.partitionBy("query_id").orderBy(F.desc("fused"), *[F.asc_nulls_last(f"r{i}") for i in range(len(lists))], "chunk_id")
     out = fused.withColumn("rank", F.row_number().over(best))
     return (out.where(F.col("rank") <= most) if most else out).select("query_id", "chunk_id", "fused", "rank")
