@@ -12,52 +12,97 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import checkpoint_dir, cut_lineage
+from ..session import checkpoint_dir, cut_lineage, of_existing, once, sent
 
 #: Constants of the scoring function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-#: Chunks and queries of a cell.
-CHUNKS, QUERIES = 1_024, 2_048
-#: Words of a project that are sent to all tasks at most.
-MOST_SENT = 500_000
+#: Chunks of a cell, cells and queries that a task holds at a time.
+CHUNKS, TOGETHER, QUERIES = 16_384, 4, 2_048
 
 
 @dataclass(frozen=True)
 class Index:
-    """Postings (project_id, cell, term, chunk_id, doc_id, start_char, tf, dl), terms (project_id, term, df, idf, cells) and projects (project_id, n, avgdl, mean_idf).
+    """Postings (project_id, cell, term, df, places, tfs), terms (project_id, term, df, idf, cells), projects (project_id, n, avgdl, mean_idf) and cells (project_id, cell, chunk_ids, doc_ids, start_chars, lengths).
 
-    A project's chunks are cut into cells of about ``CHUNKS``; ``cells`` are those that hold a term.
+    A project's chunks are cut into cells of about ``CHUNKS``. A row of the postings has a
+    word's chunks in a cell, by their places in the lists of ``cells``, and how often it is in
+    each, as packed numbers; ``terms.cells`` are the cells that hold a word.
     """
 
     postings: DataFrame
     terms: DataFrame
     projects: DataFrame
+    cells: DataFrame
+
+
+_PACKED = "project_id string, cell int, term string, df int, places binary, tfs binary, chunk_ids array<string>, doc_ids array<string>, start_chars array<int>, lengths array<int>"
+_POSTINGS, _CELLS = ["project_id", "cell", "term", "df", "places", "tfs"], ["project_id", "cell", "chunk_ids", "doc_ids", "start_chars", "lengths"]
+
+
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the fewest bytes that hold them all."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+
+
+def _wide(packed: pa.ChunkedArray, df: np.ndarray) -> np.ndarray:
+    """The numbers of packed lists of ``df`` numbers each, all of one cell, one after another."""
+    data = b"".join(packed.to_pylist())
+    return np.frombuffer(data, f"<u{max(1, len(data) // max(1, df.sum()))}").astype(np.int64)
+
+
+def _pack(rows: pa.Table) -> pa.Table:
+    """A cell's chunks with their words as a row that lists the chunks, without a term, and a row for each word."""
+    schema = pa.schema([("project_id", pa.string()), ("cell", pa.int32()), ("term", pa.string()), ("df", pa.int32()), ("places", pa.binary()), ("tfs", pa.binary()), ("chunk_ids", pa.list_(pa.string())), ("doc_ids", pa.list_(pa.string())), ("start_chars", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32()))])
+    rows = rows.combine_chunks()
+    words = rows.column("words").chunk(0)
+    lengths, coded = pc.list_value_length(words).to_numpy(), words.flatten().dictionary_encode()
+    key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(rows) + np.repeat(np.arange(len(rows)), lengths), return_counts=True)
+    df = np.bincount(key // len(rows), minlength=len(coded.dictionary))
+    ends = np.concatenate([[0], np.cumsum(df)])
+
+    def lists(numbers: np.ndarray) -> pa.Array:
+        numbers = _narrow(numbers)
+        offsets = (ends * numbers.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(df), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(numbers.tobytes())])
+
+    project, cell = rows.column("project_id")[0].as_py(), rows.column("cell")[0].as_py()
+    said = pa.table([pa.array([project] * len(df), pa.string()), pa.array([cell] * len(df), pa.int32()), coded.dictionary, pa.array(df, pa.int32()), lists(key % len(rows)), lists(tf), *(pa.nulls(len(df), f.type) for f in list(schema)[6:])], schema=schema)
+    head = {"project_id": project, "cell": cell} | {c: rows.column(c[:-1]).to_pylist() for c in ("chunk_ids", "doc_ids", "start_chars")} | {"lengths": lengths.tolist()}
+    return pa.concat_tables([pa.Table.from_pylist([head], schema=schema), said.sort_by("term")])
+
+
+def _packed(chunks: DataFrame) -> DataFrame:
+    """The postings and cells of ``chunks`` in one table. A text moves once, to its cell, and is taken apart there."""
+    n_cells = sent(chunks.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / CHUNKS).cast("int").alias("n_cells")))
+    cell = F.pmod(F.xxhash64("id"), F.col("n_cells")).cast("int").alias("cell")
+    placed = once(chunks).join(n_cells, "project_id").select("project_id", cell, F.col("id").alias("chunk_id"), "doc_id", F.col("start_char").cast("int").alias("start_char"), "text")
+    words = placed.repartition("project_id", "cell").withColumn("words", tokens(F.coalesce("text", F.lit("")))).drop("text")
+    return words.groupBy("project_id", "cell").applyInArrow(_pack, _PACKED)
+
+
+def _derived(packed: DataFrame) -> Index:
+    postings, cells = packed.where("term IS NOT NULL").select(*_POSTINGS), packed.where("term IS NULL").select(*_CELLS)
+    total = F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)
+    projects = sent(cells.groupBy("project_id").agg(F.sum(F.size("lengths")).alias("n"), F.sum(total).alias("words")).select("project_id", "n", (F.col("words") / F.col("n")).alias("avgdl")))
+    df = postings.groupBy("project_id", "term").agg(F.sum("df").alias("df"), F.collect_set("cell").alias("cells"))
+    n = F.col("n")
+    raw = df.join(projects, "project_id").withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    means = sent(raw.groupBy("project_id").agg(F.avg("raw").alias("mean_idf")))
+    terms = raw.join(means, "project_id").select("project_id", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"), "cells")
+    return Index(postings, terms, projects.join(means, "project_id", "left"), cells)
 
 
 def build(chunks: DataFrame) -> Index:
     """The index of ``chunks`` (id, project_id, doc_id, start_char, text).
 
     Chunks delivered twice count once; chunks without words count towards the project's
-    number and mean length. Document frequencies and lengths are summed before they are
-    shuffled. A negative idf is replaced by a share of the mean over the vocabulary.
+    number and mean length. A negative idf is replaced by a share of the mean over the
+    vocabulary.
     """
-    words = chunks.dropDuplicates(["id"]).select("project_id", F.col("id").alias("chunk_id"), "doc_id", "start_char", tokens(F.coalesce("text", F.lit(""))).alias("words"))
-    sizes = words.withColumn("dl", F.size("words"))
-    projects = sizes.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    of = ["project_id", "chunk_id", "doc_id", "start_char", "dl"]
-    postings = sizes.select(*of, F.explode("words").alias("term")).groupBy(*of, "term").agg(F.count(F.lit(1)).alias("tf"))
-    cell = F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("n") / CHUNKS)).cast("int")
-    postings = postings.join(projects.select("project_id", "n"), "project_id").select("project_id", cell.alias("cell"), "term", "chunk_id", "doc_id", "start_char", "tf", "dl")
-    # Everything below reads the postings; the texts are taken apart once.
-    postings = cut_lineage(postings)
-    df = postings.groupBy("project_id", "term").agg(F.count(F.lit(1)).alias("df"), F.collect_set("cell").alias("cells"))
-    n = F.col("n")
-    raw = df.join(projects, "project_id").withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    means = raw.groupBy("project_id").agg(F.avg("raw").alias("mean_idf"))
-    terms = raw.join(means, "project_id").select("project_id", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"), "cells")
-    return Index(postings, terms, projects.join(means, "project_id", "left"))
+    # Everything derived reads the postings; the texts are taken apart once.
+    return _derived(cut_lineage(_packed(chunks)))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -66,21 +111,31 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "project_id", words.alias("term")).groupBy("query_id", "project_id", "term").agg(F.count(F.lit(1)).alias("qf"))
 
 
-def _weighed(index: Index, asked: DataFrame) -> DataFrame:
-    """(project_id, cell, term, chunk_id, doc_id, start_char, part): what a word adds to a chunk's score, of the words asked for.
+def _wanted(index: Index, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings of the words asked for, and (project_id, term, idf, avgdl, cells) of those words.
 
-    Postings are cut down to those words before anything else is joined. Up to
-    ``MOST_SENT`` different words are sent to the postings, which then stay where they
-    are; beyond that both sides are shuffled.
+    Up to ``session.MOST_SENT`` different words are sent to the postings, which then stay
+    where they are; beyond that both sides are shuffled.
     """
-    wanted = cut_lineage(asked.select("project_id", "term").distinct())
-    send = F.broadcast if wanted.count() <= MOST_SENT else lambda df: df
-    wanted = send(wanted)
-    found = index.postings.join(wanted, ["project_id", "term"], "left_semi")
-    weights = index.terms.drop("cells").join(wanted, ["project_id", "term"], "left_semi").join(index.projects.select("project_id", "avgdl"), "project_id")
-    tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    return found.join(send(weights), ["project_id", "term"]).select("project_id", "cell", "term", "chunk_id", "doc_id", "start_char", part.alias("part"))
+    wanted = sent(asked.select("project_id", "term").distinct())
+    weights = index.terms.join(wanted, ["project_id", "term"], "left_semi").join(index.projects.select("project_id", "avgdl"), "project_id")
+    return index.postings.join(wanted, ["project_id", "term"], "left_semi"), weights.select("project_id", "term", "idf", "avgdl", "cells")
+
+
+def _part(idf, tf, dl, avgdl):
+    """What a word adds to a chunk's score."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def _unpacked(cells: pa.Table, postings: pa.Table) -> pa.Table:
+    """(project_id, term, chunk_id, tf, dl) of a cell's packed postings."""
+    if not cells.num_rows or not postings.num_rows:
+        return pa.schema([("project_id", pa.string()), ("term", pa.string()), ("chunk_id", pa.string()), ("tf", pa.int64()), ("dl", pa.int32())]).empty_table()
+    df = postings.column("df").to_numpy()
+    at = pa.array(_wide(postings.column("places"), df))
+    chunk, dl = (pc.list_flatten(cells.column(c)).take(at) for c in ("chunk_ids", "lengths"))
+    of = postings.select(["project_id", "term"]).take(pa.array(np.repeat(np.arange(len(df)), df)))
+    return of.append_column("chunk_id", chunk).append_column("tf", pa.array(_wide(postings.column("tfs"), df))).append_column("dl", dl)
 
 
 def scores(index: Index, queries: DataFrame) -> DataFrame:
@@ -90,8 +145,13 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
     the best ones only, :func:`search` is far cheaper.
     """
     asked = query_terms(queries)
+    postings, weights = _wanted(index, asked)
+    cell = ["project_id", "cell"]
+    cells, postings = index.cells.toDF(*_CELLS), postings.select(*_POSTINGS).toDF(*_POSTINGS)
+    found = cells.groupBy(*cell).cogroup(postings.groupBy(*cell)).applyInArrow(_unpacked, "project_id string, term string, chunk_id string, tf long, dl int")
+    part = _part(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl")).alias("part")
     return (
-        asked.join(_weighed(index, asked), ["project_id", "term"])
+        asked.join(found.join(weights, ["project_id", "term"]).select("project_id", "term", "chunk_id", part), ["project_id", "term"])
         .groupBy("query_id", "chunk_id")
         .agg(F.round(F.sum(F.col("qf") * F.col("part")), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
     )
@@ -113,30 +173,40 @@ def _coded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(), coded.dictionary
 
 
-def _best_of_cell(k: int, order: str):
-    """The ``k`` best chunks of each query within a cell; ties go to the order of the corpus."""
+def _best_of_cells(k: int, order: str):
+    """The ``k`` best chunks of each query within some cells; ties go to the order of the corpus."""
 
-    def best(asked: pa.Table, postings: pa.Table) -> pa.Table:
-        if not asked.num_rows or not postings.num_rows:
+    def best(asked: pa.Table, found: pa.Table) -> pa.Table:
+        if not asked.num_rows or not found.num_rows:
             return _TOP_SCHEMA.empty_table()
-        asked, postings = asked.combine_chunks(), postings.combine_chunks()
-        seen, _ = _coded(postings.column("chunk_id"))
-        _, rows = np.unique(seen, return_index=True)
-        about = postings.select(["chunk_id", "doc_id", "start_char"]).take(rows)
+        asked, held = asked.combine_chunks(), pc.is_null(found.column("term"))
+        cells, postings = found.filter(held), found.filter(pc.invert(held))
+        about = pa.table({c: pc.list_flatten(cells.column(f"{c}s")) for c in ("chunk_id", "doc_id", "start_char")}).combine_chunks()
+        dl = pc.list_flatten(cells.column("lengths")).to_numpy()
         # Chunks are numbered by the order that decides ties.
         by = pc.sort_indices(about, [(c, "ascending") for c in (("doc_id", "start_char", "chunk_id") if order == "score" else ("chunk_id",))]).to_numpy()
         about, place = about.take(by), np.empty(len(by), int)
         place[by] = np.arange(len(by))
-        chunk = place[seen]
-        term, terms = _coded(postings.column("term"))
+        code, terms = _coded(asked.column("term"))
+        _, one = np.unique(code, return_index=True)
+        idf, avgdl = (asked.column(c).to_numpy()[one] for c in ("idf", "avgdl"))
+        postings = postings.filter(pc.is_in(postings.column("term"), value_set=terms))
+        term, chunk, tf, before = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0, int)], 0
+        for cell, size in zip(cells.column("cell").to_pylist(), pc.list_value_length(cells.column("chunk_ids")).to_pylist()):
+            mine = postings.filter(pc.equal(postings.column("cell"), cell))
+            df = mine.column("df").to_numpy()
+            term.append(np.repeat(pc.index_in(mine.column("term"), value_set=terms).to_numpy().astype(int), df))
+            chunk.append(before + _wide(mine.column("places"), df))
+            tf.append(_wide(mine.column("tfs"), df))
+            before += size
+        term, chunk, tf = map(np.concatenate, (term, chunk, tf))
+        if not len(term):
+            return _TOP_SCHEMA.empty_table()
         by_term = np.argsort(term, kind="stable")
-        chunk, part = chunk[by_term], postings.column("part").to_numpy()[by_term]
+        term, chunk, tf = term[by_term], chunk[by_term], tf[by_term]
+        part, chunk = _part(idf[term], tf, dl[chunk], avgdl[term]), place[chunk]
         ends = np.cumsum(np.bincount(term, minlength=len(terms)))
         starts = np.concatenate([[0], ends[:-1]])
-        code = pc.fill_null(pc.index_in(asked.column("term"), value_set=terms), -1).to_numpy()
-        asked, code = asked.filter(pa.array(code >= 0)), code[code >= 0]
-        if not len(code):
-            return _TOP_SCHEMA.empty_table()
         query, names = _coded(asked.column("query_id"))
         qf, width, n_chunks = asked.column("qf").to_numpy(), ends - starts, len(place)
         out, step = [], max(1, _SUMS // n_chunks)
@@ -171,21 +241,23 @@ def search(index: Index, queries: DataFrame, k: int = 10, order: str = "score")
     the cut, as the cut is over all. With ``order="matched"`` the number of the query's
     words that match decides, then the id.
 
-    A project's chunks and queries are cut into cells of bounded size. All of a chunk's
-    words lie in one cell, so its score is summed there and only ``k`` rows per query and
-    cell are shuffled, not one for every pair of a query and a chunk. A query's word is sent
-    to the cells that hold it only.
+    A project's chunks and queries are cut into parts of bounded size, and packed postings
+    are sent to the parts of queries. All of a chunk's words lie in one cell, so its score
+    is summed there and only ``k`` rows per query and ``TOGETHER`` cells are shuffled, not one
+    for every pair of a query and a chunk.
     """
     asked = query_terms(queries)
-    n_queries = queries.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("qs"))
+    postings, weights = _wanted(index, asked)
+    n_queries = sent(queries.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("qs")))
     spot = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = asked.join(index.terms.select("project_id", "term", "cells"), ["project_id", "term"]).join(n_queries, "project_id")
-    left = left.select("project_id", spot("query_id", "qs").alias("q"), F.explode("cells").alias("cell"), "query_id", "term", "qf")
-    right = _weighed(index, asked).join(n_queries, "project_id").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
-    right = right.select("project_id", "q", "cell", "term", "chunk_id", "doc_id", "start_char", "part")
-    cell = ["project_id", "q", "cell"]
+    part = lambda c: F.floor(c / TOGETHER).cast("int")
+    left = asked.join(weights, ["project_id", "term"]).join(n_queries, "project_id")
+    left = left.select("project_id", spot("query_id", "qs").alias("q"), F.explode(F.array_distinct(F.transform("cells", part))).alias("part"), "query_id", "term", "qf", "idf", "avgdl")
+    right = postings.unionByName(index.cells, allowMissingColumns=True).join(n_queries, "project_id")
+    right = right.select(*_POSTINGS, *_CELLS[2:], part(F.col("cell")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"))
+    keys = ["project_id", "q", "part"]
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)
-    top = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_best_of_cell(k, order), _TOP).withColumn("score", F.round("score", 6))
+    top = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best_of_cells(k, order), _TOP).withColumn("score", F.round("score", 6))
     by = [F.desc("score"), "doc_id", "start_char", "chunk_id"] if order == "score" else [F.desc("matched"), "chunk_id"]
     top = top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).where(F.col("rank") <= k)
     most = F.max("score").over(Window.partitionBy("query_id"))
@@ -193,19 +265,25 @@ def search(index: Index, queries: DataFrame, k: int = 10, order: str = "score")
     return top.where("score > 0").select("query_id", "chunk_id", "score", "normalized", "rank")
 
 
-#: What the tables of a written index are ordered by, so that a reader skips what it doesn't ask for.
-_SORTED = {"postings": ("project_id", "term"), "terms": ("project_id", "term"), "projects": ("project_id",)}
+#: The tables of a written index. Postings lie in the order of cells and words, as they were packed.
+_TABLES = ("packed", "terms", "projects")
 
 
 def write_index(index: Index, folder: str, version: str) -> None:
-    """The index as tables of a version, in the order of projects and terms; a new version leaves the old one readable."""
-    for name, keys in _SORTED.items():
-        getattr(index, name).repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
+    """The index as tables of a version; a new version leaves the old one readable."""
+    index.postings.unionByName(index.cells, allowMissingColumns=True).write.mode("overwrite").parquet(f"{folder}/{version}/packed")
+    _write_derived(index, folder, version)
+
+
+def _write_derived(index: Index, folder: str, version: str) -> None:
+    for name in _TABLES[1:]:
+        getattr(index, name).write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
 
 
 def read_index(spark: SparkSession, folder: str, version: str) -> Index:
     """An index that was written."""
-    return Index(*(spark.read.parquet(f"{folder}/{version}/{name}") for name in _SORTED))
+    packed, terms, projects = (spark.read.parquet(f"{folder}/{version}/{name}") for name in _TABLES)
+    return Index(packed.where("term IS NOT NULL").select(*_POSTINGS), terms, projects, packed.where("term IS NULL").select(*_CELLS))
 
 
 def version_of(spark: SparkSession, *tables: str) -> str:
@@ -219,18 +297,21 @@ def version_of(spark: SparkSession, *tables: str) -> str:
     return hashlib.sha256("\n".join(said).encode()).hexdigest()[:16]
 
 
-def cached(chunks: DataFrame, version: str, folder: str | None = None) -> Index:
+def cached(chunks: DataFrame, version: str, folder: str | None = None, docs: DataFrame | None = None) -> Index:
     """The index of ``chunks`` as written under ``version``; built and written first if it isn't there.
 
+    With ``docs`` (doc_id) only the chunks of those documents count.
+
     A table that changed has another version, so an index of what it held before is never
     read. The folder is by default one beside the checkpoints.
     """
     spark = chunks.sparkSession
     folder = folder or f"{checkpoint_dir(spark)}/keyword-index"
     jvm = spark.sparkContext._jvm
-    done = [jvm.org.apache.hadoop.fs.Path(f"{folder}/{version}/{name}/_SUCCESS") for name in _SORTED]
+    done = [jvm.org.apache.hadoop.fs.Path(f"{folder}/{version}/{name}/_SUCCESS") for name in _TABLES]
     if not all(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) for p in done):
-        write_index(build(chunks), folder, version)
+        _packed(chunks if docs is None else of_existing(chunks, docs, "doc_id")).write.mode("overwrite").parquet(f"{folder}/{version}/packed")
+        _write_derived(_derived(spark.read.parquet(f"{folder}/{version}/packed")), folder, version)
     return read_index(spark, folder, version)
 
 

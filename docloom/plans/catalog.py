@@ -64,13 +64,14 @@ _INDEXED = ("project_id", "doc_id", "start_char", "text")
 
 def _index(spark: SparkSession, root: str) -> keyword.Index:
     """The keyword index of all chunks, built once for each version of the table and read from disk then."""
-    return keyword.cached(_chunks(spark, root, *_INDEXED), keyword.version_of(spark, f"{root}/chunks.parquet"))
+    return keyword.cached(table(spark, root, "chunks", "id", *_INDEXED), keyword.version_of(spark, f"{root}/chunks.parquet"))
 
 
 def _live_index(spark: SparkSession, root: str) -> keyword.Index:
     """The same of the chunks whose document exists."""
-    live = _chunks(spark, root, *_INDEXED).join(table(spark, root, "project_documents", "id").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return keyword.cached(live, keyword.version_of(spark, f"{root}/chunks.parquet", f"{root}/project_documents.parquet"))
+    docs = table(spark, root, "project_documents", F.col("id").alias("doc_id"))
+    version = keyword.version_of(spark, f"{root}/chunks.parquet", f"{root}/project_documents.parquet")
+    return keyword.cached(table(spark, root, "chunks", "id", *_INDEXED), version, docs=docs)
 
 
 def _messages(spark: SparkSession, root: str) -> DataFrame:
@@ -178,23 +179,23 @@ def _stored(spark: SparkSession, root: str) -> dict:
 
 @query()
 def hybrid_search(spark: SparkSession, root: str) -> DataFrame:
-    return searching.search(_questions(spark, root), _chunks(spark, root), _docs(spark, root, *_ABOUT), mode="hybrid", index=_live_index(spark, root), **_stored(spark, root))
+    return searching.search(_questions(spark, root), table(spark, root, "chunks"), _docs(spark, root, *_ABOUT), mode="hybrid", index=_live_index(spark, root), **_stored(spark, root))
 
 
 @query()
 def keyword_search(spark: SparkSession, root: str) -> DataFrame:
-    return searching.search(_questions(spark, root), _chunks(spark, root), _docs(spark, root, *_ABOUT), mode="keyword", index=_live_index(spark, root))
+    return searching.search(_questions(spark, root), table(spark, root, "chunks"), _docs(spark, root, *_ABOUT), mode="keyword", index=_live_index(spark, root))
 
 
 @query()
 def semantic_search(spark: SparkSession, root: str) -> DataFrame:
-    return searching.search(_questions(spark, root), _chunks(spark, root), _docs(spark, root, *_ABOUT), mode="semantic", **_stored(spark, root))
+    return searching.search(_questions(spark, root), table(spark, root, "chunks"), _docs(spark, root, *_ABOUT), mode="semantic", **_stored(spark, root))
 
 
 @query()
 def context_windows(spark: SparkSession, root: str) -> DataFrame:
     asked = _questions(spark, root)
-    return answering.context_windows(asked, searching.search(asked, _chunks(spark, root), _docs(spark, root, *_ABOUT), mode="keyword", index=_live_index(spark, root), top_k=5))
+    return answering.context_windows(asked, searching.search(asked, table(spark, root, "chunks"), _docs(spark, root, *_ABOUT), mode="keyword", index=_live_index(spark, root), top_k=5))
 
 
 _STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -470,7 +471,7 @@ def citations_by_document(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def chat_replay(spark: SparkSession, root: str) -> DataFrame:
     """Every question of every session answered again from its project's chunks."""
-    rows = chat.replay(_messages(spark, root), table(spark, root, "sessions"), _chunks(spark, root), _docs(spark, root, *_ABOUT), index=_live_index(spark, root))
+    rows = chat.replay(_messages(spark, root), table(spark, root, "sessions"), table(spark, root, "chunks"), _docs(spark, root, *_ABOUT), index=_live_index(spark, root))
     return rows.select("query_id", "session_id", "turn", F.size("prompt").alias("prompt_messages"), "answer", F.array_join("used", ",").alias("used"), "sufficient", F.size("citations").alias("citations"))
 
 

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from enum import Enum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_context_prefix, tokens
 from ..operators import ann, fusion, keyword, semantic
 from ..operators.embedding import Embedder, HashedWords
-from ..operators.rerank import Reranker, asked_words, lexical_logit, rerank, select_adaptively
+from ..operators.rerank import Reranker, asked_words, chosen_in_blocks, lexical_logit, rerank, select_adaptively
+from ..session import cut_lineage, once, sent
 
 #: Candidates per result that is asked for.
 OVERFETCH = 6
+#: Queries whose candidates' texts a task holds at a time.
+BLOCK = 2_048
 
 
 class Mode(str, Enum):
@@ -76,16 +79,37 @@ def search(
     has no results.
     """
     mode_ = check(mode, top_k, min_score, context_budget)
+    queries = cut_lineage(queries.select("query_id", "project_id", "text"))  # read by every list, and for the choice
     about = docs.select(F.col("id").alias("doc_id"), F.col("title").alias("doc_title"), "source_type", "source_url", "confidence_level")
-    live = chunks.dropDuplicates(["id"]).join(about.select("doc_id"), "doc_id", "left_semi")
+    live = chunks.join(about.select("doc_id"), "doc_id", "left_semi")
     ranked = candidates(queries, live, mode_, OVERFETCH * top_k, **stage1)
-    texts = live.select(F.col("id").alias("chunk_id"), "doc_id", strip_context_prefix("text").alias("text"), "start_char", "end_char", "strategy")
-    asked = queries.select("query_id", F.col("text").alias("query"))
+    shown = strip_context_prefix("text").alias("text")
     if reranker is lexical_logit:
-        texts = texts.withColumn("words", F.array_distinct(tokens("text")))
-        asked = asked.withColumn("asked", asked_words(F.col("query")))
-    pairs = ranked.join(asked, "query_id").join(texts, "chunk_id").join(about, "doc_id")
-    chosen = select_adaptively(rerank(pairs, reranker), top_k, min_score, context_budget)
+        chosen = _chosen(queries, ranked, chunks, about, shown, top_k, min_score, context_budget)
+    else:
+        texts = live.dropDuplicates(["id"]).select(F.col("id").alias("chunk_id"), "doc_id", shown, "start_char", "end_char", "strategy")
+        pairs = ranked.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(texts, "chunk_id").join(about, "doc_id")
+        chosen = select_adaptively(rerank(pairs, reranker), top_k, min_score, context_budget)
     return chosen.select(
         "query_id", "result_no", "chunk_id", "doc_id", "text", F.col("rerank_score").alias("score"), "start_char", "end_char", "strategy", "doc_title", "source_type", "source_url", "confidence_level"
     )
+
+
+def _chosen(queries: DataFrame, ranked: DataFrame, chunks: DataFrame, about: DataFrame, shown: Column, top_k: int, min_score: float, budget: int) -> DataFrame:
+    """The results by the default reranker, of queries in blocks of a project.
+
+    A block gets each text that is a candidate of any of its queries once, not once for each
+    pair, and what moves with a query is the list of its candidates' ids.
+    """
+    blocks = sent(queries.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    asked = queries.dropDuplicates(["query_id"]).join(blocks, "project_id").select("query_id", "project_id", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), asked_words(F.col("text")).alias("asked"))
+    best_first = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda c: c["chunk_id"])
+    keys, parts = ["project_id", "block"], int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = ranked.groupBy("query_id").agg(best_first.alias("chunk_ids")).join(asked, "query_id")
+    # Read twice below, for the texts that a block needs and for the choice, and both times by blocks.
+    lists = cut_lineage(lists.repartition(parts, *keys))
+    needed = lists.select(*keys, F.explode("chunk_ids").alias("chunk_id")).distinct()
+    places = chunks.select(F.col("id").alias("chunk_id"), "doc_id").join(about, "doc_id").dropDuplicates(["chunk_id"])
+    texts = once(chunks.select("id", "text", "start_char", "end_char", "strategy")).select(F.col("id").alias("chunk_id"), shown, "start_char", "end_char", "strategy")
+    found = needed.join(places, "chunk_id").join(texts, "chunk_id").repartition(parts, *keys)
+    return chosen_in_blocks(lists, found.withColumn("words", F.array_distinct(tokens("text"))), keys, top_k, min_score, budget)

@@ -8,6 +8,7 @@ import tempfile
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "docloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,3 +56,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` computed once, for plans that read it several times: written to the shared checkpoint folder, so it outlives lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: Rows that are sent to all tasks at most.
+MOST_SENT = 500_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """``df`` computed once and marked to be sent to all tasks, unless it has more than ``MOST_SENT`` rows."""
+    held = cut_lineage(df)
+    return F.broadcast(held) if held.count() <= MOST_SENT else held
+
+
+def once(df: DataFrame, key: str = "id") -> DataFrame:
+    """One row of ``df`` per ``key``. Only keys, and rows whose key occurs again, are moved."""
+    again = sent(df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__key"))
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    return df.join(again, same, "left_anti").unionByName(df.join(again, same, "left_semi").dropDuplicates([key]))
+
+
+def of_existing(df: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is one of ``parents`` (key). Only keys are moved: those that are missing are few."""
+    missing = sent(df.select(key).distinct().join(parents.select(key), key, "left_anti"))
+    return df.where(F.col(key).isNotNull()).join(missing, key, "left_anti")

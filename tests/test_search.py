@@ -36,6 +36,37 @@ def test_search_ties_and_isolation(rows):
     assert [(r.query_id, r.chunk_id, r.rank, r.normalized) for r in got] == [("q1", "c", 1, 1.0), ("q1", "a", 2, 1.0)]
 
 
+def test_an_index_has_a_row_per_word_and_cell(rows, monkeypatch):
+    """Not one per word and chunk, and a cut into many cells and parts finds the same."""
+    words = ["moss", "fern", "rock", "sand"]
+    chunks = rows([(f"c{i:02d}", "p", f"d{i % 5}", i, " ".join(words[: 1 + i % 4] * (1 + i % 3))) for i in range(40)], SCHEMA)
+    queries = rows([(f"q{i}", "p", f"{words[i % 4]} {words[i % 3]} clay") for i in range(9)], "query_id string, project_id string, text string")
+    index = keyword.build(chunks)
+    assert index.postings.count() == 4
+    whole = sorted(keyword.search(index, queries, 5).collect())
+    for name, value in (("CHUNKS", 4), ("TOGETHER", 2), ("QUERIES", 3)):
+        monkeypatch.setattr(keyword, name, value)
+    index = keyword.build(chunks)
+    assert index.cells.count() > 4 and sorted(keyword.search(index, queries, 5).collect()) == whole
+    best = {}
+    for r in sorted(keyword.scores(index, queries).collect(), key=lambda r: -r.score):
+        best.setdefault(r.query_id, []).append(r.score)
+    assert len(whole) >= 10 and all(r.score == best[r.query_id][r.rank - 1] for r in whole)
+
+
+def test_a_text_moves_once_for_a_block_of_queries(rows, monkeypatch):
+    """What is chosen from gets each candidate's text once, however many queries have it, and blocks choose as pairs do."""
+    chunks = rows([(f"c{i}", "p", "d1", i, f"harbour crane {w} {w}{w} pier{i} boat{i} rope{i}", i + 5, "markdown") for i, w in enumerate(["red", "blue", "green", "grey"])] * 2, SCHEMA + ", end_char int, strategy string")
+    docs = rows([("d1", "T", "web", None, 2)], "id string, title string, source_type string, source_url string, confidence_level int")
+    queries = rows([(f"q{i}", "p", f"harbour crane {w}") for i, w in enumerate(["red", "blue", "green", "grey", "red blue", "none"])], "query_id string, project_id string, text string")
+    seen = []
+    real = search.chosen_in_blocks
+    monkeypatch.setattr(search, "chosen_in_blocks", lambda lists, found, *a: (seen.append((lists.count(), found.count())), real(lists, found, *a))[1])
+    got = sorted(search.search(queries, chunks, docs, mode="keyword", top_k=3).collect())
+    assert seen == [(6, 4)]
+    assert got == sorted(search.search(queries, chunks, docs, mode="keyword", top_k=3, reranker=lambda q, t: rerank.lexical_logit(q, t)).collect())
+
+
 def test_empty_index(rows):
     chunks = rows([], SCHEMA)
     assert keyword.search(keyword.build(chunks), rows([("q", "p", "a")], "query_id string, project_id string, text string")).collect() == []
@@ -88,6 +119,12 @@ def test_fusion_ties(rows):
     assert fusion.fuse(a, b, most=1).count() == 1
 
 
+def test_fused_lists_move_once(rows):
+    s = "query_id string, chunk_id string, rank int"
+    plan = fusion.fuse(rows([("q", "x", 1)], s), rows([("q", "y", 1)], s))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_choose_every_branch():
     same = "alpha beta gamma delta"
     assert rerank.choose([0.0], ["low but best"], 10, 0.5, 1000) == [(0, "low but best")]
