@@ -60,6 +60,13 @@ def source_blocks(queries: DataFrame, results: DataFrame) -> DataFrame:
     return queries.join(found, "query_id", "left").select("query_id", F.concat_ws("\n", F.lit("--- SOURCES ---"), "sources").alias("sources"))
 
 
+def with_sources(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """``queries`` with ``sources``, the block of :func:`source_blocks`, their number ``n_sources``, and ``results`` (result_no, chunk_id, doc_id, score) in order. The texts are gathered once."""
+    text = _listed(results, F.concat(_header(False), F.lit(":\n"), F.col("text"), F.lit("\n")), "\n")
+    found = results.groupBy("query_id").agg(text.alias("sources"), F.count(F.lit(1)).cast("int").alias("n_sources"), F.sort_array(F.collect_list(F.struct("result_no", "chunk_id", "doc_id", "score"))).alias("results"))
+    return queries.join(found, "query_id", "left").withColumn("sources", F.concat_ws("\n", F.lit("--- SOURCES ---"), "sources")).fillna(0, ["n_sources"])
+
+
 class Provider(ABC):
     """A source of answers."""
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import title_from
 from ..operators import answering, sessions
-from ..session import cut_lineage
 from . import search as searching
 
 
@@ -22,22 +21,22 @@ def turns(messages: DataFrame, sessions_: DataFrame) -> DataFrame:
 def replay(messages: DataFrame, sessions_: DataFrame, chunks: DataFrame, docs: DataFrame, provider: answering.Provider | None = None, own_knowledge: bool = False, **options) -> DataFrame:
     """(query_id, session_id, turn, prompt, answer, used, sufficient, citations): what each question would be answered now.
 
-    The search runs once for all questions. ``options`` go to the search; its floor is higher
-    in a chat than in a plain search.
+    The search runs once for all questions, and a question that is asked several times in a
+    project is searched once. ``options`` go to the search; its floor is higher in a chat than
+    in a plain search.
     """
-    asked = turns(messages, sessions_)
-    # Read twice below: for the prompt and for the citations.
-    results = cut_lineage(searching.search(asked.select("query_id", "project_id", "text"), chunks, docs, **({"min_score": 0.35, "mode": "keyword"} | options)))
-    blocks = answering.source_blocks(asked, results)
-    counts = results.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_sources"), F.sort_array(F.collect_list(F.struct("result_no", "chunk_id", "doc_id", "score"))).alias("results"))
-    rows = asked.join(blocks, "query_id").join(counts, "query_id", "left").fillna(0, ["n_sources"])
+    same = F.substring(F.sha2(F.to_json(F.struct("project_id", "text")), 256), 1, 32)
+    asked = turns(messages, sessions_).withColumnRenamed("query_id", "message_id").withColumn("query_id", same)
+    questions = asked.select("query_id", "project_id", "text").dropDuplicates(["query_id"])
+    results = searching.search(questions, chunks, docs, **({"min_score": 0.35, "mode": "keyword"} | options))
+    rows = answering.with_sources(asked, results)
     system = answering.system_prompt("chat", own_knowledge)
     rows = rows.withColumn("prompt", sessions.prompt_messages(F.col("history"), F.col("message"), F.col("sources"), F.lit(system)))
     ask = answering.raw_answers(provider or answering.FirstSource(), system)
     rows = rows.withColumn("answer", ask(F.concat("sources", F.lit("\n\nQuestion: "), "message")))
     out = answering.grounded(rows)
     cites = F.filter(F.transform("used", lambda n: F.get("results", n - 1)), lambda r: r.isNotNull())
-    return out.select("query_id", "session_id", "turn", "prompt", "answer", "used", "sufficient", cites.alias("citations"))
+    return out.select(F.col("message_id").alias("query_id"), "session_id", "turn", "prompt", "answer", "used", "sufficient", cites.alias("citations"))
 
 
 def stored(messages: DataFrame, answered: DataFrame, now: Column) -> DataFrame:
@@ -66,10 +65,7 @@ def one_shot(questions: DataFrame, chunks: DataFrame, docs: DataFrame, provider:
     A question without results gets the fixed answer, no citations, and isn't sufficient; a
     provider's error becomes the answer's text.
     """
-    results = cut_lineage(searching.search(questions, chunks, docs, **({"mode": "keyword"} | options)))
-    blocks = answering.source_blocks(questions, results)
-    counts = results.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_sources"), F.sort_array(F.collect_list(F.struct("result_no", "chunk_id", "doc_id", "score"))).alias("results"))
-    rows = questions.join(blocks, "query_id").join(counts, "query_id", "left").fillna(0, ["n_sources"])
+    rows = answering.with_sources(questions, searching.search(questions, chunks, docs, **({"mode": "keyword"} | options)))
     ask = answering.raw_answers(provider or answering.FirstSource(), answering.system_prompt("oneshot", own_knowledge))
     out = answering.grounded(rows.withColumn("answer", ask(F.concat("sources", F.lit("\n\nQuestion: "), "text"))))
     cites = F.filter(F.transform("used", lambda n: F.get("results", n - 1)), lambda r: r.isNotNull())

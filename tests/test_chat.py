@@ -30,6 +30,19 @@ def test_one_shot_answers(rows):
     assert failed.answer == "Error generating answer: down" and not failed.sufficient
 
 
+def test_a_question_asked_again_is_searched_once(rows, monkeypatch):
+    chunks, docs = corpus_of(rows)
+    asked = "What does the harbour crane lift at night?"
+    messages = rows([("m1", "s", "user", asked, AT), ("m2", "t", "user", asked, AT), ("m3", "u", "user", asked, AT), ("m4", "t", "user", "zebra zebra zebra zebra zebra", AT + dt.timedelta(1))], "id string, session_id string, role string, content string, created_at timestamp")
+    places = rows([("s", "p"), ("t", "p"), ("u", "q")], "id string, project_id string")
+    seen, real = [], chat.searching.search
+    monkeypatch.setattr(chat.searching, "search", lambda queries, *a, **k: (seen.append(queries.count()), real(queries, *a, **k))[1])
+    got = {r.query_id: r for r in chat.replay(messages, places, chunks, docs).collect()}
+    assert seen == [3] and set(got) == {"m1", "m2", "m3", "m4"}
+    assert got["m1"].answer == got["m2"].answer != answering.NO_SOURCES and got["m1"].citations == got["m2"].citations and got["m1"].citations
+    assert got["m3"].answer == got["m4"].answer == answering.NO_SOURCES and not got["m4"].citations
+
+
 def test_turns_are_stored_once(spark, rows):
     messages = rows([("m1", "s", "user", "What does the crane lift?", None, AT)], "id string, session_id string, role string, content string, citations array<struct<chunk_id:string>>, created_at timestamp")
     answered = rows([("m1", "s", "What does the crane lift?", "Boats. [Source 1]")], "query_id string, session_id string, message string, answer string").withColumn("citations", F.array(F.struct(F.lit("c1").alias("chunk_id"))))
